@@ -22,8 +22,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.tokenfiles import round_trip
+
+    return round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op5_token_files": op5_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
