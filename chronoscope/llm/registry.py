@@ -28,8 +28,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.media import stored_text_media
+
+    return stored_text_media(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op5_token_files": op5_token_files}
+    return {"op1_packing": op1_packing, "op5_token_files": op5_token_files, "op6_media_columns": op6_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:

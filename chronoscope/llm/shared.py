@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python task works on at a time.
@@ -35,10 +36,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, readable by every executor, lineage cut."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +55,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     if not batch.num_rows:
         return
     text = batch.column(column)
-    sizes = np.frombuffer(pa.compute.binary_length(text).fill_null(0).cast(pa.int64()).buffers()[1], np.int64)[: len(text)]
+    sizes = np.frombuffer(pc.binary_length(text).fill_null(0).cast(pa.int64()).buffers()[1], np.int64)[: len(text)]
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
