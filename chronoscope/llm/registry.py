@@ -22,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.dedup import ROW, exact_duplicates
+
+    return exact_duplicates(documents(spark, sf_dir)).drop(ROW)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoscope.llm.tokenfiles import round_trip
 
@@ -34,9 +40,21 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_text_media(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.pii import pii_digest
+
+    return pii_digest(documents(spark, sf_dir))
+
+
+#: Queries in the order of the operators' numbers.
+QUERIES = [op1_packing, op2_exact_dedup, op5_token_files, op6_media_columns, op7_pii]
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op5_token_files": op5_token_files, "op6_media_columns": op6_media_columns}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from chronoscope.llm import dedup
+
+    return {"op2_exact_dedup": dedup.ORACLE_SQL}
