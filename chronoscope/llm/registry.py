@@ -28,6 +28,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir)).drop(ROW)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.near import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_size")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoscope.llm.tokenfiles import round_trip
 
@@ -47,7 +53,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries in the order of the operators' numbers.
-QUERIES = [op1_packing, op2_exact_dedup, op5_token_files, op6_media_columns, op7_pii]
+QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op5_token_files, op6_media_columns, op7_pii]
 
 
 def queries() -> dict:
