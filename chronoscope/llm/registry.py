@@ -52,8 +52,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from chronoscope.llm.mixing import placed
+
+    found = placed(documents(spark, sf_dir))
+    return found.select("doc_id", "mix_source", "block", "slot", F.col("place.bucket").alias("bucket"), F.col("place.nth").alias("nth"))
+
+
 #: Queries in the order of the operators' numbers.
-QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op5_token_files, op6_media_columns, op7_pii]
+QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op5_token_files, op6_media_columns, op7_pii, op9_source_mixing]
 
 
 def queries() -> dict:
