@@ -52,6 +52,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.language import identified_documents
+
+    return identified_documents(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -62,7 +68,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries in the order of the operators' numbers.
-QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op5_token_files, op6_media_columns, op7_pii, op9_source_mixing]
+QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing]
 
 
 def queries() -> dict:
