@@ -34,6 +34,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoscope.llm.tokenfiles import round_trip
 
@@ -68,7 +74,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries in the order of the operators' numbers.
-QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing]
+QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing]
 
 
 def queries() -> dict:
