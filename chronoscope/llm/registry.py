@@ -73,8 +73,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "mix_source", "block", "slot", F.col("place.bucket").alias("bucket"), F.col("place.nth").alias("nth"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.brown import brown_scores
+
+    return brown_scores(documents(spark, sf_dir))
+
+
 #: Queries in the order of the operators' numbers.
-QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing]
+QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing, op10_lm_scoring]
 
 
 def queries() -> dict:
