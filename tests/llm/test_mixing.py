@@ -1,0 +1,85 @@
+from collections import defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chronoscope.llm import mixing
+from tests.llm import odd
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.text(max_size=3), st.integers(1, 60), min_size=1, max_size=12))
+def test_no_source_is_a_block_off(weights):
+    pattern = mixing.cycle(weights)
+    total, had = sum(weights.values()), dict.fromkeys(weights, 0)
+    for t, (source, k) in enumerate(pattern, 1):
+        assert had[source] == k
+        had[source] += 1
+        assert all(abs(had[s] - t * w / total) < 1 for s, w in weights.items())
+
+
+def test_bad_weights(spark):
+    for bad in ({}, {"a": 0}, {"a": 0.5}, {"a": 65_537, "b": 2}):
+        with pytest.raises(ValueError):
+            mixing.cycle(bad)
+    with pytest.raises(ValueError, match="rest"):
+        mixing.placed(spark.createDataFrame([], "doc_id long, text string, source string"), {"a": 1})
+
+
+def check(rows, weights, sizes, block_size):
+    """Blocks follow from running sizes in the order of places; a slot has one block; deviation stays under one block."""
+    assert sorted(((r.mix_source, r.doc_id) for r in rows), key=str) == sorted(((s, i) for s, i, _ in sizes), key=str)
+    slots = defaultdict(set)
+    for r in rows:
+        slots[r.slot].add((r.mix_source, r.block))
+    assert all(len(s) == 1 for s in slots.values())
+    total = sum(weights.values())
+    had, end = dict.fromkeys(weights, 0), min(max([r.slot for r in rows if r.mix_source == s], default=-1) for s in weights)
+    seen = defaultdict(set)
+    for slot, found in slots.items():
+        for s, b in found:
+            seen[s].add(b)
+            assert slot // total == b // weights[s]
+    by_slot = {slot: next(iter(f))[0] for slot, f in slots.items()}
+    for t in range(end + 1):
+        if t in by_slot:
+            had[by_slot[t]] += 1
+        # a document longer than a block leaves slots empty, so a source is never ahead
+        assert all(had[s] < (t + 1) * w / total + 1 for s, w in weights.items())
+    return had
+
+
+def test_odd_documents(spark, tmp_path):
+    docs = odd.table(spark, tmp_path)
+    weights = {"src0": 3, "src1": 2, mixing.REST: 1}
+    rows = mixing.placed(docs, weights, block_size=50).collect()
+    sizes = [(s if s in weights else mixing.REST, i, len(t or "")) for i, t, _, s, *_ in odd.rows()]
+    check(rows, weights, sizes, 50)
+    mixed = mixing.mixture(docs, weights=weights, block_size=50)
+    assert mixed.columns == docs.columns and mixed.count() == docs.count()
+    order = {}
+    for r in sorted(rows, key=lambda r: (r.slot, r.place)):
+        order.setdefault((r.doc_id, r.mix_source), len(order))
+    got = [(r.doc_id, r.source if r.source in weights else mixing.REST) for r in mixed.collect()]
+    assert [k for i, k in enumerate(got) if k not in got[:i]] == sorted(order, key=order.get)
+
+
+def test_equal_blocks_follow_the_weights(spark, tmp_path):
+    weights = {"a": 5, "b": 2, mixing.REST: 1}
+    rows = [(i, "x" * 10, "a" if i % 8 < 5 else "b" if i % 8 < 7 else f"c{i % 3}") for i in range(1600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/e.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/e.parquet")
+    found = mixing.placed(docs, weights, block_size=40).collect()
+    check(found, weights, [(s if s in weights else mixing.REST, i, 10) for i, _, s in rows], 40)
+    order = [r.mix_source for r in sorted(found, key=lambda r: (r.slot, r.place))]
+    for t in range(0, 1600, 4):  # blocks are of four documents
+        for s, w in weights.items():
+            assert abs(order[:t].count(s) / 4 - t / 4 * w / 8) < 1
+
+
+def test_empty_and_plan(spark, tmp_path, small):
+    assert mixing.placed(odd.empty(spark, tmp_path)).collect() == []
+    assert mixing.mixture(odd.empty(spark, tmp_path)).collect() == []
+    plan = mixing.placed(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
