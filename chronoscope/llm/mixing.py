@@ -101,6 +101,6 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """The input's rows in the mixture's order, as ordered ranges of partitions: files written from it follow each other in that order.
 
     The input must be a scan of files, whose row numbers are the same each time."""
-    at = placed(docs, **options).select(ROW, "slot", "place")
+    at = placed(docs, **options).select(ROW, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return numbered.join(at, ROW).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    return numbered.join(at, ROW).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
