@@ -16,8 +16,10 @@ from chronoscope.functions.text import username
 
 
 def percent_decoded(path: Column) -> Column:
-    """Percent escapes decoded; a plus stays a plus; what isn't UTF-8 is null."""
-    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    """Percent escapes decoded; a plus stays a plus; what isn't UTF-8 is null (decoding marks it with U+FFFD)."""
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    meant = F.upper(path).contains("%EF%BF%BD") | path.contains("\ufffd")
+    return F.when(~decoded.contains("\ufffd") | meant, decoded)
 
 
 def windows_path(original: Column) -> Column:
