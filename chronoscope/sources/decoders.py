@@ -195,3 +195,35 @@ def scheduled_task(files: DataFrame, xml: str = "xml") -> DataFrame:
     action = F.when(command != "", F.when(arguments != "", F.concat_ws(" ", command, arguments)).otherwise(command)).when(handler != "", F.concat(F.lit("COM:"), handler))
     date = F.try_to_timestamp(F.substring(at("/Task/RegistrationInfo/Date"), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     return files.withColumns({"author": at("/Task/RegistrationInfo/Author"), "uri": at("/Task/RegistrationInfo/URI"), "date": date, "action": action}).drop(xml)
+
+
+# SQLite histories. A database is opened from a copy in the task's own temporary folder.
+
+HISTORY = "url string, title string, visit_count long, visit long"
+ACTIVITY = "app_id string, activity long, start long, end long"
+# The tables of the three formats.
+CHROMIUM_SQL = "select u.url, u.title, u.visit_count, v.visit_time from visits v join urls u on u.id = v.url order by v.visit_time desc, v.id desc limit ?"
+FIREFOX_SQL = "select p.url, p.title, p.visit_count, v.visit_date from moz_historyvisits v join moz_places p on p.id = v.place_id order by v.visit_date desc, v.id desc limit ?"
+ACTIVITY_SQL = "select AppId, ActivityType, StartTime, EndTime from Activity order by StartTime desc, rowid desc limit ?"
+#: Rows that are taken from one database, the latest first.
+MOST_ROWS = 10_000
+
+
+def sqlite_rows(sql: str, most: int = MOST_ROWS) -> Callable[[bytes], Iterator[tuple]]:
+    """A decoder of a SQLite file's bytes by one query with a row limit."""
+
+    def decode(data: bytes) -> Iterator[tuple]:
+        import sqlite3
+        import tempfile
+
+        with tempfile.NamedTemporaryFile(suffix=".db") as file:
+            file.write(data)
+            file.flush()
+            try:
+                with sqlite3.connect(f"file:{file.name}?mode=ro", uri=True) as db:
+                    db.text_factory = lambda b: b.decode("utf-8", "replace")
+                    yield from db.execute(sql, (most,)).fetchall()
+            except sqlite3.Error as error:
+                raise ValueError(str(error)) from error
+
+    return decode
