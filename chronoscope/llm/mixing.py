@@ -82,8 +82,9 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column
     source = F.when(F.col(source_column).cast("string").isin(named), F.col(source_column).cast("string")).otherwise(REST)
     size = F.length(F.col(text_column).cast("string")) if size is None else size
     buckets = max(LEAST_BUCKETS, -(-docs.count() // BUCKET_DOCUMENTS))
-    key = F.xxhash64(F.lit(seed), F.col(id_column))
-    rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_column).cast("long").alias("doc_id"), source.alias("mix_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.pmod(key, F.lit(buckets)).alias("bucket"), key.alias("key"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_column).cast("string")))
+    bucket = F.conv(F.left(key, F.lit(8)), 16, 10).cast("long") % buckets
+    rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_column).cast("long").alias("doc_id"), source.alias("mix_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), bucket.alias("bucket"), key.alias("key"))
     rows = written(rows, "mix-rows")
     order = Window.partitionBy("bucket", "mix_source").orderBy("key", "doc_id", ROW)
     inside = rows.repartition("bucket").withColumn("before", F.sum("size").over(order) - F.col("size")).withColumn("nth", F.row_number().over(order))
@@ -104,3 +105,19 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     at = placed(docs, **options).select(ROW, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     return numbered.join(at, ROW).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``placed`` with its default parameters over ``documents``, bucket and nth standing for the place.
+
+    The cycle's slots are given as values; running sizes come from one window for each source."""
+    pattern = cycle(WEIGHTS)
+    share = {s: sum(x == s for x, _ in pattern) for s in WEIGHTS}
+    values = ", ".join(f"('{s}', {k}, {i}, {share[s]})" for i, (s, k) in enumerate(pattern))
+    named = ", ".join(f"'{s}'" for s in WEIGHTS if s != REST)
+    return f"""WITH slots(mix_source, step, in_cycle, share) AS (VALUES {values}),
+r AS (SELECT doc_id, CASE WHEN source IN ({named}) THEN source ELSE '{REST}' END AS mix_source, coalesce(length(text), 0) AS size, md5('1:' || doc_id) AS key FROM documents),
+b AS (SELECT *, CAST('0x' || key[1:8] AS BIGINT) % (SELECT greatest({LEAST_BUCKETS}, (count(*) + {BUCKET_DOCUMENTS - 1}) // {BUCKET_DOCUMENTS}) FROM documents) AS bucket FROM r),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY mix_source ORDER BY bucket, key, doc_id) - size AS BIGINT) // {BLOCK_SIZE} AS block, CAST(row_number() OVER (PARTITION BY bucket, mix_source ORDER BY key, doc_id) AS INT) AS nth FROM b)
+SELECT doc_id, mix_source, block, (block // share) * {len(pattern)} + in_cycle AS slot, bucket, nth
+FROM o JOIN slots USING (mix_source) WHERE step = block % share"""

@@ -154,3 +154,32 @@ def pii_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         joined(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``pii_digest``'s rows. Its expressions have no look-around, so what stands beside a candidate is tested apart."""
+    plain = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", None),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0", None),
+        ("card", r"[0-9]([\x20-]?[0-9])+", "len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[-i] AS INT) ELSE (CAST(d[-i] AS INT) * 2) // 10 + (CAST(d[-i] AS INT) * 2) % 10 END)) % 10 = 0", None),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 9 AND 15", None),
+        ("iban", r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?", "len(replace(x, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(replace(x, ' ', '')[5:] || x[:4], ''), lambda c: ascii(c))), lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1", "[A-Za-z0-9]"),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(x, '^(?:000|666|9)|-00-|-0000$')", "[0-9-]"),
+    ]
+    parts = []
+    for rank, (kind, pattern, test, beside) in enumerate(plain):
+        words, without, near = CONTEXT[kind]
+        edge = "true" if beside is None else f"NOT regexp_matches(t[s:s], '^{beside}') AND NOT regexp_matches(t[e + 1:e + 1], '^{beside}')"
+        parts.append(f"""SELECT doc_id, s, {rank} AS rank, e, '{kind}' AS kind,
+  CASE WHEN regexp_matches(lower(concat_ws('|', t[greatest(s - {WINDOW}, 0) + 1:s], t[e + 1:e + {WINDOW}])), '{words}') THEN {near} ELSE {without} END AS score
+FROM (SELECT *, s + len(x) AS e, regexp_replace(x, '[^0-9]', '', 'g') AS d FROM (
+  SELECT doc_id, t, unnest(m) AS x, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda y: len(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0))) AS s
+  FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM texts)))
+WHERE {test} AND {edge}""")
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, CAST(s AS INT) AS s, rank, CAST(e AS INT) AS e, kind, score FROM ({' UNION ALL '.join(parts)}) WHERE rank < {len(BASE)} OR score >= {LEAST_SCORE}),
+by_doc AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}), '') AS base,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(CAST(CAST(score AS DOUBLE) AS VARCHAR), ',' ORDER BY s, rank) AS scores FROM found GROUP BY 1)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM texts LEFT JOIN by_doc USING (doc_id)"""

@@ -88,6 +88,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronoscope.llm import dedup
+    from chronoscope.llm import dedup, mixing, pii
 
-    return {"op2_exact_dedup": dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": dedup.ORACLE_SQL, "op7_pii": pii.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}

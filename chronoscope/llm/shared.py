@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python task works on at a time.
 SLICE_BYTES = 6 << 20
@@ -31,9 +32,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes what this driver wrote to the shared folder, and says how many paths that were.
+
+    For the end of a job: DataFrames that operators returned read from there until they are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -63,3 +80,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the highest counts, at most ``most`` of them, without a sort of all.
+
+    Counts are summed up by 64 steps a doubling, so a few thousand rows show from
+    which step on there are at most ``most``; rows of the step that would be too many stay out."""
+    step = F.floor(F.log2(F.col(n).cast("double")) * 64).cast("int")
+    many = 0
+    least = None
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        many += row["count"]
+        if many > most:
+            break
+        least = row["step"]
+    return counts.limit(0) if least is None else counts.where(step >= least)
