@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoscope.llm.components import components
-from chronoscope.llm.shared import plain, slices, written
+from chronoscope.llm.shared import most_frequent, plain, slices, written
 from chronoscope.llm.shingles import shingle_sets
 
 #: Defaults: words of a shingle and the least similarity in hundredths.
@@ -101,12 +101,12 @@ def classes_and_repeats(rows: DataFrame, width: int) -> DataFrame:
 def common_tokens(found: DataFrame) -> np.ndarray:
     """The sorted shingles that come last in the order: at most MOST_COMMON, the most frequent ones."""
     counted = found.where("kind = 'token'").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= COMMON)
-    most = counted.orderBy(F.desc("seen"), "token").limit(MOST_COMMON).select("token").toArrow()
+    most = most_frequent(counted, "seen", MOST_COMMON).select("token").toArrow()
     return np.sort(most.column("token").to_numpy().view(np.uint64))
 
 
 def prefixes(rows: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(cls, n, gid, prefix) of each class: the first shingles of its set in the order, and 128 bits that stand for them and n."""
+    """(cls, n, rare, gid, prefix) of each class: set size, shingles that aren't common, the first ones in the order, and 128 bits that stand for these and n."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +125,15 @@ def prefixes(rows: DataFrame, width: int, percent: int, common: np.ndarray) -> D
                         continue
                     many = n - -(-n * percent // 100) + 1
                     first = tokens[a:b][~late[a:b]][:many]
+                    rare = n - int(late[a:b].sum())
                     if len(first) < many:
                         first = np.concatenate([first, tokens[a:b][late[a:b]][: many - len(first)]])
-                    out[digest] = (n, hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest(), first)
-                ends = np.cumsum([0] + [len(x[2]) for x in out.values()]).astype(np.int32)
-                flat = np.concatenate([x[2] for x in out.values()]) if out else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))], names=["cls", "n", "gid", "prefix"])
+                    out[digest] = (n, rare, hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest(), first)
+                ends = np.cumsum([0] + [len(x[3]) for x in out.values()]).astype(np.int32)
+                flat = np.concatenate([x[3] for x in out.values()]) if out else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), *(pa.array([x[k] for x in out.values()], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in out.values()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))], names=["cls", "n", "rare", "gid", "prefix"])
 
-    return rows.mapInArrow(run, "cls binary, n long, gid binary, prefix array<long>")
+    return rows.mapInArrow(run, "cls binary, n long, rare long, gid binary, prefix array<long>")
 
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -164,7 +165,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     pairs = written(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = classes.join(wanted, "cls", "left_semi").select(F.col("row").alias(ROW))
-    sets = written(whole_sets(rows.join(wanted, ROW, "left_semi"), width), "sets")
+    # A shuffle join at every size: what is wanted grows with the input, so it is never broadcast.
+    sets = written(whole_sets(rows.join(wanted.hint("merge"), ROW, "left_semi"), width), "sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"))
     return written(sized.where(f"common * 100 >= {percent} * (n + m - common)").select("a", "b"), "links")
@@ -177,18 +179,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = found.where("kind = 'doc'").select(ROW, "doc_id", "n", "cls")
     classes = written(members.where("n > 0").groupBy("cls").agg(F.min(ROW).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("class_size")), "class-list")
 
-    grouped = written(prefixes(rows, width, percent, common_tokens(found)).groupBy("cls").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix")), "prefixes", compression="zstd")
-    groups = grouped.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("cls").alias("head"))
-    listed = groups.select("gid", "n", "head", F.explode("prefix").alias("token"))
+    grouped = prefixes(rows, width, percent, common_tokens(found)).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rare", "gid", "prefix")))
+    grouped = written(grouped, "prefixes", compression="zstd")
+    # Groups of one prefix and size differ in nothing that is used before members are verified but their common shingles.
+    groups = grouped.groupBy("gid").agg(F.first("n").alias("n"), F.min("rare").alias("rare"), F.first("prefix").alias("prefix"), F.min("cls").alias("head"))
+    groups = groups.withColumn("commons", F.size("prefix") - F.least("rare", F.size("prefix")))
+    listed = groups.select("gid", "n", "rare", "commons", "head", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
+    listed = listed.select("gid", "n", "rare", "commons", "head", "pos", "token", F.expr("pos >= p - commons").alias("late"))
     shared = listed.groupBy("token").agg(F.count("*").alias("long")).where("long > 1").select("token")
     lists = written(listed.join(shared, "token"), "lists", compression="zstd")
     in_group = grouped.select("gid", "cls")
 
-    # Leaders: the first group of each list and size band, the first class of each group.
+    # Leaders: of each list and size band the group with the fewest shingles that aren't common (the text that the
+    # others vary), and of a group its first class. That a pair is left out here costs nothing but time.
     band = (F.floor(F.log(100.0 / percent, F.col("n"))) if percent < 100 else F.col("n")).alias("band")
-    leaders = lists.groupBy("token", band).agg(F.min(F.struct("gid", "n", "head")).alias("first")).select("token", "band", F.col("first.gid").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.head").alias("lead_head"))
+    leaders = lists.groupBy("token", band).agg(F.min(F.struct("rare", "gid", "n", "head")).alias("first")).select("token", "band", F.col("first.gid").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.head").alias("lead_head"))
     stars = lists.withColumn("band", band).join(leaders, ["token", "band"]).where("gid <> lead").groupBy("lead", "lead_n", "lead_head", "gid", "n", "head").agg(F.count("*").alias("seen"))
-    stars = stars.where(f"seen >= {prefix_overlap_needed('n', 'lead_n', percent)}").select(F.col("lead_head").alias("a"), F.col("head").alias("b"))
+    stars = stars.where(f"seen * 2 >= {prefix_overlap_needed('n', 'lead_n', percent)}").select(F.col("lead_head").alias("a"), F.col("head").alias("b"))
     inner = in_group.join(groups.select("gid", "head"), "gid").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     links = verified(stars.union(inner), rows, classes, width, percent)
 
@@ -196,16 +203,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     comp = components(links)
     placed = written(in_group.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp")), "placed")
     spans = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_lists = lists.select("token", "gid", "n").join(spans, "gid")
-    mixed = open_lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min(F.struct("gid", "low")).alias("first")).where("l <> h").select("token", F.col("first.low").alias("main"))
+    open_lists = lists.select("token", "gid", "n", "pos", "late", "commons", "rare").join(spans, "gid")
+    mixed = open_lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min(F.struct("rare", "gid", "low")).alias("first")).where("l <> h").select("token", F.col("first.low").alias("main"))
     open_lists = written(open_lists.join(mixed, "token"), "open-lists", compression="zstd")
-    stray = open_lists.where("low <> high or low <> main").select("token", F.col("gid").alias("g"), F.col("n").alias("m"), F.col("low").alias("g_low"), F.col("high").alias("g_high"))
+    stray = open_lists.where("low <> high or low <> main").select("token", F.col("gid").alias("g"), F.col("n").alias("m"), F.col("pos").alias("g_pos"), F.col("commons").alias("g_commons"), F.col("low").alias("g_low"), F.col("high").alias("g_high"))
     main = F.expr("low = high and low = main")
-    other = open_lists.select("token", "gid", "n", "low", "high", main.alias("is_main"))
+    other = open_lists.select("token", "gid", "n", "pos", "late", "commons", "low", "high", main.alias("is_main"))
+    needed = overlap_needed("n", "m", percent)
     similar = f"least(n, m) * 100 >= {percent} * greatest(n, m)"
-    met = stray.join(other, "token").where(f"(is_main or g < gid) and not (low = high and g_low = g_high and low = g_low) and {similar}")
-    counted = met.select(F.least("g", "gid").alias("g"), F.greatest("g", "gid").alias("h"), "n", "m", "token").groupBy("g", "h").agg(F.countDistinct("token").alias("seen"), F.first("n").alias("n"), F.first("m").alias("m"))
-    group_pairs = counted.where(f"seen >= {prefix_overlap_needed('n', 'm', percent)}").select("g", "h")
+    # Linked sets have a shingle in common among the first n - needed + 1 of one and m - needed + 1 of the other. In the
+    # lists of common shingles only such places meet; the other lists give all, so that they can be counted.
+    near = f"(not late or (pos <= n - {needed} and g_pos <= m - {needed}))"
+    met = stray.join(other, "token").where(f"(is_main or g < gid) and not (low = high and g_low = g_high and low = g_low) and {similar} and {near}")
+    met = met.select(F.least("g", "gid").alias("g"), F.greatest("g", "gid").alias("h"), "n", "m", "late", F.least("commons", "g_commons").alias("commons"))
+    counted = met.groupBy("g", "h").agg(F.count_if(~F.col("late")).alias("seen"), F.first("commons").alias("commons"), F.first("n").alias("n"), F.first("m").alias("m"))
+    group_pairs = counted.where(f"seen + commons >= {prefix_overlap_needed('n', 'm', percent)}").select("g", "h")
     left = placed.select(F.col("gid").alias("g"), F.col("cls").alias("a"), F.col("comp").alias("a_comp"))
     right = placed.select(F.col("gid").alias("h"), F.col("cls").alias("b"), F.col("comp").alias("b_comp"))
     across = group_pairs.join(left, "g").join(right, "h").where("a_comp <> b_comp").select("a", "b")

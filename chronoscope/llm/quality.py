@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chronoscope.llm.language import held_out
 from chronoscope.llm.shared import written
 
-#: Labelled rows to learn from at most, drawn by a hash of the id.
+#: Labelled rows to learn from; of more, about so many are drawn by a hash of the id.
 MOST_TRAINING = 200_000
 TREES, DEPTH, PENALTY, ROUNDS, SEED = 12, 3, 0.0005, 60, 7
 THRESHOLD = 0.3
@@ -122,7 +122,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     """doc_id, held_out, score and predicted for every document; the labels of held-out documents aren't looked at."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("held_out", held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull())
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).alias("y")).where("y is not null and doc_id is not null")
-    known = known.where(~held_out("doc_id", 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MOST_TRAINING)
+    known = known.where(~held_out("doc_id", 5, 0))
+    if (many := known.count()) > MOST_TRAINING:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(many)) < MOST_TRAINING)
     seen = written(with_statistics(own).select("doc_id", "held_out", "x"), "statistics")
     model = learn(known.join(seen.select("doc_id", "x"), "doc_id"))
     return seen.select("doc_id", "held_out", model.score().alias("score")).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
