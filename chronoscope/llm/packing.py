@@ -6,6 +6,10 @@ group is packed by itself: longest first, each piece into the first sequence wit
 room, which a tournament tree over the sequences' free room finds in logarithmic
 time. Groups are independent, so their number grows with the corpus and their size doesn't.
 
+Where documents have an order (a mixture), a group is a range of as many documents
+that follow each other, groups are numbered in that order, and a group's sequences
+follow each other as the pieces that open them do.
+
 Only (id, length, checksum) rows are shuffled, unless ``with_ids`` is set.
 
 Defined results: a null or empty text is one piece with the end id alone; a null
@@ -33,6 +37,7 @@ CAPACITY, GROUP_DOCUMENTS, END_ID = 2048, 4096, 1
 #: Text bytes encoded at a time: the more, the fewer distinct words are looked up.
 ENCODE_BYTES = 12 << 20
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+PLACE = "pack_place"
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """The bin of each length and the free room of each bin. Equal lengths keep their order."""
@@ -61,8 +66,8 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, tree[leaves : leaves + used]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
-    """Each document's ids, with the end id, cut every ``capacity`` ids: a row for each piece, with its checksum."""
+def token_pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, capacity: int, end_id: int, with_ids: bool, order: str | None = None) -> DataFrame:
+    """Each document's ids, with the end id, cut every ``capacity`` ids: a row for each piece, with its checksum and, with ``order``, its document's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +85,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: s
                 columns = [part.column("d").take(pa.array(row)), pa.array(start), pa.array(np.diff(cuts)), pa.array(crc), pa.array(totals[row])]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, names=PIECE_NAMES[: len(columns)])
+                names = PIECE_NAMES[: len(columns)]
+                if order:
+                    columns.append(part.column("o").take(pa.array(row)))
+                    names = [*names, PLACE]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("t")).mapInArrow(run, schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + f", {PLACE} long" * bool(order)
+    place = [F.col(order).cast("long").alias("o")] if order else []
+    return docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("t"), *place).mapInArrow(run, schema)
 
 
 def pack(
@@ -96,27 +106,40 @@ def pack(
     group_documents: int = GROUP_DOCUMENTS,
     seed: int = 1,
     with_ids: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
     """A row for each piece of a document: its place in the document and in a sequence of at most ``capacity`` ids.
 
     doc_id, start (the document's ids before the piece), length, ids_crc32 (of the
     piece's ids as little-endian 32-bit), doc_tokens (ids of the document, end id
     included), sequence_id (unique in the result), offset (in the sequence, without
-    gaps from 0) and, with ``with_ids``, the ids themselves."""
-    groups = max(1, -(-docs.count() // group_documents))
-    pieces = token_pieces(docs, tokenizer, id_column, text_column, capacity, end_id, with_ids)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    gaps from 0) and, with ``with_ids``, the ids themselves.
+
+    ``order`` names a column of the documents' numbers in an order, from 0: sequences
+    of ascending sequence_id then follow that order, range by range, and nothing is
+    dealt at random. Without it the order of the rows has no effect."""
+    pieces = token_pieces(docs, tokenizer, id_column, text_column, capacity, end_id, with_ids, order)
+    if order:
+        group = F.floor(F.col(PLACE) / group_documents)
+    else:
+        group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(max(1, -(-docs.count() // group_documents))))
+    dealt = pieces.withColumn("pack_group", group)
+    place = [PLACE] if order else []
 
     def run(group: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in place), ("doc_id", "ascending"), ("start", "ascending")])
         lengths = rows.column("length").to_pylist()
         bins = np.array(first_fit_decreasing(lengths, capacity)[0], np.int64)
+        if place:
+            opens = np.unique(bins, return_index=True)[1]
+            places, starts = (rows.column(c).to_numpy()[opens] for c in (PLACE, "start"))
+            bins = np.argsort(np.lexsort((starts, places)))[bins]
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(np.array(lengths)[order])
         first = np.flatnonzero(np.diff(bins[order], prepend=-1))
         before = ends - np.array(lengths)[order]
         offset = before - np.repeat(before[first], np.diff(np.append(first, len(order))))
-        out = rows.drop(["pack_group"]).take(pa.array(order))
+        out = rows.drop(["pack_group", *place]).take(pa.array(order))
         sequence = bins[order] + (group[0].as_py() << 32)
         return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task works on at a time.
@@ -60,6 +60,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column ``name``: the rows' numbers, from 0 without gaps, in the order of the files and of the rows in each.
+
+    docs must be a scan of Parquet files. Only rows of each file are counted; nothing is sorted but the files' names."""
+    meta = docs.metadataColumn("_metadata")
+    at = docs.select("*", meta["file_path"].alias("order_file"), meta["row_index"].alias("order_row"))
+    earlier = Window.orderBy(F.length("order_file"), "order_file").rowsBetween(Window.unboundedPreceding, -1)  # a part's number may have more digits
+    files = at.groupBy("order_file").agg(F.count("*").alias("n")).select("order_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("order_base"))
+    return at.join(F.broadcast(files), "order_file").select(*(docs[c] for c in docs.columns), (F.col("order_base") + F.col("order_row")).alias(name))
+
+
 def plain(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One chunk of 32-bit-offset strings, null as the empty string."""
     if isinstance(array, pa.ChunkedArray):

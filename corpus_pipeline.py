@@ -4,7 +4,7 @@ language      documents whose text has no letter, or for which no language can b
 exact         of equal texts one stays
 near          of each component of similar texts (five words, Jaccard 0.8) one stays
 mixing        documents follow each other as the sources' target weights ask; none goes
-packing       token pieces with their places in sequences of 2048 ids
+packing       token pieces with their places in sequences of 2048 ids, which follow the mixture
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from chronoscope.llm.mixing import mixture
 from chronoscope.llm.near import without_near_duplicates
 from chronoscope.llm.packing import pack
 from chronoscope.llm.registry import tokenizer_path
-from chronoscope.llm.shared import documents, written
+from chronoscope.llm.shared import documents, in_file_order, written
 
 #: What the language stage works on; other columns go past it, whatever their names.
 READ = ["doc_id", "text", "lang"]
@@ -43,7 +43,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path())
+    """The documents' order, which the mixing stage decides, is that of the files read here."""
+    return pack(in_file_order(docs, "mix_place"), tokenizer_path(), order="mix_place")
 
 
 STAGES = [("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -58,3 +58,43 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         assert after.count() == 0
 
 
+
+
+def source_shares(spark, packed, docs, share):
+    """The sources' shares of the tokens in the first part of the sequences."""
+    rows = packed.join(docs.select("doc_id", "source"), "doc_id").collect()
+    ids = sorted({r.sequence_id for r in rows})
+    first = set(ids[: int(len(ids) * share)])
+    had = defaultdict(int)
+    for r in rows:
+        if r.sequence_id in first:
+            had[r.source] += r.length
+    return {s: n / sum(had.values()) for s, n in had.items()}
+
+
+def test_the_weights_decide_what_run_packs_first(spark, tmp_path, monkeypatch):
+    from chronoscope.llm import mixing, packing
+
+    rows = [(i, f"words of document {i} " * 8, "en", f"src{i % 2}") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [x for x in corpus_pipeline.STAGES if x[0] in ("mixing", "packing")])
+    monkeypatch.setattr(mixing.placed, "__defaults__", tuple(400 if x == 16_384 else x for x in mixing.placed.__defaults__))
+    found = {}
+    for group in (4096, 100):  # one range and several
+        monkeypatch.setattr(packing.pack, "__defaults__", tuple(group if x == packing.GROUP_DOCUMENTS else x for x in packing.pack.__defaults__))
+        for weights in ((9, 1), (1, 9)):
+            monkeypatch.setattr(mixing, "WEIGHTS", {"src0": weights[0], "src1": weights[1], mixing.REST: 1})
+            packed = corpus_pipeline.run(spark, str(tmp_path))
+            test_packing.check(packed.collect(), [r[:2] for r in rows], 2048)
+            found[group, weights] = source_shares(spark, packed, docs, 0.4)
+    for group in (4096, 100):
+        assert found[group, (9, 1)]["src0"] > 0.6 > 0.4 > found[group, (1, 9)]["src0"]
+
+
+def test_rows_are_numbered_in_the_order_of_files(spark, tmp_path):
+    from chronoscope.llm.shared import in_file_order
+
+    rows = [(i, "x" * (i % 97) * (1 + i // 2000 * 9)) for i in range(5000)]  # files of different sizes
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/o")
+    assert all(r.doc_id == r.at for r in in_file_order(spark.read.parquet(f"{tmp_path}/o"), "at").collect())
