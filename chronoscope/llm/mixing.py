@@ -11,13 +11,20 @@ window of block k moved by P slots. One cycle of P slots is laid out beforehand
 (P is bounded by MOST_SLOTS) and every block finds its slot there by arithmetic,
 so no step goes through all blocks in order.
 
+With ``each`` the rest isn't one source: a second Pfair level deals the rest's slots
+to its sources, which have equal weights there, so its blocks go round: block b of
+the r-th of n sources is block b n + r of the rest. After any number of slots each
+of them is less than 1 + 1 / n blocks from its share, w / n of the whole. Every
+source of any name is scheduled by itself, and their number has no bound.
+
 Running sizes within a source come from two levels: within buckets of documents
 dealt by a hash (no bucket is larger because its source is), then over the bucket
 totals. Nothing is grouped by source alone.
 
 Defined results: every row gets a place, none is dropped or repeated; slots of a
 source that has run out stay empty and the rest keep their order; a source not
-named in the weights, or null, belongs to the rest, which is one source; a null
+named in the weights, or null, belongs to the rest, which is one source (with
+``each``, null is a source of the rest); a null
 text or size counts as 0; equal ids are ordered by row number; an empty table
 gives an empty result; columns with the names of the result's are replaced.
 """
@@ -66,20 +73,22 @@ def cycle(weights: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column | None = None, block_size: int = BLOCK_SIZE, seed: int = 1, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column | None = None, block_size: int = BLOCK_SIZE, seed: int = 1, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", each: bool = False) -> DataFrame:
     """A row for each document: mix_row, doc_id, mix_source, block, slot and place (order within the slot).
 
     Ordering by slot and place gives the mixture. ``size`` is a document's size, by
-    default its text's characters; a document lies in the block in which it begins."""
+    default its text's characters; a document lies in the block in which it begins.
+    ``each`` schedules every source of the rest by itself; mix_source is then its own name."""
     spark = docs.sparkSession
     weights = weights or WEIGHTS
     if REST not in weights:
         raise ValueError(f"the weights need one for the rest of the sources, {REST!r}")
     pattern = cycle(weights)
     share = {s: sum(x == s for x, _ in pattern) for s in weights}
-    slots = spark.createDataFrame([(s, k, i, share[s]) for i, (s, k) in enumerate(pattern)], "mix_source string, step long, in_cycle long, share long")
+    slots = spark.createDataFrame([(s, k, i, share[s]) for i, (s, k) in enumerate(pattern)], "mix_weight string, step long, in_cycle long, share long")
     named = [s for s in weights if s != REST]
-    source = F.when(F.col(source_column).cast("string").isin(named), F.col(source_column).cast("string")).otherwise(REST)
+    text = F.col(source_column).cast("string")
+    source = F.coalesce(text, F.lit(REST)) if each else F.when(text.isin(named), text).otherwise(REST)
     size = F.length(F.col(text_column).cast("string")) if size is None else size
     buckets = max(LEAST_BUCKETS, -(-docs.count() // BUCKET_DOCUMENTS))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_column).cast("string")))
@@ -91,10 +100,17 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column
     totals = rows.groupBy("mix_source", "bucket").agg(F.sum("size").alias("total"))
     upto = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("mix_source", "bucket", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
+    of_rest = ~F.col("mix_source").isin(named)
+    if each:
+        others = totals.where(of_rest).select("mix_source").distinct()
+        others = others.select("mix_source", (F.row_number().over(Window.orderBy("mix_source")) - 1).alias("nth_other"), F.count("*").over(Window.partitionBy()).alias("others"))
+        totals = totals.join(others, "mix_source", "left")
     begun = inside.join(totals, ["mix_source", "bucket"]).withColumn("block", F.expr(f"(base + before) div {block_size}"))
-    begun = begun.join(F.broadcast(slots.select("mix_source", "share").distinct()), "mix_source")
-    found = begun.withColumn("step", F.expr("block % share")).join(F.broadcast(slots.select("mix_source", "step", "in_cycle")), ["mix_source", "step"])
-    slot = F.expr(f"(block div share) * {len(pattern)} + in_cycle")
+    begun = begun.withColumn("mix_weight", F.when(of_rest, REST).otherwise(F.col("mix_source")))
+    begun = begun.withColumn("due", F.when(of_rest, F.expr("block * others + nth_other")).otherwise(F.col("block")) if each else F.col("block"))
+    begun = begun.join(F.broadcast(slots.select("mix_weight", "share").distinct()), "mix_weight")
+    found = begun.withColumn("step", F.expr("due % share")).join(F.broadcast(slots.select("mix_weight", "step", "in_cycle")), ["mix_weight", "step"])
+    slot = F.expr(f"(due div share) * {len(pattern)} + in_cycle")
     return found.select(ROW, "doc_id", "mix_source", "block", slot.alias("slot"), F.struct("bucket", "key", "doc_id", "nth").alias("place"))
 
 

@@ -3,7 +3,7 @@
 language      documents whose text has no letter, or for which no language can be learned, go
 exact         of equal texts one stays
 near          of each component of similar texts (five words, Jaccard 0.8) one stays
-mixing        documents follow each other as the sources' target weights ask; none goes
+mixing        documents follow each other as the sources' target weights ask, each source by itself; none goes
 packing       token pieces with their places in sequences of 2048 ids, which follow the mixture
 """
 
@@ -39,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture(docs)
+    return mixture(docs, each=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

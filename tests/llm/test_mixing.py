@@ -83,3 +83,26 @@ def test_empty_and_plan(spark, tmp_path, small):
     assert mixing.mixture(odd.empty(spark, tmp_path)).collect() == []
     plan = mixing.placed(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_source_of_the_rest_by_itself(spark, tmp_path):
+    """A hot source that no weight names gets no more slots than the others of the rest; names don't matter."""
+    rows = [(i, "x" * 10, "a" if i % 4 == 0 else None if i % 16 == 1 else f"c{i % 3}" if i % 8 < 4 else "hot") for i in range(3200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/r.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/r.parquet")
+    for weights in ({"a": 3, mixing.REST: 5}, {"no such": 3, mixing.REST: 5}):
+        found = mixing.placed(docs, weights, block_size=40, each=True).collect()
+        assert sorted(r.doc_id for r in found) == list(range(3200))
+        named = [s for s in weights if s != mixing.REST]
+        others = sorted({s or mixing.REST for *_, s in rows} - set(named))
+        share = {s: weights[s] / 8 for s in named} | {s: 5 / 8 / len(others) for s in others}
+        slots = defaultdict(set)
+        for r in found:
+            slots[r.slot].add((r.mix_source, r.block))
+        assert all(len(s) == 1 for s in slots.values()) and {s for x in slots.values() for s, _ in x} <= set(share)
+        last = min(max(r.slot for r in found if r.mix_source == s) for s in {r.mix_source for r in found})
+        had = dict.fromkeys(share, 0)
+        for t in range(last + 1):
+            for s, _ in slots.get(t, ()):
+                had[s] += 1
+            assert all(abs(had[s] - (t + 1) * w) < 1 + 1 / len(others) for s, w in share.items() if s in others or s == "a")
