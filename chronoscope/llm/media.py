@@ -32,6 +32,7 @@ SAMPLE_RATE = 8000
 PAYLOAD_UNIT = 64
 #: A compressed member is followed for at most this much output at a time.
 INFLATE_BYTES = 1 << 20
+ZIP = b"PK\3\4"
 
 
 def png_end(data: bytes, at: int) -> int:
@@ -139,14 +140,17 @@ def ogg_end(data: bytes, at: int) -> int:
     return end
 
 
-def zip_end(data: bytes, at: int) -> int:
-    end = data.find(b"PK\5\6", at)
+def zip_ends(data: bytes) -> dict[int, int]:
+    """Where each ZIP archive in the bytes begins and ends: every end-of-directory record says where its archive must begin."""
+    found: dict[int, int] = {}
+    end = data.find(b"PK\5\6")
     while end >= 0 and end + 22 <= len(data):
         entries, size, start = struct.unpack_from("<HII", data, end + 10)
-        if at + start + size == end and (not entries or data[at + start : at + start + 4] == b"PK\1\2"):
-            return end + 22 + int.from_bytes(data[end + 20 : end + 22], "little")
+        directory = end - size
+        if start <= directory and (not entries or data[directory : directory + 4] == b"PK\1\2"):
+            found.setdefault(directory - start, end + 22 + int.from_bytes(data[end + 20 : end + 22], "little"))
         end = data.find(b"PK\5\6", end + 4)
-    return 0
+    return found
 
 
 def pdf_end(data: bytes, at: int) -> int:
@@ -155,7 +159,7 @@ def pdf_end(data: bytes, at: int) -> int:
     return end + 5 if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
 
 
-#: Media type, magic bytes (public format descriptions), validator.
+#: Media type, magic bytes (public format descriptions), validator; a ZIP's ends are found once for a value.
 FORMATS = [
     ("image/png", b"\x89PNG\r\n\x1a\n", png_end),
     ("image/gif", b"GIF87a", gif_end),
@@ -167,11 +171,9 @@ FORMATS = [
     ("image/bmp", b"BM", bmp_end),
     ("application/gzip", b"\x1f\x8b\x08", gzip_end),
     ("audio/ogg", b"OggS\0", ogg_end),
-    ("application/zip", b"PK\3\4", zip_end),
+    ("application/zip", ZIP, None),
     ("application/pdf", b"%PDF-", pdf_end),
 ]
-#: Formats whose end is searched for in all that follows: after a failure, a value's later candidates fail too.
-SEARCHED = {b"PK\3\4", b"%PDF-"}
 
 
 def automaton():
@@ -187,21 +189,21 @@ def automaton():
 
 def confirmed(data: bytes, machine) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every confirmed span, outermost first, in order; the content of the outer one is searched too."""
-    spans, hopeless = [], set()
+    spans = []
     inside: list[int] = []
+    zips: dict[int, int] | None = None
     for last, magic in machine.iter(data.decode("latin-1")):
         at = last - len(magic) + 1
-        if magic in hopeless or (inside and at < inside[-1]):
+        if inside and at < inside[-1]:
             continue
+        if magic == ZIP and zips is None:
+            zips = zip_ends(data)
         for kind, m, end in FORMATS:
-            if m == magic and (stop := end(data, at)):
+            if m == magic and (stop := end(data, at) if end else zips.get(at, 0)):
                 spans.append((kind, at, stop - at))
                 if at:  # what wraps all of the value is looked into
                     inside.append(stop)
                 break
-        else:
-            if magic in SEARCHED:
-                hopeless.add(magic)
     return spans
 
 

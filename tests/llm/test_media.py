@@ -50,6 +50,31 @@ def test_a_damaged_png_and_plain_text_are_nothing():
     assert media.confirmed(b"BM PK\3\4 RIFF GIF89a %PDF- " * 200, machine) == []
 
 
+def zipped_twice() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("inner.zip", zipped())
+        z.writestr("b.txt", "more")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(("kind", "strays"), [("application/zip", [b"PK\3\4 junk", SAMPLES["application/zip"][:-5], b"PK\5\6" + bytes(30)]), ("application/pdf", [b"a %PDF- mention", SAMPLES["application/pdf"][:-3]])])
+def test_a_stray_signature_hides_no_later_file(kind, strays):
+    data, machine = SAMPLES[kind], media.automaton()
+    for stray in strays:
+        for before in (stray, stray * 3, b"x" + stray):
+            assert (kind, len(before) + 1, len(data)) in media.confirmed(before + b" " + data + b" after", machine)
+            twice = media.confirmed(before + b" " + data + stray + b" " + data, machine)
+            assert [x for x in twice if x[0] == kind] == [(kind, len(before) + 1, len(data)), (kind, len(before) + len(data) + len(stray) + 2, len(data))]
+
+
+def test_zips_in_zips():
+    data, machine = zipped_twice(), media.automaton()
+    inner = data.index(zipped())
+    assert media.confirmed(data, machine) == [("application/zip", 0, len(data)), ("application/zip", inner, len(zipped()))]
+    assert media.confirmed(b"PK\3\4" + data, machine) == [("application/zip", 4, len(data))]
+
+
 def test_sniff_corrects_and_carves(spark):
     both = SAMPLES["image/png"] + b"--" + SAMPLES["image/gif"]
     rows = [(1, bytearray(SAMPLES["image/gif"]), "image/png"), (2, bytearray(SAMPLES["image/gif"]), "image/gif"), (3, bytearray(b"xx" + both), None), (4, None, "image/png"), (5, bytearray(b""), "a"), (6, bytearray(both), "image/png")]
