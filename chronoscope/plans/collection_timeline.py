@@ -13,7 +13,7 @@ from chronoscope.operators import timeline
 from chronoscope.plans import normalize as N
 from chronoscope.sources import collection, decoders
 
-# Sizes over which files of a class aren't read.
+# Sizes over which files of a class that is decoded as a whole aren't read (1 GiB for the others); errors() names them.
 MOST_BYTES = {"lnk": 2 << 20, "recycle_bin": 1 << 20, "rdp_cache": 1 << 30}
 
 
@@ -31,13 +31,24 @@ class Collection:
         """(artifact_class, n)."""
         return timeline.summary(self.files, "artifact_class")
 
-    def contents(self, artifact_class: str) -> DataFrame:
+    def chosen(self, artifact_class: str) -> DataFrame:
         files = self.files.where(F.col("artifact_class") == artifact_class)
         if artifact_class in collection.SINGLE:  # the last one counts
             files = files.orderBy(F.desc("ordinal")).limit(1)
-        files = files.where(F.col("size") <= MOST_BYTES.get(artifact_class, 1 << 30))
-        kept = files.select(F.col("ordinal").alias("file_ord"), "original_path", "windows_path", "username", "size")
-        return collection.zip_bytes(kept, self.archive)
+        return files.select(F.col("ordinal").alias("file_ord"), "original_path", "windows_path", "username", "size")
+
+    def contents(self, artifact_class: str) -> DataFrame:
+        """The files of a class that is decoded as a whole; the content of a too large one is null."""
+        return collection.zip_bytes(self.chosen(artifact_class), self.archive, MOST_BYTES.get(artifact_class, 1 << 30))
+
+    def streamed(self, artifact_class: str, decode, schema) -> DataFrame:
+        """The rows of files of any size."""
+        return collection.zip_decoded(self.chosen(artifact_class).drop("size"), self.archive, decode, schema)
+
+    def histories(self) -> tuple[DataFrame, DataFrame]:
+        """Firefox's and the others'."""
+        files = self.chosen("browser").withColumn("browser", browser(F.col("windows_path")))
+        return tuple(collection.zip_decoded(files.where(test), self.archive, decoders.sqlite_stream(sql), decoders.HISTORY) for test, sql in (("browser = 'Firefox'", decoders.FIREFOX_SQL), ("browser <> 'Firefox'", decoders.CHROMIUM_SQL)))
 
     def decoded(self, artifact_class: str, decode, schema) -> DataFrame:
         return decoders.decoded(self.contents(artifact_class).drop("size"), decode, schema)
@@ -49,33 +60,36 @@ class Collection:
         return raw.withColumn("text", F.when(head == "FFFE", F.replace(wide, F.lit("\ufeff"), F.lit(""))).otherwise(F.decode(F.col("content"), "UTF-8"))).drop("content")
 
     def errors(self) -> DataFrame:
-        """(artifact_class, windows_path, error) of files that couldn't be decoded."""
-        found = [self.decoded(c, d, s).where("error is not null").select(F.lit(c).alias("artifact_class"), "windows_path", "error") for c, d, s in (("usnjrnl_j", decoders.usn_records, decoders.USN), ("lnk", decoders.link, decoders.LNK), ("recycle_bin", decoders.recycled, decoders.RECYCLED))]
-        return timeline.union(*found)
+        """(artifact_class, windows_path, error) of files that couldn't be read or decoded."""
+        rows = [(c, self.decoded(c, d, s)) for c, d, s in (("lnk", decoders.link, decoders.LNK), ("recycle_bin", decoders.recycled, decoders.RECYCLED))]
+        rows += [(c, self.streamed(c, d, s)) for c, d, s in (("usnjrnl_j", decoders.usn_stream, decoders.USN), ("logfile", decoders.log_stream, decoders.LOG_PAGES), ("activities", decoders.sqlite_stream(decoders.ACTIVITY_SQL), decoders.ACTIVITY))]
+        rows += [("browser", history) for history in self.histories()]
+        rows += [(c, self.contents(c).where("content is null").withColumn("error", F.lit("ValueError: no content"))) for c in ("powershell", "scheduled_task", "rdp_cache")]
+        return timeline.union(*(df.where("error is not null").select(F.lit(c).alias("artifact_class"), "windows_path", "error") for c, df in rows))
 
     def parts(self, file_paths: DataFrame | None = None) -> dict[str, DataFrame]:
         """Timeline rows by artifact; file_paths (entry, path) resolves the journal's parents."""
         def good(df: DataFrame) -> DataFrame:
             return df.where("error is null")
 
-        log = self.decoded("logfile", decoders.log_pages, decoders.LOG_PAGES)
+        log = self.streamed("logfile", decoders.log_stream, decoders.LOG_PAGES)
         summary = decoders.log_summary(good(log), "file_ord")
         areas = good(log).where("lsn is not null").select("file_ord", (F.col("page_no") * decoders.PAGE).alias("offset"), "lsn", F.lit(None).cast("int").alias("clients"), F.col("page_no").alias("rec_ord"))
         areas = areas.join(summary.select("file_ord", F.col("record_pages").alias("pages"), "gap"), "file_ord")
         lines = decoders.text_lines(self.texts("powershell"), "text", "file_ord", "username").withColumn("rec_ord", F.col("line_no").cast("long"))
         tasks = decoders.scheduled_task(self.texts("scheduled_task"), "text").where("action is not null and date is not null")
-        history = self.contents("browser").withColumn("browser", browser(F.col("windows_path")))
-        firefox = good(decoders.decoded(history.where("browser = 'Firefox'"), decoders.sqlite_rows(decoders.FIREFOX_SQL), decoders.HISTORY)).withColumn("ts", T.firefox_time("visit"))
-        chromium = good(decoders.decoded(history.where("browser <> 'Firefox'"), decoders.sqlite_rows(decoders.CHROMIUM_SQL), decoders.HISTORY)).where("title is not null").withColumn("ts", T.chrome_time("visit"))
+        firefox, chromium = self.histories()
+        firefox = good(firefox).withColumn("ts", T.firefox_time("visit"))
+        chromium = good(chromium).where("title is not null").withColumn("ts", T.chrome_time("visit"))
         caches = decoders.rdp_cache(self.contents("rdp_cache")).withColumn("file", basename(F.col("windows_path"))).withColumn("username", username(F.col("windows_path"), "Unknown"))
         return {
             "LogFile": N.log_file(areas, self.as_of),
-            "UsnJrnl": N.change_journal(good(self.decoded("usnjrnl_j", decoders.usn_records, decoders.USN)), file_paths),
+            "UsnJrnl": N.change_journal(good(self.streamed("usnjrnl_j", decoders.usn_stream, decoders.USN)), file_paths),
             "Lnk": N.shortcuts(good(self.decoded("lnk", decoders.link, decoders.LNK)).withColumnRenamed("windows_path", "lnk_path")),
             "RecycleBin": N.recycle_bin(good(self.decoded("recycle_bin", decoders.recycled, decoders.RECYCLED))),
             "PowerShell": N.powershell(lines, self.as_of),
             "Browser": N.browser_history(timeline.union(firefox, chromium)),
-            "Activities": N.activities(good(self.decoded("activities", decoders.sqlite_rows(decoders.ACTIVITY_SQL), decoders.ACTIVITY))),
+            "Activities": N.activities(good(self.streamed("activities", decoders.sqlite_stream(decoders.ACTIVITY_SQL), decoders.ACTIVITY))),
             "RdpCache": N.rdp_bitmaps(caches, self.as_of),
             "ScheduledTask": N.scheduled_tasks(tasks),
         }

@@ -6,6 +6,7 @@ read by tasks, from a folder with Spark's binaryFile source or from a ZIP archiv
 from __future__ import annotations
 
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -146,7 +147,40 @@ def zip_bytes(files: DataFrame, archive: str, most: int = 1 << 30) -> DataFrame:
     return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
+def zip_decoded(files: DataFrame, archive: str, decode, schema) -> DataFrame:
+    """files with rec_ord, the columns of a stream decoder and ``error``, as ``decoders.decoded`` gives them, for entries of any size.
+
+    An entry is one compressed stream, so one task reads it, in chunks: first for its
+    checksum (a damaged entry has one row, with its error), then for its rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from chronoscope.sources import decoders
+
+    own = files.schema.names
+    out, names = decoders.decoded_schema(files.schema.fields, schema)
+    arrow = to_arrow_schema(out)
+    damage = (*decoders.DAMAGE, KeyError, zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError)
+
+    def rows_of(z: zipfile.ZipFile, path: str) -> Iterator[tuple]:
+        info = z.getinfo(path)
+        with z.open(info) as file:
+            while file.read(decoders.CHUNK):
+                pass
+        with z.open(info) as file:
+            yield from decode(file, info.file_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with zipfile.ZipFile(archive) as z:
+            for batch in batches:
+                for head in batch.select(own).to_pylist():
+                    yield from decoders.batches_of(rows_of(z, head["original_path"]), head, names, arrow, damage)
+
+    return files.mapInArrow(run, out)
+
+
 def folder_bytes(spark: SparkSession, folder: str, most: int = 1 << 30) -> DataFrame:
-    """(original_path, size, content) of a folder's files; large ones are left out before they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= most)
+    """(original_path, size, content) of a folder's files; the content of a larger one is null and isn't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    large = found.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    files = found.where(F.col("length") <= most).select("path", "length", "content").unionByName(large)
     return files.select(F.regexp_replace("path", r"^.*?(?=uploads/)", "").alias("original_path"), F.col("length").alias("size"), "content")

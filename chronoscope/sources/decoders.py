@@ -2,12 +2,19 @@
 
 A decoder is a function from one file's bytes to rows; ``decoded`` runs it in the
 tasks that hold the bytes and keeps what fails as error rows, so one bad file
-never stops a job. Everything after the bytes is column expressions."""
+never stops a job. Everything after the bytes is column expressions.
+
+Journals, logs and SQLite files have no bound on their size: their decoders read an
+open file in chunks (``..._stream``), and rows leave a task in batches."""
 
 from __future__ import annotations
 
+import io
+import re
+import shutil
 import struct
 from collections.abc import Callable, Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,28 +23,49 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows that leave a decoder together; bytes that a stream decoder reads at a time.
+BATCH_ROWS, CHUNK = 8192, 4 << 20
+#: What a damaged file or archive entry raises.
+DAMAGE = (ValueError, struct.error, IndexError, UnicodeDecodeError, OverflowError)
+
+
+def batches_of(rows: Iterator[tuple], head: dict, names: list[str], arrow: pa.Schema, damage: tuple = DAMAGE) -> Iterator[pa.RecordBatch]:
+    """One file's rows in batches of bounded size, and a row with the error where it fails."""
+    out = []
+    try:
+        for k, row in enumerate(rows):
+            out.append(head | {"rec_ord": k, "error": None} | dict(zip(names, row)))
+            if len(out) == BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+    except damage as error:
+        out.append(head | {"rec_ord": None, "error": f"{type(error).__name__}: {error}"} | dict.fromkeys(names))
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+
+def decoded_schema(own: list, schema: str | T.StructType) -> tuple[T.StructType, list[str]]:
+    """The schema of decoded rows of files with these fields, and the names of the decoder's columns."""
+    extra = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)  # noqa: SLF001
+    return T.StructType([*own, T.StructField("rec_ord", T.LongType()), *extra.fields, T.StructField("error", T.StringType())]), extra.names
+
+
 def decoded(files: DataFrame, decode: Callable[[bytes], Iterator[tuple]], schema: str | T.StructType, content: str = "content") -> DataFrame:
     """files without their bytes, rec_ord, the decoder's columns and ``error``; a file that fails gives one row with its error."""
     own = T.StructType([f for f in files.schema.fields if f.name != content])
-    extra = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)  # noqa: SLF001
-    out = T.StructType([*own.fields, T.StructField("rec_ord", T.LongType()), *extra.fields, T.StructField("error", T.StringType())])
+    out, names = decoded_schema(own.fields, schema)
     arrow = to_arrow_schema(out)
 
+    def rows_of(data: bytes | None) -> Iterator[tuple]:
+        if data is None:
+            raise ValueError("no content")
+        yield from decode(data)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 head = {n: batch.column(n)[i].as_py() for n in own.names}
-                data = batch.column(content)[i].as_py()
-                rows = []
-                try:
-                    if data is None:
-                        raise ValueError("no content")
-                    for k, row in enumerate(decode(data)):
-                        rows.append(head | {"rec_ord": k, "error": None} | dict(zip(extra.names, row)))
-                except (ValueError, struct.error, IndexError, UnicodeDecodeError, OverflowError) as error:
-                    rows.append(head | {"rec_ord": None, "error": f"{type(error).__name__}: {error}"} | dict.fromkeys(extra.names))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield from batches_of(rows_of(batch.column(content)[i].as_py()), head, names, arrow)
 
     return files.mapInArrow(run, out)
 
@@ -56,25 +84,43 @@ def positive(value: int) -> int | None:
 
 USN = "entry long, sequence int, parent long, parent_sequence int, usn long, ticks long, reason long, attributes long, name string"
 CLOSE = 0x80000000
+#: A record's head, name offset and name end lie in this many bytes from its beginning.
+RECORD_BYTES = 1 << 18
+NOT_ZERO = re.compile(rb"[^\0]")
 
 
 def usn_records(data: bytes) -> Iterator[tuple]:
     """Version 2 and 3 records; zero stretches are skipped, records that only say CLOSE are left out."""
-    at = 0
-    while at + 60 <= len(data):
+    return usn_stream(io.BytesIO(data), len(data))
+
+
+def usn_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
+    """The rows of usn_records from an open file of any size."""
+    place, data, base = 0, b"", 0  # data begins at base
+    while place + 60 <= size:
+        if min(size, place + RECORD_BYTES) > base + len(data):
+            skip = place - base - len(data)
+            data = data[place - base :] if skip <= 0 else b""
+            while skip > 0:
+                if not (passed := len(file.read(min(skip, CHUNK)))):
+                    raise ValueError("shorter than its size")
+                skip -= passed
+            data, base = data + file.read(CHUNK), place
+        at = place - base
         length, major = struct.unpack_from("<IH", data, at)
-        if not 60 <= length <= len(data) - at or major not in (2, 3):
-            at += 8
+        if not 60 <= length <= size - place or major not in (2, 3):
+            found = NOT_ZERO.search(data, at)
+            place += max(8, ((found.start() if found else len(data)) - at) // 8 * 8)
             continue
         wide = 16 if major == 3 else 0
         if length >= 60 + wide:
             entry = int.from_bytes(data[at + 8 : at + 16], "little")
             parent = int.from_bytes(data[at + 16 + wide // 2 : at + 24 + wide // 2], "little")
-            usn, ticks, reason, _, _, attributes, size, start = struct.unpack_from("<qQIIIIHH", data, at + 24 + wide)
-            if reason != CLOSE and start + size <= length:
+            usn, ticks, reason, _, _, attributes, name_size, start = struct.unpack_from("<qQIIIIHH", data, at + 24 + wide)
+            if reason != CLOSE and start + name_size <= length:
                 low = (1 << 48) - 1
-                yield entry & low, entry >> 48, parent & low, parent >> 48, usn, positive(ticks), reason, attributes, data[at + start : at + start + size].decode("utf-16-le", "replace")
-        at += -(-length // 8) * 8
+                yield entry & low, entry >> 48, parent & low, parent >> 48, usn, positive(ticks), reason, attributes, data[at + start : at + start + name_size].decode("utf-16-le", "replace")
+        place += -(-length // 8) * 8
 
 
 # Log file
@@ -85,8 +131,13 @@ LOG_PAGES = "page_no long, kind string, lsn long"
 
 def log_pages(data: bytes) -> Iterator[tuple]:
     """A row for each page: its kind (RSTR, RCRD, zero, other) and the LSN of a restart area."""
-    for number in range(len(data) // PAGE):
-        page = data[number * PAGE : (number + 1) * PAGE]
+    return log_stream(io.BytesIO(data), len(data))
+
+
+def log_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
+    """The rows of log_pages from an open file of any size."""
+    for number in range(size // PAGE):
+        page = file.read(PAGE)
         kind = page[:4].decode("latin-1") if page[:4] in (b"RSTR", b"RCRD") else "other" if any(page) else "zero"
         lsn = None
         if kind == "RSTR":
@@ -211,13 +262,18 @@ MOST_ROWS = 10_000
 
 def sqlite_rows(sql: str, most: int = MOST_ROWS) -> Callable[[bytes], Iterator[tuple]]:
     """A decoder of a SQLite file's bytes by one query with a row limit."""
+    return lambda data: sqlite_stream(sql, most)(io.BytesIO(data), len(data))
+
+
+def sqlite_stream(sql: str, most: int = MOST_ROWS) -> Callable[[IO[bytes], int], Iterator[tuple]]:
+    """sqlite_rows from an open file of any size."""
 
-    def decode(data: bytes) -> Iterator[tuple]:
+    def decode(source: IO[bytes], size: int) -> Iterator[tuple]:
         import sqlite3
         import tempfile
 
         with tempfile.NamedTemporaryFile(suffix=".db") as file:
-            file.write(data)
+            shutil.copyfileobj(source, file, CHUNK)
             file.flush()
             try:
                 with sqlite3.connect(f"file:{file.name}?mode=ro", uri=True) as db:

@@ -57,3 +57,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([archive(tmp_path), "--export-csv", f"{tmp_path}/out", "--as-of", "2025-01-01"]) == 0
     assert "powershell: 1" in capsys.readouterr().err
     assert sum(len(p.read_text().splitlines()) - 1 for p in (tmp_path / "out").glob("part-*.csv")) == 10
+
+
+def test_no_size_hides_a_file(spark, tmp_path):
+    """A journal over 1 GiB (sparse, as they are) gives all its rows; what is too large to be read as a whole is an error row."""
+    path = f"{tmp_path}/Collection-h-2025.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        with z.open(zipfile.ZipInfo("uploads/ntfs/%5C%5C.%5CC%3A/$Extend/$UsnJrnl%3A$J"), "w", force_zip64=True) as file:
+            file.write(usn("a.txt", 0x100))
+            for _ in range(257):
+                file.write(bytes(4 << 20))
+            file.write(usn("b.txt", 0x200))
+        z.writestr(HIDDEN + "Users/al/x.lnk", bytes((2 << 20) + 1))
+    found = Collection(spark, path, "2025-01-01 00:00:00")
+    assert [(r.event_code, r.path) for r in found.timeline().orderBy("rec_ord").collect()] == [("CREATE", "a.txt"), ("DEL", "b.txt")]
+    assert [(r.artifact_class, r.error) for r in found.errors().collect()] == [("lnk", "ValueError: no content")]
+
+
+def test_streams_cross_chunks_and_batches(spark, tmp_path, monkeypatch):
+    import io
+
+    from chronoscope.sources import collection, decoders
+
+    data = b"".join(usn(f"{i}.txt", 0x100) + bytes(8 * (i % 5)) + (b"\x01" * 8 if i % 7 == 0 else b"") for i in range(9000))
+    whole = list(decoders.usn_records(data))
+    assert [r[-1] for r in whole] == [f"{i}.txt" for i in range(9000)]
+    monkeypatch.setattr(decoders, "RECORD_BYTES", 200)
+    for chunk in (200, 331, 4096):
+        monkeypatch.setattr(decoders, "CHUNK", chunk)
+        assert list(decoders.usn_stream(io.BytesIO(data), len(data))) == whole
+    arrow_rows = [b.num_rows for b in decoders.batches_of(iter([(i,) for i in range(9000)]), {}, ["x"], __import__("pyarrow").schema([("rec_ord", "int64"), ("x", "int64"), ("error", "string")]))]
+    assert arrow_rows == [8192, 808]
+    (tmp_path / "big.bin").write_bytes(b"abc")
+    assert [(r.size, r.content) for r in collection.folder_bytes(spark, str(tmp_path), most=2).collect()] == [(3, None)]
