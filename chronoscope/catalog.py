@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoscope.functions import text as X
@@ -558,8 +558,14 @@ def history_lines(spark, d):
 @query("""WITH runs AS (SELECT user_id, list(epoch_us(ts) * (event_id % 5 > 0)::BIGINT ORDER BY event_id) AS r FROM events GROUP BY 1)
 SELECT user_id, unnest(list_filter(r, lambda x: x <> 0)) AS us, len(list_filter(r, lambda x: x <> 0)) AS run_count FROM runs""")
 def explode_run_times(spark, d):
-    runs = table(spark, d, "events").groupBy("user_id").agg(F.array_agg(F.when(F.col("event_id") % 5 > 0, micros("ts")).otherwise(0)).alias("r"))
-    return runs.withColumn("r", F.filter("r", lambda x: x != 0)).select("user_id", F.explode("r").alias("us"), F.size("r").cast("long").alias("run_count"))
+    return counted_runs(table(spark, d, "events"))
+
+
+def counted_runs(events: DataFrame) -> DataFrame:
+    """Every run's time with the number of its user's runs; no user's rows are gathered in one place."""
+    runs = events.where(F.col("event_id") % 5 > 0).select("user_id", micros("ts").alias("us")).where("us <> 0")
+    counts = runs.groupBy(F.col("user_id").alias("counted_user")).agg(F.count("*").alias("run_count"))
+    return runs.join(counts, F.col("user_id").eqNullSafe(F.col("counted_user"))).select("user_id", "us", "run_count")
 
 
 @query("""WITH p AS (SELECT o_custkey, min(epoch_us(o_orderdate)) AS a, nullif(max(epoch_us(o_orderdate)), min(epoch_us(o_orderdate))) AS b FROM orders GROUP BY 1)
@@ -574,9 +580,20 @@ def first_last_events(spark, d):
 SELECT event_id, CAST(coalesce(list_position(mru, k) - 1, k) AS INTEGER) AS position FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) JOIN o USING (user_id)""")
 def mru_position(spark, d):
     e = table(spark, d, "events").withColumn("k", key_of(F.col("props")))
-    order = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.transform(F.array_sort(F.array_agg(F.struct("event_id", "k"))), lambda x: x["k"]).alias("mru"))
-    position = F.nullif(F.array_position("mru", F.col("k")), F.lit(0)) - 1
-    return e.join(order, "user_id").select("event_id", F.coalesce(position, F.col("k")).cast("int").alias("position"))
+    return mru_positions(e)
+
+
+def mru_positions(e: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """The first place of each event's k among its user's third events, numbered within stretches of ids and over the stretches' counts."""
+    third = e.where("event_id % 3 = 0").select("user_id", "event_id", "k", F.floor(F.col("event_id") / stretch).alias("stretch"))
+    counts = third.groupBy("user_id", "stretch").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("user_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("user_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("user_id", "stretch").orderBy("event_id", "k")) - 1
+    first = third.withColumn("inside", inside).groupBy("user_id", "stretch", "k").agg(F.min("inside").alias("inside"))
+    first = first.join(bases, ["user_id", "stretch"]).groupBy("user_id", "k").agg(F.min(F.col("base") + F.col("inside")).alias("first"))
+    known = e.join(counts.select("user_id").distinct(), "user_id", "left_semi")
+    return known.join(first, ["user_id", "k"], "left").select("event_id", F.coalesce("first", "k").cast("int").alias("position"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size, p_size % 7 AS start, p_partkey % 3 AS control_set, p_partkey % 11 AS host FROM part WHERE coalesce(nullif(p_size % 7, 6), 3) <= 2)

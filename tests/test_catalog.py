@@ -50,3 +50,26 @@ def test_plans(spark, small):
     assert "Python" not in plan and "Exchange" not in plan
     plan = catalog.queries()["max_lsn"](spark, small)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_orderkey:bigint>" in plan
+
+
+def test_no_user_is_gathered_in_one_array(spark):
+    """On a table where a user has most rows, with null users and keys; the plans have no array of a user's events."""
+    from collections import defaultdict
+
+    from chronoscope import catalog
+
+    rows = [(i, None if i % 50 == 7 else 1 if i % 3 else i % 5, None if i % 11 == 0 else i * 7 % 31) for i in range(600)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, k int").selectExpr("*", "timestamp_micros(event_id * (event_id % 4)) AS ts")
+    mru, runs = defaultdict(list), defaultdict(list)
+    for i, u, k in rows:
+        if u is not None and i % 3 == 0:
+            mru[u].append(k)
+        if i % 5 and i * (i % 4):
+            runs[u].append(i * (i % 4))
+    want = sorted(((i, None if k is None else mru[u].index(k) if k in mru[u] else k) for i, u, k in rows if u in mru), key=str)
+    found = catalog.mru_positions(e, stretch=50)
+    assert sorted(map(tuple, found.collect()), key=str) == want
+    counted = catalog.counted_runs(e)
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted(((u, t, len(r)) for u, r in runs.items() for t in r), key=str)
+    for df in (found, counted):
+        assert "collect_list" not in df._jdf.queryExecution().toString().lower() and "array" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
