@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoscope.llm.language import held_out
-from chronoscope.llm.shared import most_frequent, plain, slices, written
+from chronoscope.llm.shared import most_frequent, plain, slices, tidy, written
 from chronoscope.llm.shingles import string_hashes
 
 OWN_UNITS, ENDING_UNITS, CLASSES, PASSES = 2048, 512, 64, 4
@@ -90,7 +90,7 @@ def word_counts(learning: DataFrame) -> DataFrame:
                     held = 0
         yield counted()
 
-    return learning.select("t").mapInArrow(run, "word long, bucket int, c long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
+    return learning.select("t").mapInArrow(tidy(run), "word long, bucket int, c long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
 
 
 @dataclass
@@ -136,7 +136,7 @@ def unit_bigrams(learning: DataFrame, units: Units) -> np.ndarray:
         for i in range(0, len(pairs), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 18)]), pa.array(total[pairs[i : i + (1 << 18)]].astype(np.int64))], names=["pair", "n"])
 
-    found = learning.select("t").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = learning.select("t").mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(units.many * units.many)
     table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     return table.reshape(units.many, units.many)
@@ -267,7 +267,7 @@ def partial_scores(rows: DataFrame, model: BrownModel) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
                 yield pa.RecordBatch.from_arrays([part.column(ROW), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends)), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(classed), *lists], names=[ROW, "doc_id", "held_out", "n_tokens", "known", "counted", "classed", "rare", "times"])
 
-    return rows.select(ROW, "doc_id", "held_out", "t").mapInArrow(run, SCORED)
+    return rows.select(ROW, "doc_id", "held_out", "t").mapInArrow(tidy(run), SCORED)
 
 
 def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from chronoscope.llm.shared import written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, comp) for every end of an edge (columns a and b): comp is the smallest v of its component.
 
     Each round gives a vertex the smallest label among its neighbours' and its own,
-    then follows labels twice (pointer doubling), so rounds grow with the logarithm
-    of a component's diameter. Sums over a hot vertex are combined before the shuffle."""
+    then follows labels twice (pointer doubling). Labels only ever fall, so a round
+    without a change comes, and is the last; rounds grow with the logarithm of a
+    component's diameter. Sums over a hot vertex are combined before the shuffle."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("comp")), "labels")
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").select(F.col("a").alias("v"), "comp")
         least = seen.union(labels.select("v", "comp")).groupBy("v").agg(F.min("comp").alias("comp"))
         jumped = least
@@ -27,4 +28,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.join(labels.select("v", F.col("comp").alias("old")), "v").where("comp <> old").isEmpty():
             return new
         labels = new
-    raise RuntimeError(f"components not found in {most_rounds} rounds")

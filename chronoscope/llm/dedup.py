@@ -3,14 +3,16 @@
 A text, without its ASCII white space, is cut where its own content says so. Its
 recipe is the ordered list of its chunks' identifiers, and texts are equal exactly
 when their recipes are. Identifiers are 64-bit hashes that are verified: distinct
-chunks are gathered once, copies combined before the shuffle, and no hash may
-stand for two different chunks. Should one ever do so, ``recipes`` falls back to
-the chunks themselves as identifiers. After that only recipes move, not texts.
+chunks are gathered once, copies combined before the shuffle, and the hashes that
+stand for several different chunks are listed (n chunks have about n * n / 2 ** 65
+of these: 70 among 5e10). A recipe with such a hash has the chunk itself beside it,
+and no other chunk moves again. After that recipes move, not texts.
 
 Defined results: a null text counts as empty and all empty texts are one group; a
-null id loses against any other; of rows that are alike in all, ids included,
-exactly one stays; an empty table gives an empty result; further columns are not
-read (``unique_documents`` returns them).
+very long text has a longer recipe, nothing else; a null id loses against any other;
+of rows that are alike in all, ids included, exactly one stays; an empty table gives
+an empty result; further columns are not read (``unique_documents`` returns them,
+whatever their names).
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoscope.llm.shared import written
+from chronoscope.llm.shared import in_file_order, quoted, unused, written
 
 #: The white space that texts are compared without.
 BLANKS = r"[\x20\x09-\x0D]+"
-#: A chunk has at least and at most so many characters, and ends after four characters of this class if it can.
-LEAST, MOST, ENDING = 1024, 8192, "[adgjmpsvyADGJMPSVY0369éèüñö.]"
-CHUNK = rf"(?s).{{{LEAST},{MOST}}}?{ENDING}{{4}}|.{{1,{MOST}}}"
+#: A chunk has at least and at most so many characters (and five), and ends where two characters follow each other
+#: as they did three places before, if it can: that happens in any script. Where there are thousands of signs
+#: (from CJK radicals to Hangul syllables), one is enough.
+LEAST, MOST = 1024, 8192
+CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?:(.)(.).\1\2|([\u2E80-\uD7FF])..\3)|.{{1,{MOST}}}"
 
 ROW = "dedup_row"
 
@@ -38,37 +42,43 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def hashes_are_identifiers(docs: DataFrame, text_column: str) -> bool:
-    """Whether no 64-bit hash belongs to two different chunks of the table."""
+def identifier(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
+def shared_hashes(docs: DataFrame, text_column: str) -> list[int]:
+    """The hashes that belong to several different chunks of the table."""
     chunk = docs.select(F.explode(chunks(normalised(F.col(text_column)))).alias("chunk"))
-    distinct = chunk.select(F.xxhash64("chunk").alias("hash"), "chunk").distinct()
-    return distinct.groupBy("hash").count().where("count > 1").isEmpty()
+    distinct = chunk.select(identifier(F.col("chunk")).alias("hash"), "chunk").distinct()
+    return [r["hash"] for r in distinct.groupBy("hash").count().where("count > 1").select("hash").collect()]
 
 
-def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each document: row number, id, characters of the original text, digest of the normalised text, recipe."""
-    text = normalised(F.col(text_column))
-    identifier = F.xxhash64 if hashes_are_identifiers(docs, text_column) else (lambda x: x)
+def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row: Column | None = None) -> DataFrame:
+    """A row for each document: row number, id, characters of the original text, digest of the normalised text, recipe, and the chunks whose hashes others have too."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias(ROW),
+        (F.monotonically_increasing_id() if row is None else row).alias(ROW),
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.length(F.col(text_column).cast("string")), F.lit(0)).alias("chars"),
-        text.alias("norm"),
+        normalised(F.col(text_column)).alias("norm"),
     )
-    return rows.select(ROW, "doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda x: identifier(x)).alias("recipe"))
+    cut = rows.select(ROW, "doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunks"))
+    several = shared_hashes(docs, text_column)
+    doubtful = F.filter("chunks", lambda x: F.array_contains(F.lit(several), identifier(x))) if several else F.lit(None).cast("array<string>")
+    return cut.select(ROW, "doc_id", "chars", "text_sha256", F.transform("chunks", identifier).alias("recipe"), doubtful.alias("doubtful"))
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row: Column | None = None) -> DataFrame:
     """A row for each document: dedup_row, doc_id, keep_id (of the row that stays), group_size, kept, text_sha256.
 
-    Of equal texts the one with the most characters, then the smallest id, stays.
-    dedup_row is the row's ``monotonically_increasing_id`` in the input's scan."""
-    keyed = written(recipes(docs, id_column, text_column), "recipes")
+    Of equal texts the one with the most characters, then the smallest id, then the
+    smallest row number, stays. dedup_row is ``row``, a number that each row has for
+    itself, or one that this run alone gives."""
+    keyed = written(recipes(docs, id_column, text_column, row), "recipes")
     best = F.max(F.struct("chars", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id").alias("low_id"), F.bitwise_not(ROW).alias("low_row")))
-    groups = keyed.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1")
+    groups = keyed.groupBy("recipe", "doubtful").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1")
     # A written table has no partitioning of its own, so Spark deals both sides for the join and can split a skewed key.
-    groups = written(groups.select("recipe", "group_size", F.bitwise_not("best.low_id").alias("keep_id"), F.bitwise_not("best.low_row").alias("keep_row")), "groups")
-    joined = keyed.join(groups, "recipe", "left")
+    groups = written(groups.select(F.col("recipe").alias("r"), F.col("doubtful").alias("d"), "group_size", F.bitwise_not("best.low_id").alias("keep_id"), F.bitwise_not("best.low_row").alias("keep_row")), "groups")
+    joined = keyed.join(groups, (keyed["recipe"] == groups["r"]) & keyed["doubtful"].eqNullSafe(groups["d"]), "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         ROW,
@@ -81,9 +91,11 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def unique_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input's rows without those that an equal text replaces. The input must be a scan of files, whose row numbers are the same each time."""
-    kept = exact_duplicates(docs, id_column, text_column).where("kept").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, ROW, "left_semi").drop(ROW)
+    """The input's rows without those that an equal text replaces."""
+    row = unused(docs, ROW)
+    numbered = in_file_order(docs, row)
+    kept = exact_duplicates(numbered, id_column, text_column, F.col(row)).where("kept").select(F.col(ROW).alias(row))
+    return numbered.join(kept, row, "left_semi").select(*map(quoted, docs.columns))
 
 
 ORACLE_SQL = r"""

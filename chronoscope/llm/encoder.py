@@ -17,19 +17,21 @@ import pyarrow.compute as pc
 
 #: Ends of words that may be split off before a letters-only part; quotes and the signs of special tokens stay.
 TRAILING = "".join(sorted(set(string.punctuation) - set("'<>|")))
+#: What a word in the cache takes besides its own letters (an entry, an object, numbers), about.
+WORD_BYTES = 150
 
 
 class WordEncoder:
-    """Encodes texts through a bounded cache of words."""
+    """Encodes texts through a cache of words that is bounded in bytes; a task makes its own, so that nothing outlives it."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000, words_a_call: int = 500):
+    def __init__(self, path: str, most_bytes: int = 32 << 20, words_a_call: int = 500):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most_words, self.words_a_call = most_words, words_a_call
+        self.most_bytes, self.words_a_call = most_bytes, words_a_call
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -39,6 +41,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
+        self.held = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int32)
@@ -54,7 +57,7 @@ class WordEncoder:
         keys = pc.if_else(letters, pc.ascii_lower(stems), words)
         cut = np.flatnonzero(pc.less(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False) & letters.to_numpy(zero_copy_only=False))
         tails = pc.replace_substring_regex(words.take(pa.array(cut)), r"^.*[^" + re.escape(TRAILING) + r"]", "")
-        if len(self.rows) > self.most_words:
+        if self.held > self.most_bytes:
             self._forget()
         at = self._rows(keys)
         if len(cut):  # a word and its tail are two units
@@ -79,6 +82,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Adds rows for words. Letters-only words are encoded many a call; the ids of each must end with its only word end, else all of that call are encoded alone."""
         first = len(self.rows)
+        self.held += WORD_BYTES * len(words) + 2 * sum(map(len, words))
         self.rows.update(zip(words, range(first, first + len(words))))
         self.starts = _room(self.starts, first + len(words))
         self.lengths = _room(self.lengths, first + len(words))
@@ -114,13 +118,3 @@ def _room(array: np.ndarray, needed: int) -> np.ndarray:
     out = np.zeros(max(needed, 2 * len(array)), array.dtype)
     out[: len(array)] = array
     return out
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]

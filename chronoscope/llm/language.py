@@ -1,19 +1,24 @@
 """Language identification by language-bitmask n-gram filters.
 
 Training counts letter trigrams (with word ends) by language over all learning
-documents, and keeps those that make up at least LEAST_SHARE of a language's
-trigrams, so a language has at most 1 / LEAST_SHARE of them however large the
-corpus is. They go into one bit-sliced Bloom filter: a slot has a bit for each
-language, a trigram sets its languages' bits in HASHES slots, and the AND of
-these slots returns all languages that contain a trigram, in one lookup.
-
-A text's trigrams are looked up, hits are counted by language, and each count is
-corrected by the filter's false-positive rate for that language, which follows
-from the share of its bits that are set. The highest corrected share decides.
+documents. All of them go into one bit-sliced Bloom filter: a slot has a bit for each
+language and level, a trigram sets its languages' bits in HASHES slots, and the AND
+of these slots returns all languages that contain a trigram, in one lookup. Level 0
+has every trigram of a language, the next ones those that make up at least a share
+of its trigrams (LEVELS): the larger a corpus, the more trigrams every language has
+at all, by names and quotations, but the shares stay.
+
+A text's trigrams are looked up, hits are counted by language and level, and each
+count is corrected by the filter's false-positive rate for these, which follows from
+the share of the bits that are set: (hits - rate) summed over the levels, by the sum of
+(1 - rate), so a level that is so full that it tells nothing has no weight. The highest
+corrected share decides.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or
-where nothing could be learned; equal shares go to the first language by name; a
-document without id counts as one with an empty id; further columns aren't read.
+where nothing could be learned; equal shares go to the first language by name; rows
+with the same id are treated each for itself; a text of any length counts as a whole;
+a document without id counts as one with an empty id; an empty table gives an empty
+result; further columns aren't read, but columns named as the result's are replaced.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoscope.llm.shared import plain, slices
+from chronoscope.llm.shared import plain, slices, tidy
 
 UNDECIDED = "und"
-#: A trigram's least share of a language's trigrams.
-LEAST_SHARE = 1e-4
-#: Slots (a power of two) and hash functions of the filter; languages at most.
-SLOTS, HASHES, MOST_LANGUAGES = 1 << 20, 3, 4096
+#: The least share of a language's trigrams that a trigram of each level has.
+LEVELS = (0.0, 1e-5, 1e-4)
+#: Slots (a power of two) and hash functions of the filter. Beyond WORDS words of 64 bits in all, the slots are halved
+#: until the table is no larger, but not below LEAST_SLOTS.
+SLOTS, HASHES, WORDS, LEAST_SLOTS = 1 << 20, 3, 1 << 22, 1 << 10
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 _letters: np.ndarray | None = None
@@ -62,39 +68,48 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (before << 42 | points << 21 | after)[letter], text[letter]
 
 
-def slots_of(grams: np.ndarray, k: int) -> np.ndarray:
+def slots_of(grams: np.ndarray, k: int, slots: int = SLOTS) -> np.ndarray:
     """The slot of each trigram under hash function k."""
     x = (grams.astype(np.uint64) + SEEDS[k]) * SEEDS[(k + 1) % len(SEEDS)]
     x ^= x >> np.uint64(29)
-    return ((x * SEEDS[k]) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    return ((x * SEEDS[k]) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
 @dataclass
 class LanguageFilter:
-    """The filter: a 64-bit word a slot for every 64 languages."""
+    """The filter: a 64-bit word a slot for every 64 bits, bit ``level * languages + language``."""
 
     languages: list[str]
     words: np.ndarray
+    levels: int = 1
+
+    def bit(self, i: int, words: list[np.ndarray] | np.ndarray) -> np.ndarray:
+        return (words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
 
     def false_rates(self) -> np.ndarray:
-        """For each language how often a trigram that it doesn't contain is found."""
-        return np.array([((self.words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** HASHES for i in range(len(self.languages))])
+        """For each bit how often a trigram that isn't in its set is found."""
+        return np.array([self.bit(i, self.words).mean() ** HASHES for i in range(self.levels * len(self.languages))])
 
     def contained(self, grams: np.ndarray) -> list[np.ndarray]:
-        """A bit for each language that contains a trigram, 64 languages a word."""
-        at = [slots_of(grams, k) for k in range(HASHES)]
+        """The bits of each trigram, 64 a word."""
+        at = [slots_of(grams, k, self.words.shape[1]) for k in range(HASHES)]
         return [np.bitwise_and.reduce([word[x] for x in at]) for word in self.words]
 
-    def shares(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, texts: pa.Array, rates: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(text, language) shares of trigrams, corrected for false positives, and each text's number of trigrams."""
         grams, text = trigrams(texts)
         many = np.bincount(text, minlength=len(texts))
         found = self.contained(grams)
-        out = np.zeros((len(texts), len(self.languages)))
-        for i, rate in enumerate(self.false_rates()):
-            hits = np.bincount(text[(found[i // 64] >> np.uint64(i % 64)) & np.uint64(1) == 1], minlength=len(texts))
-            out[:, i] = (hits / np.maximum(many, 1) - rate) / max(1e-9, 1 - rate)
-        return np.clip(out, 0, 1), many
+        rates = self.false_rates() if rates is None else rates
+        having = np.flatnonzero(many)
+        first = (np.cumsum(many) - many)[having]
+        out, n = np.zeros((len(texts), len(self.languages))), len(self.languages)
+        for i, rate in enumerate(rates):
+            if len(having):
+                hits = np.add.reduceat(self.bit(i, found), first)
+                out[having, i % n] += hits / many[having] - rate
+        weight = (1 - rates.reshape(self.levels, n)).sum(0) if n else np.ones(0)
+        return np.clip(out / np.maximum(weight, 1e-9), 0, 1), many
 
 
 def trigram_counts(labelled: DataFrame) -> DataFrame:
@@ -110,32 +125,36 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
                     found, n = np.unique(grams[code[text] == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "gram", "n"])
 
-    return labelled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return labelled.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, least_share: float = LEAST_SHARE) -> LanguageFilter:
-    """The filter of a table with columns lang (not null) and t. Counting is Spark's; at most SLOTS slots by 64 languages come to the driver."""
+def learn(labelled: DataFrame, levels: tuple[float, ...] = LEVELS) -> LanguageFilter:
+    """The filter of a table with columns lang (not null) and t. Counting is Spark's; the filled slots come to the driver, at most WORDS of them unless LEAST_SLOTS for all languages are more."""
     counts = trigram_counts(labelled).persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = [r["lang"] for r in totals.select("lang").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    words = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
+    languages = [r["lang"] for r in totals.select("lang").orderBy("lang").collect()]
+    many, slots = max(1, -(-len(languages) * len(levels) // 64)), SLOTS
+    while many * slots > WORDS and slots > LEAST_SLOTS:
+        slots //= 2
+    words = np.zeros((many, slots), np.uint64)
     if languages:
-        order = labelled.sparkSession.createDataFrame([(x, i // 64, 1 << i % 64 if i % 64 < 63 else -(1 << 63)) for i, x in enumerate(languages)], "lang string, word int, bit long")
-        kept = counts.join(totals, "lang").where(F.col("n") >= least_share * F.col("total")).join(F.broadcast(order), "lang").groupBy("word", "gram").agg(F.bit_or("bit").alias("bits"))
+        order = labelled.sparkSession.createDataFrame(list(zip(languages, range(len(languages)))), "lang string, nth int")
+        n = len(languages)
+        shared = counts.join(totals, "lang").join(order, "lang")
+        bits = F.array_compact(F.array(*(F.when(F.col("n") >= share * F.col("total"), F.col("nth") + k * n) for k, share in enumerate(levels))))
+        kept = shared.select("gram", F.explode(bits).alias("bit")).select("gram", F.floor(F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("bits")).groupBy("word", "gram").agg(F.bit_or("bits").alias("bits"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 grams = batch.column("gram").to_numpy()
-                at = np.concatenate([slots_of(grams, k) for k in range(HASHES)])
-                many = [x for x in (batch.column("word"), batch.column("bits"))]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([many[0]] * HASHES), pa.array(at), pa.concat_arrays([many[1]] * HASHES)], names=["word", "slot", "bits"])
+                at = np.concatenate([slots_of(grams, k, slots) for k in range(HASHES)])
+                word, bits = batch.column("word"), batch.column("bits")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([word] * HASHES), pa.array(at), pa.concat_arrays([bits] * HASHES)], names=["word", "slot", "bits"])
 
-        filled = kept.mapInArrow(run, "word int, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        filled = kept.mapInArrow(tidy(run), "word int, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
         words[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
     counts.unpersist()
-    return LanguageFilter(languages, words)
+    return LanguageFilter(languages, words, len(levels))
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text_column: str = "text") -> DataFrame:
@@ -145,10 +164,11 @@ def identify(docs: DataFrame, model: LanguageFilter, text_column: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        rates = model.false_rates()
         names = np.array([*model.languages, UNDECIDED], object)
         for batch in batches:
             for part in slices(batch, text_column):
-                share, many = model.shares(plain(part.column(text_column)))
+                share, many = model.shares(plain(part.column(text_column)), rates)
                 if model.languages:
                     best = np.where(many > 0, share.argmax(1), len(model.languages))
                     score = np.where(many > 0, share.max(1), 0.0)
@@ -156,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_column: str = "text")
                     best, score = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_column: str, folds: int, fold: int):

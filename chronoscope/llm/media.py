@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoscope.llm.shared import slices, written
+from chronoscope.llm.shared import slices, tidy, written
 
 UNKNOWN = "application/octet-stream"
 SAMPLE_RATE = 8000
@@ -252,7 +252,7 @@ def sniff(df: DataFrame, media: str, declared: str | None = None) -> DataFrame:
                 spans = pa.array(embedded, pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kinds, pa.string()), pa.array(corrected), spans], names=[*part.schema.names, "media_type", "media_corrected", "embedded"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *SNIFFED.fields]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *SNIFFED.fields]))
 
 
 def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -265,7 +265,7 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 media = [as_wave(x + bytes(-len(x) % PAYLOAD_UNIT or (0 if x else PAYLOAD_UNIT))) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column("d"), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("t")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("t")).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 DIGEST_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -291,7 +291,7 @@ def wave_digests(media: DataFrame) -> DataFrame:
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=DIGEST_NAMES)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def stored_text_media(docs: DataFrame) -> DataFrame:

@@ -25,8 +25,10 @@ Defined results: every row gets a place, none is dropped or repeated; slots of a
 source that has run out stay empty and the rest keep their order; a source not
 named in the weights, or null, belongs to the rest, which is one source (with
 ``each``, null is a source of the rest); a null
-text or size counts as 0; equal ids are ordered by row number; an empty table
-gives an empty result; columns with the names of the result's are replaced.
+text or size counts as 0; a text longer than a block begins in one and leaves the
+next ones of its source empty; equal ids are ordered by row number, and rows without
+id are dealt by it; an empty table gives an empty result; further columns are not
+read (``mixture`` returns them, whatever their names).
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoscope.llm.shared import written
+from chronoscope.llm.shared import in_file_order, quoted, unused, written
 
 #: The rest of the sources, in weights and in ``mix_source``.
 REST = "*"
@@ -73,12 +75,13 @@ def cycle(weights: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column | None = None, block_size: int = BLOCK_SIZE, seed: int = 1, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", each: bool = False) -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column | None = None, block_size: int = BLOCK_SIZE, seed: int = 1, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", each: bool = False, row: Column | None = None) -> DataFrame:
     """A row for each document: mix_row, doc_id, mix_source, block, slot and place (order within the slot).
 
     Ordering by slot and place gives the mixture. ``size`` is a document's size, by
     default its text's characters; a document lies in the block in which it begins.
-    ``each`` schedules every source of the rest by itself; mix_source is then its own name."""
+    ``each`` schedules every source of the rest by itself; mix_source is then its own name.
+    mix_row is ``row``, a number that each row has for itself, by default its place in the order of the files."""
     spark = docs.sparkSession
     weights = weights or WEIGHTS
     if REST not in weights:
@@ -91,9 +94,12 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column
     source = F.coalesce(text, F.lit(REST)) if each else F.when(text.isin(named), text).otherwise(REST)
     size = F.length(F.col(text_column).cast("string")) if size is None else size
     buckets = max(LEAST_BUCKETS, -(-docs.count() // BUCKET_DOCUMENTS))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_column).cast("string")))
-    bucket = F.conv(F.left(key, F.lit(8)), 16, 10).cast("long") % buckets
-    rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_column).cast("long").alias("doc_id"), source.alias("mix_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), bucket.alias("bucket"), key.alias("key"))
+    if row is None:
+        row = F.col(unused(docs, ROW))
+        docs = in_file_order(docs, unused(docs, ROW))
+    rows = docs.select(row.alias(ROW), F.col(id_column).cast("long").alias("doc_id"), source.alias("mix_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col(ROW).cast("string"))))))
+    rows = rows.withColumn("bucket", F.conv(F.left("key", F.lit(8)), 16, 10).cast("long") % buckets)
     rows = written(rows, "mix-rows")
     order = Window.partitionBy("bucket", "mix_source").orderBy("key", "doc_id", ROW)
     inside = rows.repartition("bucket").withColumn("before", F.sum("size").over(order) - F.col("size")).withColumn("nth", F.row_number().over(order))
@@ -115,12 +121,11 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, size: Column
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The input's rows in the mixture's order, as ordered ranges of partitions: files written from it follow each other in that order.
-
-    The input must be a scan of files, whose row numbers are the same each time."""
-    at = placed(docs, **options).select(ROW, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return numbered.join(at, ROW).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+    """The input's rows in the mixture's order, as ordered ranges of partitions: files written from it follow each other in that order."""
+    row, slot, place = (unused(docs, x) for x in (ROW, "mix_slot", "mix_place"))
+    numbered = in_file_order(docs, row)
+    at = placed(numbered, row=F.col(row), **options).select(F.col(ROW).alias(row), F.col("slot").alias(slot), F.col("place").alias(place))
+    return numbered.join(at, row).repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*map(quoted, docs.columns))
 
 
 def oracle_sql() -> str:

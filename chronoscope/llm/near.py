@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoscope.llm.components import components
-from chronoscope.llm.shared import most_frequent, plain, slices, written
+from chronoscope.llm.shared import most_frequent, plain, slices, tidy, written
 from chronoscope.llm.shingles import shingle_sets
 
 #: Defaults: words of a shingle and the least similarity in hundredths.
@@ -95,7 +95,7 @@ def classes_and_repeats(rows: DataFrame, width: int) -> DataFrame:
                     held = 0
         yield repeats()
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(tidy(run), FOUND)
 
 
 def common_tokens(found: DataFrame) -> np.ndarray:
@@ -133,7 +133,7 @@ def prefixes(rows: DataFrame, width: int, percent: int, common: np.ndarray) -> D
                 flat = np.concatenate([x[3] for x in out.values()]) if out else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), *(pa.array([x[k] for x in out.values()], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in out.values()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))], names=["cls", "n", "rare", "gid", "prefix"])
 
-    return rows.mapInArrow(run, "cls binary, n long, rare long, gid binary, prefix array<long>")
+    return rows.mapInArrow(tidy(run), "cls binary, n long, rare long, gid binary, prefix array<long>")
 
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -146,7 +146,7 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
                 digests = [set_digest(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(tokens)))], names=["cls", "tokens"])
 
-    return rows.mapInArrow(run, "cls binary, tokens array<long>")
+    return rows.mapInArrow(tidy(run), "cls binary, tokens array<long>")
 
 
 def overlap_needed(n: str, m: str, percent: int) -> str:

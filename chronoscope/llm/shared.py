@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python task works on at a time.
-SLICE_BYTES = 6 << 20
+#: Text bytes that a Python task works on at a time: what it holds meanwhile is some 60 times that.
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs on one machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java_dir.isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoscope-"))
             java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java_dir.get()
@@ -41,16 +44,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
-def remove_scratch(spark: SparkSession) -> int:
-    """Deletes what this driver wrote to the shared folder, and says how many paths that were.
+def scratch_mark() -> int:
+    """How many paths this driver has taken so far, for ``remove_scratch``."""
+    return len(_scratch)
 
-    For the end of a job: DataFrames that operators returned read from there until they are stored."""
+
+def remove_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes what this driver wrote to the shared folder since a mark, but for the last ``keep`` paths, and says how many paths that were.
+
+    For the end of a job or step: DataFrames that operators returned read from there until they are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
-    return gone
+    stop = max(since, len(_scratch) - keep)
+    old, _scratch[since:stop] = _scratch[since:stop], []
+    paths = [jvm.org.apache.hadoop.fs.Path(x) for x in old]
+    return sum(bool(path.getFileSystem(conf).delete(path, True)) for path in paths)
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -60,15 +67,57 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many signs after it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is columns and rows of a table of files, without a join, union, aggregate or random value."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def in_file_order(docs: DataFrame, name: str) -> DataFrame:
     """docs with a column ``name``: the rows' numbers, from 0 without gaps, in the order of the files and of the rows in each.
 
-    docs must be a scan of Parquet files. Only rows of each file are counted; nothing is sorted but the files' names."""
+    The numbers follow from the files alone, so every use of the result gives a row the
+    same one, however the files are cut into tasks and whichever executors are lost.
+    What isn't a scan of files is written first. Only rows of each file are counted; nothing
+    is sorted but the files' names, of which the driver's own listing has one each."""
+    if not is_scan(docs):
+        docs = written(docs, "numbered")
     meta = docs.metadataColumn("_metadata")
-    at = docs.select("*", meta["file_path"].alias("order_file"), meta["row_index"].alias("order_row"))
-    earlier = Window.orderBy(F.length("order_file"), "order_file").rowsBetween(Window.unboundedPreceding, -1)  # a part's number may have more digits
-    files = at.groupBy("order_file").agg(F.count("*").alias("n")).select("order_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("order_base"))
-    return at.join(F.broadcast(files), "order_file").select(*(docs[c] for c in docs.columns), (F.col("order_base") + F.col("order_row")).alias(name))
+    path, place = unused(docs, "order_file"), unused(docs, "order_row")
+    at = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
+    earlier = Window.orderBy(F.length(path), path).rowsBetween(Window.unboundedPreceding, -1)  # a part's number may have more digits
+    files = at.groupBy(path).agg(F.count("*").alias("n")).select(path, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return at.join(F.broadcast(files), path).select(*(F.col(quoted(c)) for c in docs.columns), (F.col("base") + F.col(place)).alias(name))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow whose worker gives its memory back to the system when the task ends, since workers are used again."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidied
 
 
 def plain(array: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoscope.llm.eliasfano import EliasFano, encode
-from chronoscope.llm.encoder import encoder
+from chronoscope.llm.encoder import WordEncoder
 from chronoscope.llm.packing import ENCODE_BYTES
-from chronoscope.llm.shared import plain, scratch_path, slices
+from chronoscope.llm.shared import plain, scratch_path, slices, tidy
 
 MAGIC = b"CHTOK001"
 #: Ids that a reader holds at a time.
@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, writer = TaskContext.get(), None
         number = context.partitionId()
-        coder = encoder(tokenizer)
+        coder = WordEncoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "t", ENCODE_BYTES):
                 if writer is None:
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_column: s
 
     files, root = open_folder(folder)
     files.create_dir(root, recursive=True)
-    ordered.mapInArrow(run, SHARDS).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(tidy(run), SHARDS).write.parquet(f"{folder}/manifest")
     return shards(docs.sparkSession, folder)
 
 
@@ -172,7 +172,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     at += many
                 reader.close()
 
-    return placed.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, manifest.count())).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:

@@ -35,9 +35,39 @@ def test_odd_documents(spark, tmp_path):
     assert left.columns == docs.columns and left.count() == expected([r[:2] for r in odd.rows()])[1]
 
 
-def test_hashes_that_collide_fall_back_to_chunks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(dedup, "hashes_are_identifiers", lambda *_: False)
-    check(dedup.exact_duplicates(odd.table(spark, tmp_path)).collect(), [r[:2] for r in odd.rows()])
+def test_hashes_of_several_chunks_are_told_apart(spark, tmp_path, monkeypatch):
+    """With lengths for hashes most chunks share theirs; only these go beside the recipes, and groups are right all the same."""
+    rng = random.Random(4)
+    docs = odd.table(spark, tmp_path)
+    assert dedup.shared_hashes(docs, "text") == []
+    long = ["".join(rng.choice("abcdefgh") for _ in range(9000)) for _ in range(3)]
+    rows = [r[:2] for r in odd.rows()] + [(100 + i, t) for i, t in enumerate(long + long[:1])] + [(200, long[0] + "!"), (201, "a unique length of a text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/c.parquet")
+    monkeypatch.setattr(dedup, "identifier", F.length)
+    docs = spark.read.parquet(f"{tmp_path}/c.parquet")
+    several = set(dedup.shared_hashes(docs, "text"))
+    found = {r.doc_id: r for r in dedup.recipes(docs).collect()}
+    assert several and all(len(x) in several for r in found.values() for x in r.doubtful) and len(found[4].recipe) > 1
+    assert all(len(r.doubtful) == sum(x in several for x in r.recipe) for r in found.values())
+    check(dedup.exact_duplicates(docs).collect(), rows)
+
+
+def test_chunks_follow_content_in_any_script(spark):
+    rng = random.Random(9)
+    for low, many in ((0x430, 32), (0x4E00, 300), (0x5D0, 27)):
+        text = "".join(chr(low + rng.randrange(many)) for _ in range(60_000))
+        rows = spark.createDataFrame([(0, text), (1, text[:10] + "\u00b7" + text[10:])], "i int, t string").select("i", dedup.chunks(dedup.normalised(F.col("t"))).alias("c")).orderBy("i").collect()
+        assert len(set(rows[0].c) & set(rows[1].c)) >= len(rows[0].c) // 2
+
+
+def test_clashing_names_and_other_inputs(spark, tmp_path):
+    """Columns named as the operator's own stay, and what is no scan of files works too."""
+    docs = odd.table(spark, tmp_path).selectExpr("doc_id", "text", "doc_id as dedup_row", "'x' as recipe", "'y' as `a.b`", "1 as order_file")
+    want = expected([r[:2] for r in odd.rows()])[1]
+    for df in (docs, docs.union(docs.limit(0)), docs.repartition(5), docs.join(docs.select(F.lit(1).alias("one")).limit(1))):
+        left = dedup.unique_documents(df)
+        assert left.columns == df.columns and left.count() == want
+        assert all(r.dedup_row == r.doc_id and r.recipe == "x" and r["a.b"] == "y" for r in left.collect())
 
 
 def test_chunks_join_to_the_text_and_follow_content(spark):

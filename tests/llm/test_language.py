@@ -69,3 +69,62 @@ def test_more_than_64_languages(spark):
     model = language.learn(spark.createDataFrame(rows, "i long, t string, lang string").select("lang", "t"))
     found = language.identify(spark.createDataFrame(rows, "i long, text string, lang string"), model).collect()
     assert all(r.lang_pred == r.lang for r in found)
+
+
+def plain_trigrams(text):
+    """Trigrams of a text one by one: every letter with what stands beside it, anything but a letter as a blank."""
+    t = (text or "").lower()
+    blank = lambda i: t[i] if 0 <= i < len(t) and t[i].isalpha() else " "
+    return [blank(i - 1) + t[i] + blank(i + 1) for i in range(len(t)) if t[i].isalpha()]
+
+
+def test_scores_equal_those_of_exact_sets(spark, medium):
+    """Against plain sets of trigrams for each language and level: the filter's false positives are corrected to within a hundredth."""
+    from collections import Counter
+
+    from chronoscope.llm.registry import op8_language_id
+
+    docs = spark.read.parquet(f"{medium}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        if not held(r.doc_id) and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_trigrams(r.text))
+    sets = {(lang, share): {g for g, n in c.items() if n >= share * sum(c.values())} for lang, c in counts.items() for share in language.LEVELS}
+    found = {r.doc_id: r for r in op8_language_id(spark, medium).collect()}
+    off = 0
+    for r in docs:
+        grams = plain_trigrams(r.text)
+        if not grams:
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        share = {lang: sum(sum(g in sets[lang, s] for g in grams) for s in language.LEVELS) / len(grams) / len(language.LEVELS) for lang in counts}
+        assert abs(found[r.doc_id].score - max(share.values())) < 0.01
+        off += found[r.doc_id].lang_pred != min(share, key=lambda x: (-share[x], x))
+    assert off <= 0.005 * len(docs)
+
+
+def test_every_trigram_is_in_the_filter(spark):
+    rows = [("en", "the " * 200_000 + "qzx"), ("fr", "les " * 1000)]
+    model = language.learn(spark.createDataFrame(rows, "lang string, t string"))
+    grams, _ = language.trigrams(pa.array(["qzx"]))
+    assert model.levels == len(language.LEVELS) and all(model.bit(0, model.contained(grams)))  # in level 0 of en
+    assert not any(model.bit(4, model.contained(grams)))  # but not among the frequent ones
+
+
+def test_a_very_large_number_of_languages_keeps_the_table_small(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 1 << 12)
+    monkeypatch.setattr(language, "SLOTS", 1 << 14)
+    rows = [(i, chr(0x4E00 + i * 3) * 5 + chr(0x4E01 + i * 3), f"l{i:03}") for i in range(150)]
+    model = language.learn(spark.createDataFrame(rows, "i long, t string, lang string").select("lang", "t"))
+    assert model.words.shape == (8, 1 << 10)
+    found = language.identify(spark.createDataFrame(rows, "i long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 145
+
+
+def test_repeated_empty_and_very_long_texts(spark):
+    rows = [("en", "this is a text with words"), ("fr", "ceci est une phrase avec des mots")] * 20
+    model = language.learn(spark.createDataFrame(rows, "lang string, t string"))
+    texts = [(1, "ceci est " * 400_000), (1, "ceci est"), (1, "ceci est"), (2, ""), (3, None)]
+    found = language.identify(spark.createDataFrame(texts, "i long, text string"), model).collect()
+    assert [r.lang_pred for r in found] == ["fr", "fr", "fr", "und", "und"]
+    assert language.identify(spark.createDataFrame([], "i long, text string"), model).collect() == []

@@ -106,3 +106,15 @@ def test_each_source_of_the_rest_by_itself(spark, tmp_path):
             for s, _ in slots.get(t, ()):
                 had[s] += 1
             assert all(abs(had[s] - (t + 1) * w) < 1 + 1 / len(others) for s, w in share.items() if s in others or s == "a")
+
+
+def test_clashing_names_and_null_ids(spark, tmp_path):
+    docs = odd.table(spark, tmp_path).selectExpr("doc_id", "text", "source", "doc_id as mix_row", "'s' as mix_slot", "text as mix_place", "3 as bucket", "4 as slot")
+    for df in (docs, docs.repartition(3)):
+        mixed = mixing.mixture(df, block_size=50)
+        assert mixed.columns == docs.columns
+        assert sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+    rows = [(None, f"text {i}", "src0") for i in range(5000)]  # no bucket gets all rows without id
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/n.parquet")
+    found = mixing.placed(spark.read.parquet(f"{tmp_path}/n.parquet")).groupBy("place.bucket").count().collect()
+    assert sum(r["count"] for r in found) == 5000 and max(r["count"] for r in found) < 50

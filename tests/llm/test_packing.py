@@ -21,8 +21,8 @@ def tokens(texts):
 
 def test_encoder_equals_the_tokenizer():
     texts = [t or "" for _, t, *_ in odd.rows()] + ["İstanbul ßa 12.5% a&&& ok， ʼn ﬁ á. ¹² Ⅷ x\u0085y ǅ", "we'll've 'S 's", "a.b,c;d!?"]
-    for most in (1_000_000, 3):  # with a cache that is forgotten at once too
-        coder = WordEncoder(tokenizer_path(), most_words=most, words_a_call=4)
+    for most in (32 << 20, 400):  # with a cache that is forgotten at once too
+        coder = WordEncoder(tokenizer_path(), most_bytes=most, words_a_call=4)
         for _ in range(2):
             ids, bounds = coder.encode(pa.array(texts))
             assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == tokens(texts)
