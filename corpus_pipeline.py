@@ -46,8 +46,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of similar texts: the smallest id, of repeated ids the first row.
 
-    A null, empty or wordless text is similar to nothing and stays; of a component
-    without any id one row stays; texts of any length; an empty table stays
+    A null, empty or wordless text is similar to nothing and stays; rows of a
+    component without any id stay; texts of any length; an empty table stays
     empty; columns of any name pass."""
     return without_near_duplicates(docs)
 
