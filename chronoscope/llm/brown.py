@@ -1,26 +1,37 @@
 """Language-model scores by Brown class-based bigrams.
 
 Counting: every word of the learning documents is counted, over the whole corpus,
-by a 64-bit hash. Each word belongs to a unit: the most frequent OWN_UNITS words
-are units of their own, all others share units by their ending. Unit bigrams are
-counted over all learning documents; their table has a bounded size.
-
-Exchange clustering: units are dealt to classes by frequency; then, unit by unit,
-each moves to the class where the class bigrams' mutual information is highest,
-until no unit moves or PASSES are over. A text ends with an end unit, which also
-stands before its first word and stays in a class of its own.
+by a 64-bit hash.
+
+Exchange clustering, in two steps. The seed: the most frequent OWN_UNITS words are units,
+all others share units by their ending; unit bigrams are counted over all learning
+documents (a table of at most units squared: 53 MB), units are dealt to classes by
+frequency, and then, unit by unit, each moves to the class where the class bigrams'
+mutual information is highest, until no unit moves or PASSES are over. Then every other
+word of the vocabulary, however rare, makes its own exchange move: over all learning
+documents it is counted how often it stands before and after each class of the frequent
+words, and it goes to the class where these counts raise the information most. These
+moves don't depend on each other, so they are one grouped aggregation. Only words that
+never stand beside a frequent one, and words that no learning document has, take the
+class of their ending.
+
+A text ends with an end unit, which also stands before its first word and stays in a
+class of its own.
 
 P(word | previous) = P(class | previous class) * P(word | class), the first with
 additive smoothing towards the class's share, the second with counts + 0.5 over the
 words of the class and one unknown word; so every text has a finite score.
 
-Scoring: frequent words (at most FREQUENT, broadcast) are looked up in the task.
-Of other words only (document, hash, times) rows leave it, to be joined with the
-whole vocabulary and summed by document.
+Scoring: the classes of a document's words become a string of bytes. Frequent words (at
+most FREQUENT, broadcast) are looked up in the task; of other words only (document,
+place, hash) rows leave it, to be joined with the whole vocabulary and put in their
+places again. The class bigrams are then counted, and documents scored, from these strings.
 
 Defined results: a null or empty text, or one without words, is the end token
-alone; without any learning text all counts are 0; rows with the same id are scored
-each for itself; a document without id counts as one with an empty id.
+alone; a very long text is one string of classes; without any learning text all counts
+are 0; rows with the same id are scored each for itself; equal gains go to the first
+class; a document without id counts as one with an empty id; an empty table gives an
+empty result; further columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoscope.llm.language import held_out
@@ -40,6 +51,10 @@ from chronoscope.llm.shingles import string_hashes
 
 OWN_UNITS, ENDING_UNITS, CLASSES, PASSES = 2048, 512, 64, 4
 FREQUENT = 1 << 17
+#: In a string of classes: a word that isn't looked up in the task.
+LATER = 255
+#: Counts of words beside classes that a task weighs together.
+WEIGHED_AT_ONCE = 1 << 14
 #: Words of a task that are counted together before they leave it.
 COUNT_AT_ONCE = 4 << 20
 #: Weight of a class's share in the class bigrams' smoothing.
@@ -48,8 +63,25 @@ SMOOTHING = 2.0
 ROW = "lm_row"
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and ending bucket of each word of all texts, and where each text's words begin and the last end."""
+@dataclass
+class Words:
+    """The words of some texts: hash and ending bucket of each distinct one, the number of each word, and where each text's words begin and the last end."""
+
+    distinct: np.ndarray
+    endings: np.ndarray
+    at: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.distinct[self.at]
+
+    @property
+    def buckets(self) -> np.ndarray:
+        return self.endings[self.at]
+
+
+def words_of(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words, offsets = lists.flatten(), lists.offsets.to_numpy()
     bounds = (offsets - offsets[0]).astype(np.int64)
@@ -58,12 +90,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
         words = words.filter(pa.array(keep))
     if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), bounds
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), bounds)
     coded = words.dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False)
     endings = pc.utf8_slice_codeunits(coded.dictionary, start=-3)
-    buckets = (string_hashes(endings) % np.uint64(ENDING_UNITS)).astype(np.int32)
-    return string_hashes(coded.dictionary)[at], buckets[at], bounds
+    return Words(string_hashes(coded.dictionary), (string_hashes(endings) % np.uint64(ENDING_UNITS)).astype(np.int32), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds)
 
 
 def word_counts(learning: DataFrame) -> DataFrame:
@@ -82,9 +112,9 @@ def word_counts(learning: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "t"):
-                hashes, buckets, _ = words_of(plain(part.column("t")))
-                kept.append((hashes, buckets))
-                held += len(hashes)
+                words = words_of(plain(part.column("t")))
+                kept.append((words.hashes, words.buckets))
+                held += len(words.at)
                 if held >= COUNT_AT_ONCE:
                     yield counted()
                     held = 0
@@ -113,9 +143,9 @@ class Units:
         at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
         return np.where(self.own[at] == hashes, at, len(self.own) + buckets)
 
-    def sequences(self, hashes: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sequences(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(previous unit, unit) of every token of all texts, the end of each text included."""
-        units = np.insert(self.of(hashes, buckets), bounds[1:], self.end)
+        units = np.insert(self.of(words.distinct, words.endings)[words.at], words.bounds[1:], self.end)
         return np.concatenate([[self.end], units[:-1]]), units
 
 
@@ -128,7 +158,7 @@ def unit_bigrams(learning: DataFrame, units: Units) -> np.ndarray:
         total = np.zeros(units.many * units.many, np.int32)
         for batch in batches:
             for part in slices(batch, "t"):
-                before, now = units.sequences(*words_of(plain(part.column("t"))))
+                before, now = units.sequences(words_of(plain(part.column("t"))))
                 if len(now):
                     pairs, n = np.unique(before * units.many + now, return_counts=True)
                     total[pairs] += n.astype(np.int32)
@@ -193,101 +223,239 @@ def exchange(table: np.ndarray, classes: int, passes: int) -> np.ndarray:
 
 
 @dataclass
-class BrownModel:
-    """What a task needs for scoring; all of it has a bounded size."""
+class Seed:
+    """The units' classes, and how often a class of own units (or the end) follows another."""
 
     units: Units
     classes: np.ndarray
-    steps: np.ndarray
-    emission: np.ndarray
-    frequent: np.ndarray
-    frequent_counts: np.ndarray
-    end_count: int
-    tokens: int
-    words: int
+    grams: np.ndarray
 
+    @property
+    def endings(self) -> np.ndarray:
+        """The class of each ending."""
+        return self.classes[len(self.units.own) : -1]
 
-def fit(learning: DataFrame, vocabulary: DataFrame) -> BrownModel:
-    """The model of a learning table (column t) whose words are counted in ``vocabulary``."""
-    sums = vocabulary.agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).first()
-    ends = learning.count()
-    most = most_frequent(vocabulary, "c", FREQUENT).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    hashes, counts, buckets = (most.column(x).to_numpy() for x in ("word", "c", "bucket"))
-    hashes = hashes.view(np.uint64)
-    units = Units(np.sort(hashes[:OWN_UNITS]))
+    @property
+    def beside(self) -> np.ndarray:
+        """For each unit the class that counts where it stands beside a word; -1 for endings."""
+        return np.concatenate([self.classes[: len(self.units.own)], np.full(ENDING_UNITS, -1), self.classes[-1:]])
+
+
+def seed(learning: DataFrame, vocabulary: DataFrame) -> Seed:
+    most = most_frequent(vocabulary, "c", FREQUENT).select("word", "c").orderBy(F.desc("c"), "word").limit(OWN_UNITS).toArrow()
+    units = Units(np.sort(most.column("word").to_numpy().view(np.uint64)))
     table = unit_bigrams(learning, units)
     classes = exchange(table, CLASSES, PASSES)
     size = int(classes.max()) + 1
-    one_hot = np.zeros((units.many, size))
-    one_hot[np.arange(units.many), classes] = 1
-    grams = one_hot.T @ table @ one_hot
-    share = (grams.sum(0) + 0.5) / (grams.sum() + 0.5 * size)
-    steps = np.log10((grams + SMOOTHING * share) / (grams.sum(1, keepdims=True) + SMOOTHING))
-    # Distinct words of each unit: one for its own, all others of an ending.
-    distinct = np.ones(units.many)
-    by_ending = np.zeros(ENDING_UNITS)
-    for row in vocabulary.groupBy("bucket").count().collect():
-        by_ending[row["bucket"]] = row["count"]
-    np.subtract.at(by_ending, buckets[:OWN_UNITS], 1)
-    distinct[len(units.own) : len(units.own) + ENDING_UNITS] = by_ending
-    totals, kinds = np.bincount(classes, weights=table.sum(0), minlength=size), np.bincount(classes, weights=distinct, minlength=size)
-    order = np.argsort(hashes)
-    return BrownModel(units, classes, steps, np.log10(totals + 0.5 * (kinds + 1)), hashes[order], counts[order], ends, int(sums["tokens"] or 0) + ends, int(sums["words"]) + (1 if ends else 0))
+    hot = np.zeros((units.many, size))
+    hot[np.arange(units.many), classes] = 1
+    hot[len(units.own) : -1] = 0
+    return Seed(units, classes, hot.T @ table @ hot)
+
+
+def neighbours(learning: DataFrame, model: Seed) -> DataFrame:
+    """(word, sides, ns) of every word that isn't an own unit but stands beside one: how often which class comes after it (side = class) or before it (size + class)."""
+    shared = learning.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        size, beside = len(m.grams), m.beside
+        for batch in batches:
+            for part in slices(batch, "t"):
+                words = words_of(plain(part.column("t")))
+                before, now = m.units.sequences(words)
+                own = np.insert(words.at, words.bounds[1:], -1)
+                open_ = (own >= 0) & (beside[now] < 0)
+                after, before = beside[np.append(now[1:], m.units.end)][open_], beside[before][open_]
+                own = own[open_] * 2 * size
+                codes, n = np.unique(np.concatenate([(own + after)[after >= 0], (own + size + before)[before >= 0]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.distinct[codes // (2 * size)].view(np.int64)), pa.array((codes % (2 * size)).astype(np.int16)), pa.array(n)], names=["word", "side", "n"])
+
+    counts = learning.select("t").mapInArrow(tidy(run), "word long, side short, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
+    # At most two sides of each class: the lists of a word are short, however often it occurs.
+    return counts.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("x")).select("word", F.col("x.side").alias("sides"), F.col("x.n").alias("ns"))
+
+
+def best_classes(sides: np.ndarray, ns: np.ndarray, ends: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The class where each word's counts raise the information of the class bigrams most. Word i has the counts from ends[i - 1] on; class 0 is the end's."""
+    size = len(grams)
+    tables = np.concatenate([grams.T, grams])  # row: what stands beside, column: the word's class
+    totals = np.stack([grams.sum(1), grams.sum(0)])
+    first = np.concatenate([[0], ends[:-1]])
+    x = ns.astype(float)[:, None]
+    gain = np.add.reduceat(entropy_terms(tables[sides] + x) - entropy_terms(tables)[sides], first, axis=0)
+    for k in (0, 1):
+        all_ = np.add.reduceat(np.where(sides // size == k, ns, 0).astype(float), first)[:, None]
+        gain -= entropy_terms(totals[k] + all_) - entropy_terms(totals[k])
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def word_classes(learning: DataFrame, vocabulary: DataFrame, model: Seed) -> DataFrame:
+    """(word, c, cls) of the whole vocabulary."""
+    shared = learning.sparkSession.sparkContext.broadcast(model.grams)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = shared.value
+        for batch in batches:
+            sides, ns = batch.column("sides"), batch.column("ns")
+            ends = sides.offsets.to_numpy().astype(np.int64)
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + WEIGHED_AT_ONCE, side="right")) - 1)
+                cut = slice(int(ends[start] - ends[0]), int(ends[stop] - ends[0]))
+                found = best_classes(sides.flatten().to_numpy()[cut].astype(np.int64), ns.flatten().to_numpy()[cut], ends[start + 1 : stop + 1] - ends[start], grams)
+                yield pa.RecordBatch.from_arrays([batch.column("word").slice(start, stop - start), pa.array(found.astype(np.int32))], names=["word", "cls"])
+                start = stop
+
+    chosen = neighbours(learning, model).mapInArrow(tidy(run), "word long, cls int") if len(model.units.own) else None
+    own = learning.sparkSession.createDataFrame([(int(w), int(k)) for w, k in zip(model.units.own.view(np.int64), model.classes)], "word long, cls int")
+    known = own if chosen is None else own.union(chosen)
+    return written(vocabulary.join(known, "word", "left").select("word", "c", F.coalesce("cls", by_ending(model)).cast("int").alias("cls")), "word-classes")
+
+
+def by_ending(model: Seed) -> Column:
+    return F.get(F.lit([int(k) for k in model.endings]), F.col("bucket"))
 
-SCORED = "lm_row long, doc_id long, held_out boolean, n_tokens long, known long, counted double, classed double, rare array<long>, times array<int>"
 
+SEQUENCES = "lm_row long, doc_id long, held_out boolean, n_tokens long, known long, counted double, classes binary, later array<long>, buckets array<int>"
 
-def partial_scores(rows: DataFrame, model: BrownModel) -> DataFrame:
-    """Rows of SCORED: what frequent words and the classes add to a document's sums, and its other words."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+def class_sequences(rows: DataFrame, classes: DataFrame, model: Seed, end_count: int) -> DataFrame:
+    """lm_row, doc_id, held_out, n_tokens, known, counted (the sum of log10(count + 0.5)) and classes (a byte for each token) of every document."""
+    most = most_frequent(classes, "c", FREQUENT).toArrow().sort_by([("word", "ascending")])
+    hashes, counts, own = (most.column(x).to_numpy() for x in ("word", "c", "cls"))
+    order = np.argsort(hashes.view(np.uint64))
+    shared = rows.sparkSession.sparkContext.broadcast((hashes.view(np.uint64)[order], counts[order], own[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs = np.append(np.log10(m.frequent_counts + 0.5), 0.0)
+        frequent, counts, own = shared.value
+        logs, own = np.append(np.log10(counts + 0.5), 0.0), np.append(own, LATER).astype(np.uint8)
         for batch in batches:
             for part in slices(batch, "t"):
-                hashes, buckets, bounds = words_of(plain(part.column("t")))
-                before, now = m.units.sequences(hashes, buckets, bounds)
-                ends = bounds + np.arange(len(bounds))
-                row = np.repeat(np.arange(part.num_rows), np.diff(ends))
-                now, before = m.classes[now], m.classes[before]
-                classed = np.bincount(row, weights=m.steps[before, now] - m.emission[now], minlength=part.num_rows)
-                at = np.minimum(np.searchsorted(m.frequent, hashes), max(0, len(m.frequent) - 1))
-                frequent = m.frequent[at] == hashes if len(m.frequent) else np.zeros(len(hashes), bool)
-                text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                counted = np.bincount(text[frequent], weights=logs[at[frequent]], minlength=part.num_rows) + np.log10(m.end_count + 0.5)
-                known = np.bincount(text[frequent], minlength=part.num_rows) + (m.end_count > 0)
-                rare, who = hashes[~frequent], text[~frequent]
-                order = np.lexsort((rare, who))
-                rare, who = rare[order], who[order]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (who[1:] != who[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rare))).astype(np.int32)
-                cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(who[first], minlength=part.num_rows))]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
-                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ends)), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(classed), *lists], names=[ROW, "doc_id", "held_out", "n_tokens", "known", "counted", "classed", "rare", "times"])
-
-    return rows.select(ROW, "doc_id", "held_out", "t").mapInArrow(tidy(run), SCORED)
+                words = words_of(plain(part.column("t")))
+                at = np.minimum(np.searchsorted(frequent, words.distinct), max(0, len(frequent) - 1))
+                at = np.where(frequent[at] == words.distinct, at, len(frequent)) if len(frequent) else np.zeros(len(words.distinct), np.int64)
+                at = at[words.at]
+                text = np.repeat(np.arange(part.num_rows), np.diff(words.bounds))
+                now = at < len(frequent)
+                counted = np.bincount(text, weights=logs[at], minlength=part.num_rows) + np.log10(end_count + 0.5)
+                known = np.bincount(text[now], minlength=part.num_rows) + (end_count > 0)
+                ends = words.bounds + np.arange(len(words.bounds))
+                found = np.insert(own[at], words.bounds[1:], 0)
+                later = np.flatnonzero(~now)
+                cuts = pa.array(np.searchsorted(later, words.bounds).astype(np.int32))
+                columns = [pa.array(np.diff(ends)), pa.array(known.astype(np.int64)), pa.array(counted), pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.tobytes())])]
+                columns += [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (words.hashes[later].view(np.int64), words.buckets[later])]
+                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column("doc_id"), part.column("held_out"), *columns], names=[ROW, "doc_id", "held_out", "n_tokens", "known", "counted", "classes", "later", "buckets"])
+
+    parts = written(rows.select(ROW, "doc_id", "held_out", "t").mapInArrow(tidy(run), SEQUENCES), "sequences", compression="zstd")
+    rare = parts.select(ROW, F.posexplode(F.arrays_zip("later", "buckets")).alias("nth", "x")).select(ROW, "nth", F.col("x.later").alias("word"), F.col("x.buckets").alias("bucket"))
+    found = rare.join(classes, "word", "left").select(ROW, "nth", F.coalesce("cls", by_ending(model)).cast("byte").alias("cls"), F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("log"), F.col("c").isNotNull().cast("int").alias("had"))
+    sums = found.groupBy(ROW).agg(F.sum("log").alias("more"), F.sum("had").alias("more_known"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "cls"))), lambda x: x["cls"]).alias("fill"))
+    joined = parts.drop("later", "buckets").join(sums, ROW, "left")
+    joined = joined.select(ROW, "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("known"), (F.col("counted") + F.coalesce("more", F.lit(0.0))).alias("counted"), "classes", "fill")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, bounds = bytes_of(batch.column("classes"))
+            classes = classes.copy()
+            classes[classes == LATER] = batch.column("fill").flatten().to_numpy(zero_copy_only=False).view(np.uint8)
+            whole = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(classes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], whole], names=batch.schema.names[:7])
 
+    return written(joined.mapInArrow(tidy(fill), SEQUENCES[: SEQUENCES.index(", later")]), "classes", compression="zstd")
 
-def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (class bigrams) of every document."""
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of strings without nulls, and where each begins and the last ends."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def steps_of(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The class before each token; the end's before the first of each text."""
+    before = np.concatenate([np.zeros(1, np.uint8), classes[:-1]])
+    before[bounds[:-1][np.diff(bounds) > 0]] = 0
+    return before
+
+
+def class_bigrams(sequences: DataFrame, size: int) -> np.ndarray:
+    """How often each class follows each, over all documents of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            classes, bounds = bytes_of(batch.column("classes"))
+            total += np.bincount(steps_of(classes, bounds).astype(np.int64) * size + classes, minlength=size * size)
+        pairs = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], names=["pair", "n"])
+
+    found = sequences.select("classes").mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size * size)
+    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(size, size)
+
+
+@dataclass
+class BrownModel:
+    """log10 probabilities of a class after a class, and what log10(count + 0.5) of a word loses in its class."""
+
+    steps: np.ndarray
+    emission: np.ndarray
+    tokens: int
+    words: int
+
+
+def fit(sequences: DataFrame, classes: DataFrame, size: int, end_count: int) -> BrownModel:
+    """The model of the learning documents' class sequences and the vocabulary's classes."""
+    grams = class_bigrams(sequences, size)
+    share = (grams.sum(0) + 0.5) / (grams.sum() + 0.5 * size)
+    steps = np.log10((grams + SMOOTHING * share) / (grams.sum(1, keepdims=True) + SMOOTHING))
+    totals, kinds = np.zeros(size), np.zeros(size)
+    totals[0], kinds[0] = end_count, 1
+    for r in classes.groupBy("cls").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).collect():
+        totals[r["cls"]] += r["total"]
+        kinds[r["cls"]] += r["kinds"]
+    return BrownModel(steps, np.log10(totals + 0.5 * (kinds + 1)), int(totals.sum()), int(kinds.sum()) - (0 if end_count else 1))
+
+
+def scored(sequences: DataFrame, model: BrownModel) -> DataFrame:
+    """doc_id, held_out, n_tokens, known, counted, and classed: what the classes add to the score."""
+    shared = sequences.sparkSession.sparkContext.broadcast(model.steps - model.emission)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            classes, bounds = bytes_of(batch.column("classes"))
+            sums = np.concatenate([[0.0], np.cumsum(table[steps_of(classes, bounds), classes])])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:6], pa.array(np.diff(sums[bounds]))], names=[*batch.schema.names[1:6], "classed"])
+
+    return sequences.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, known long, counted double, classed double")
+
+
+def trained(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, Seed, BrownModel]:
+    """The documents' class sequences, the vocabulary's classes, the seed and the model."""
     rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("t"), held_out(id_column, 5, 1).alias("held_out"))
     learning = rows.where(~F.col("held_out"))
     vocabulary = written(word_counts(learning), "vocabulary")
-    model = fit(learning, vocabulary)
-    parts = written(partial_scores(rows, model), "partial-scores", compression="zstd")
-    rare = parts.select(ROW, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(ROW, F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    counted = rare.join(vocabulary.select("word", "c"), "word", "left").select(ROW, (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("counted"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"))
-    sums = counted.groupBy(ROW).agg(F.sum("counted").alias("more"), F.sum("known").alias("more_known"))
-    all_sums = F.col("counted") + F.coalesce("more", F.lit(0.0))
+    end_count = learning.count()
+    first = seed(learning, vocabulary)
+    classes = word_classes(learning, vocabulary, first)
+    sequences = class_sequences(rows, classes, first, end_count)
+    return sequences, classes, first, fit(sequences.where(~F.col("held_out")), classes, len(first.grams), end_count)
+
+
+def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (class bigrams) of every document."""
+    sequences, _, _, model = trained(docs, id_column, text_column)
     unigram = float(np.log10(model.tokens + 0.5 * (model.words + 1)))
-    return parts.join(sums, ROW, "left").select(
+    return scored(sequences, model).select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+        F.col("known").cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (all_sums - F.col("n_tokens") * F.lit(unigram)).alias("base_score"),
-        (all_sums + F.col("classed")).alias("score"),
+        (F.col("counted") - F.col("n_tokens") * F.lit(unigram)).alias("base_score"),
+        (F.col("counted") + F.col("classed")).alias("score"),
     )

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoscope.llm import brown
@@ -76,19 +77,77 @@ def test_base_scores_and_gain_on_held_out(spark, medium, monkeypatch):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_probabilities_sum_to_one(spark, tmp_path, monkeypatch):
-    """Over all known words and one unknown word of each class, after any class."""
+def test_probabilities_and_scores_one_by_one(spark, tmp_path, monkeypatch):
+    """Over all known words and one unknown word of each class, after any class; and every score from the classes, word by word."""
+    from chronoscope.llm.shingles import string_hashes
+
     monkeypatch.setattr(brown, "OWN_UNITS", 20)
-    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30))) for i in range(40)]
-    learning = spark.createDataFrame(rows, "doc_id long, t string")
-    vocabulary = brown.word_counts(learning).persist()
-    model = brown.fit(learning, vocabulary)
+    monkeypatch.setattr(brown, "FREQUENT", 30)
+    rows = [(i, " ".join(f"w{(i * j) % 37 + (i * j % 7) * 40}" for j in range(1, 30))) for i in range(60)] + [(60, None), (61, "a b a"), (62, "new w1 words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/b.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/b.parquet")
+    sequences, classes, first, model = brown.trained(docs)
     assert np.allclose((10**model.steps).sum(1), 1)
+    of = {r.word: (r.c, r.cls) for r in classes.collect()}
     mass = np.zeros(len(model.emission))
-    units = model.units.of(model.frequent, np.array([r.bucket for r in sorted(vocabulary.collect(), key=lambda r: r.word % (1 << 64))]))
-    np.add.at(mass, model.classes[units], model.frequent_counts + 0.5)
-    mass[0] += model.end_count + 0.5
+    for c, k in of.values():
+        mass[k] += c + 0.5
+    learning = [r for r in rows if not held(r[0])]
+    mass[0] += len(learning) + 0.5
     assert np.allclose(mass + 0.5, 10**model.emission)
+    hashed = lambda x: int(string_hashes(pa.array([x])).view(np.int64)[0])
+    assert set(of) == {hashed(w) for _, t in learning for w in words(t)[:-1]}  # every word has a class of its own choice
+    assert all(k > 0 for _, k in of.values())
+    grams = np.zeros_like(model.steps)
+
+    def tokens(t):
+        out = []
+        for w in words(t)[:-1]:
+            if (h := hashed(w)) in of:
+                out.append(of[h])
+            else:
+                out.append((0, int(first.endings[int(string_hashes(pa.array([w[-3:]]))[0] % brown.ENDING_UNITS)])))
+        return [*out, (len(learning), 0)]
+
+    for _, t in learning:
+        before = 0
+        for _, k in tokens(t):
+            grams[before, k] += 1
+            before = k
+    share = (grams.sum(0) + 0.5) / (grams.sum() + 0.5 * len(grams))
+    assert np.allclose(model.steps, np.log10((grams + brown.SMOOTHING * share) / (grams.sum(1, keepdims=True) + brown.SMOOTHING)))
+    found = {r.doc_id: r.score for r in brown.brown_scores(docs).collect()}
+    for i, t in rows:
+        want, before = 0.0, 0
+        for c, k in tokens(t):
+            want += model.steps[before, k] + math.log10(c + 0.5) - model.emission[k]
+            before = k
+        assert found[i] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_words_choose_the_best_class():
+    """Against the information of the whole table with the word in each class."""
+    rng = np.random.default_rng(3)
+    grams = rng.integers(0, 40, (6, 6)).astype(float)
+    sides, ns, ends = [], [], []
+    for _ in range(50):
+        some = rng.choice(12, rng.integers(1, 9), replace=False)
+        sides += sorted(some.tolist())
+        ns += rng.integers(1, 30, len(some)).tolist()
+        ends.append(len(sides))
+    got = brown.best_classes(np.array(sides), np.array(ns), np.array(ends), grams)
+
+    def total(g):
+        return sum(brown.entropy_terms(x).sum() for x in (g, )) - brown.entropy_terms(g.sum(1)).sum()
+
+    for i, end in enumerate(ends):
+        start, value = ends[i - 1] if i else 0, []
+        for k in range(1, 6):
+            after, before = grams.copy(), grams.T.copy()  # rows: the word's class
+            for side, n in zip(sides[start:end], ns[start:end]):
+                (after if side < 6 else before)[k, side % 6] += n
+            value.append(total(after) + total(before))
+        assert value[got[i] - 1] == pytest.approx(max(value))
 
 
 def test_odd_documents(spark, tmp_path):
