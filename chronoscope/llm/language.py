@@ -42,6 +42,9 @@ LEVELS = (0.0, 1e-5, 1e-4)
 SLOTS, HASHES, WORDS, LEAST_SLOTS = 1 << 20, 3, 1 << 22, 1 << 10
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
+#: Characters of a text that are looked at together; a longer one is cut where no letter stands.
+PIECE = 1 << 20
+
 _letters: np.ndarray | None = None
 
 
@@ -53,6 +56,18 @@ def letters() -> np.ndarray:
     return _letters
 
 
+def pieces(text: str) -> list[str]:
+    """A long text in parts that together have the trigrams of the whole."""
+    out, start = [], 0
+    while len(text) - start > PIECE:
+        stop = start + PIECE
+        while stop < len(text) and text[stop].isalpha():
+            stop += 1
+        out.append(text[start:stop])
+        start = stop
+    return [*out, text[start:]]
+
+
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The packed trigrams of all texts, 21 bits a code point, and the text of each. A run of other characters is one 0; the middle is a letter."""
     lower = [x.lower() for x in texts.to_pylist()]
@@ -95,19 +110,27 @@ class LanguageFilter:
         at = [slots_of(grams, k, self.words.shape[1]) for k in range(HASHES)]
         return [np.bitwise_and.reduce([word[x] for x in at]) for word in self.words]
 
-    def shares(self, texts: pa.Array, rates: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(text, language) shares of trigrams, corrected for false positives, and each text's number of trigrams."""
+    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many of each text's trigrams have each bit, and how many there are."""
         grams, text = trigrams(texts)
         many = np.bincount(text, minlength=len(texts))
         found = self.contained(grams)
-        rates = self.false_rates() if rates is None else rates
         having = np.flatnonzero(many)
         first = (np.cumsum(many) - many)[having]
-        out, n = np.zeros((len(texts), len(self.languages))), len(self.languages)
-        for i, rate in enumerate(rates):
-            if len(having):
-                hits = np.add.reduceat(self.bit(i, found), first)
-                out[having, i % n] += hits / many[having] - rate
+        out = np.zeros((len(texts), self.levels * len(self.languages)))
+        for i in range(out.shape[1] if len(having) else 0):
+            out[having, i] = np.add.reduceat(self.bit(i, found), first)
+        return out, many
+
+    def shares(self, texts: pa.Array, rates: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(text, language) shares of trigrams, corrected for false positives, and each text's number of trigrams."""
+        parts = pieces(texts[0].as_py()) if len(texts) == 1 else []
+        if len(parts) > 1:
+            found, many = (sum(x) for x in zip(*(self.hits(pa.array([p])) for p in parts)))
+        else:
+            found, many = self.hits(texts)
+        rates, n = self.false_rates() if rates is None else rates, len(self.languages)
+        out = (found / np.maximum(many, 1)[:, None] - rates * (many > 0)[:, None]).reshape(len(texts), self.levels, n).sum(1)
         weight = (1 - rates.reshape(self.levels, n)).sum(0) if n else np.ones(0)
         return np.clip(out / np.maximum(weight, 1e-9), 0, 1), many
 
@@ -120,10 +143,12 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
             for part in slices(batch, "t"):
                 lang = part.column("lang").dictionary_encode()
                 code = lang.indices.to_numpy()
-                grams, text = trigrams(plain(part.column("t")))
-                for i, name in enumerate(lang.dictionary.to_pylist()):
-                    found, n = np.unique(grams[code[text] == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "gram", "n"])
+                texts = plain(part.column("t"))
+                for some in [pa.array([p]) for p in pieces(texts[0].as_py())] if len(texts) == 1 else [texts]:
+                    grams, text = trigrams(some)
+                    for i, name in enumerate(lang.dictionary.to_pylist()):
+                        found, n = np.unique(grams[code[text] == i], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "gram", "n"])
 
     return labelled.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -131,16 +156,16 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
 def learn(labelled: DataFrame, levels: tuple[float, ...] = LEVELS) -> LanguageFilter:
     """The filter of a table with columns lang (not null) and t. Counting is Spark's; the filled slots come to the driver, at most WORDS of them unless LEAST_SLOTS for all languages are more."""
     counts = trigram_counts(labelled).persist()
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = [r["lang"] for r in totals.select("lang").orderBy("lang").collect()]
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    languages = sorted(totals)
     many, slots = max(1, -(-len(languages) * len(levels) // 64)), SLOTS
     while many * slots > WORDS and slots > LEAST_SLOTS:
         slots //= 2
     words = np.zeros((many, slots), np.uint64)
     if languages:
-        order = labelled.sparkSession.createDataFrame(list(zip(languages, range(len(languages)))), "lang string, nth int")
+        order = labelled.sparkSession.createDataFrame([(x, i, totals[x]) for i, x in enumerate(languages)], "lang string, nth int, total long")
         n = len(languages)
-        shared = counts.join(totals, "lang").join(order, "lang")
+        shared = counts.join(F.broadcast(order), "lang")  # a row for each language, which the driver has listed
         bits = F.array_compact(F.array(*(F.when(F.col("n") >= share * F.col("total"), F.col("nth") + k * n) for k, share in enumerate(levels))))
         kept = shared.select("gram", F.explode(bits).alias("bit")).select("gram", F.floor(F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("bits")).groupBy("word", "gram").agg(F.bit_or("bits").alias("bits"))
 

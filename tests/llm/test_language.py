@@ -128,3 +128,15 @@ def test_repeated_empty_and_very_long_texts(spark):
     found = language.identify(spark.createDataFrame(texts, "i long, text string"), model).collect()
     assert [r.lang_pred for r in found] == ["fr", "fr", "fr", "und", "und"]
     assert language.identify(spark.createDataFrame([], "i long, text string"), model).collect() == []
+
+
+def test_pieces_have_the_trigrams_of_the_whole(monkeypatch):
+    monkeypatch.setattr(language, "PIECE", 7)
+    text = "Some words, andaverylongwordwithoutanend 12 été. a b  c"
+    parts = language.pieces(text)
+    assert "".join(parts) == text and len(parts) > 3
+    assert sorted(g for p in parts for g in language.trigrams(pa.array([p]))[0].tolist()) == sorted(language.trigrams(pa.array([text]))[0].tolist())
+    words = np.full((1, language.SLOTS), 3, np.uint64)
+    model = language.LanguageFilter(["a", "b"], words)
+    share, many = model.shares(pa.array([text]), np.zeros(2))
+    assert many[0] == sum(c.isalpha() for c in text) and share.tolist() == [[0.5, 0.5]] or share.tolist() == [[1.0, 1.0]]
