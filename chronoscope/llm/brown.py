@@ -8,12 +8,13 @@ all others share units by their ending; unit bigrams are counted over all learni
 documents (a table of at most units squared: 53 MB), units are dealt to classes by
 frequency, and then, unit by unit, each moves to the class where the class bigrams'
 mutual information is highest, until no unit moves or PASSES are over. Then every other
-word of the vocabulary, however rare, makes its own exchange move: over all learning
-documents it is counted how often it stands before and after each class of the frequent
-words, and it goes to the class where these counts raise the information most. These
-moves don't depend on each other, so they are one grouped aggregation. Only words that
-never stand beside a frequent one, and words that no learning document has, take the
-class of their ending.
+word of the vocabulary, however rare, makes its own exchange move from the class of
+its ending: over all learning documents it is counted how often each class stands
+before and after it, and it goes to the class where these counts raise the information
+most, if that is more than naming a class takes (the logarithm of their number; a word
+that occurs once or twice seldom says so much). These moves don't depend on each other,
+so they are one grouped aggregation. Words that no learning document has take the class
+of their ending.
 
 A text ends with an end unit, which also stands before its first word and stays in a
 class of its own.
@@ -224,7 +225,7 @@ def exchange(table: np.ndarray, classes: int, passes: int) -> np.ndarray:
 
 @dataclass
 class Seed:
-    """The units' classes, and how often a class of own units (or the end) follows another."""
+    """The units' classes, and how often a class follows another."""
 
     units: Units
     classes: np.ndarray
@@ -235,11 +236,6 @@ class Seed:
         """The class of each ending."""
         return self.classes[len(self.units.own) : -1]
 
-    @property
-    def beside(self) -> np.ndarray:
-        """For each unit the class that counts where it stands beside a word; -1 for endings."""
-        return np.concatenate([self.classes[: len(self.units.own)], np.full(ENDING_UNITS, -1), self.classes[-1:]])
-
 
 def seed(learning: DataFrame, vocabulary: DataFrame) -> Seed:
     most = most_frequent(vocabulary, "c", FREQUENT).select("word", "c").orderBy(F.desc("c"), "word").limit(OWN_UNITS).toArrow()
@@ -249,26 +245,25 @@ def seed(learning: DataFrame, vocabulary: DataFrame) -> Seed:
     size = int(classes.max()) + 1
     hot = np.zeros((units.many, size))
     hot[np.arange(units.many), classes] = 1
-    hot[len(units.own) : -1] = 0
     return Seed(units, classes, hot.T @ table @ hot)
 
 
 def neighbours(learning: DataFrame, model: Seed) -> DataFrame:
-    """(word, sides, ns) of every word that isn't an own unit but stands beside one: how often which class comes after it (side = class) or before it (size + class)."""
+    """(word, sides, ns) of every word that isn't an own unit: how often which class comes after it (side = class) or before it (size + class)."""
     shared = learning.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        size, beside = len(m.grams), m.beside
+        size = len(m.grams)
         for batch in batches:
             for part in slices(batch, "t"):
                 words = words_of(plain(part.column("t")))
                 before, now = m.units.sequences(words)
                 own = np.insert(words.at, words.bounds[1:], -1)
-                open_ = (own >= 0) & (beside[now] < 0)
-                after, before = beside[np.append(now[1:], m.units.end)][open_], beside[before][open_]
+                open_ = (own >= 0) & (now >= len(m.units.own))
+                after, before = m.classes[np.append(now[1:], m.units.end)][open_], m.classes[before][open_]
                 own = own[open_] * 2 * size
-                codes, n = np.unique(np.concatenate([(own + after)[after >= 0], (own + size + before)[before >= 0]]), return_counts=True)
+                codes, n = np.unique(np.concatenate([own + after, own + size + before]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.distinct[codes // (2 * size)].view(np.int64)), pa.array((codes % (2 * size)).astype(np.int16)), pa.array(n)], names=["word", "side", "n"])
 
     counts = learning.select("t").mapInArrow(tidy(run), "word long, side short, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
@@ -276,42 +271,50 @@ def neighbours(learning: DataFrame, model: Seed) -> DataFrame:
     return counts.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("x")).select("word", F.col("x.side").alias("sides"), F.col("x.n").alias("ns"))
 
 
-def best_classes(sides: np.ndarray, ns: np.ndarray, ends: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """The class where each word's counts raise the information of the class bigrams most. Word i has the counts from ends[i - 1] on; class 0 is the end's."""
+def best_classes(sides: np.ndarray, ns: np.ndarray, ends: np.ndarray, home: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The class where each word's counts raise the information of the class bigrams most, or its home, in which they are now, if that doesn't gain enough.
+
+    Word i has the counts from ends[i - 1] on, at least one. Class 0 is the end's."""
     size = len(grams)
     tables = np.concatenate([grams.T, grams])  # row: what stands beside, column: the word's class
     totals = np.stack([grams.sum(1), grams.sum(0)])
-    first = np.concatenate([[0], ends[:-1]])
-    x = ns.astype(float)[:, None]
-    gain = np.add.reduceat(entropy_terms(tables[sides] + x) - entropy_terms(tables)[sides], first, axis=0)
+    first, many = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+    x, now, at_home = ns.astype(float)[:, None], tables[sides], np.arange(len(ends))
+    gain = np.add.reduceat(entropy_terms(now + x) - entropy_terms(now), first, axis=0)
+    mine = now[np.arange(len(sides)), np.repeat(home, many)]
+    stay = np.add.reduceat(entropy_terms(mine) - entropy_terms(mine - ns), first)
     for k in (0, 1):
-        all_ = np.add.reduceat(np.where(sides // size == k, ns, 0).astype(float), first)[:, None]
-        gain -= entropy_terms(totals[k] + all_) - entropy_terms(totals[k])
+        all_ = np.add.reduceat(np.where(sides // size == k, ns, 0).astype(float), first)
+        gain -= entropy_terms(totals[k] + all_[:, None]) - entropy_terms(totals[k])
+        stay -= entropy_terms(totals[k][home]) - entropy_terms(totals[k][home] - all_)
     gain[:, 0] = -np.inf
-    return gain.argmax(1)
+    gain[at_home, home] = stay
+    best = gain.argmax(1)
+    return np.where(gain[at_home, best] - stay > np.log(size), best, home)
 
 
 def word_classes(learning: DataFrame, vocabulary: DataFrame, model: Seed) -> DataFrame:
     """(word, c, cls) of the whole vocabulary."""
-    shared = learning.sparkSession.sparkContext.broadcast(model.grams)
+    shared = learning.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.value
+        m = shared.value
         for batch in batches:
-            sides, ns = batch.column("sides"), batch.column("ns")
-            ends = sides.offsets.to_numpy().astype(np.int64)
+            units = m.units.of(batch.column("word").to_numpy().view(np.uint64), batch.column("bucket").to_numpy())
+            cls = m.classes[units]
+            open_ = np.flatnonzero((units >= len(m.units.own)) & batch.column("sides").is_valid().to_numpy(zero_copy_only=False))
+            sides, ns = (batch.column(k).take(pa.array(open_)) for k in ("sides", "ns"))
+            ends = sides.offsets.to_numpy().astype(np.int64) - sides.offsets[0].as_py()
+            sides, ns = sides.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy()
             start = 0
-            while start < batch.num_rows:
+            while start < len(open_):
                 stop = max(start + 1, int(np.searchsorted(ends, ends[start] + WEIGHED_AT_ONCE, side="right")) - 1)
-                cut = slice(int(ends[start] - ends[0]), int(ends[stop] - ends[0]))
-                found = best_classes(sides.flatten().to_numpy()[cut].astype(np.int64), ns.flatten().to_numpy()[cut], ends[start + 1 : stop + 1] - ends[start], grams)
-                yield pa.RecordBatch.from_arrays([batch.column("word").slice(start, stop - start), pa.array(found.astype(np.int32))], names=["word", "cls"])
+                cut = slice(int(ends[start]), int(ends[stop]))
+                cls[open_[start:stop]] = best_classes(sides[cut], ns[cut], ends[start + 1 : stop + 1] - ends[start], cls[open_[start:stop]], m.grams)
                 start = stop
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(cls.astype(np.int32))], names=["word", "c", "cls"])
 
-    chosen = neighbours(learning, model).mapInArrow(tidy(run), "word long, cls int") if len(model.units.own) else None
-    own = learning.sparkSession.createDataFrame([(int(w), int(k)) for w, k in zip(model.units.own.view(np.int64), model.classes)], "word long, cls int")
-    known = own if chosen is None else own.union(chosen)
-    return written(vocabulary.join(known, "word", "left").select("word", "c", F.coalesce("cls", by_ending(model)).cast("int").alias("cls")), "word-classes")
+    return written(vocabulary.join(neighbours(learning, model), "word", "left").select("word", "bucket", "c", "sides", "ns").mapInArrow(tidy(run), "word long, c long, cls int"), "word-classes")
 
 
 def by_ending(model: Seed) -> Column:
