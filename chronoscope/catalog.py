@@ -121,7 +121,7 @@ def timeline_summary(spark, d):
 
 @query("""WITH r AS (SELECT event_id, (1::BIGINT << (k % 16)) | (1::BIGINT << (user_id % 16)) AS reason
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
-SELECT event_id, reason, CASE WHEN reason & 256 <> 0 THEN 'CREATE' WHEN reason & 512 <> 0 THEN 'DEL' WHEN reason & 12288 <> 0 THEN 'REN' ELSE 'MOD' END AS code FROM r""")
+SELECT event_id, reason, CASE WHEN reason & 256 <> 0 THEN 'CREATE' WHEN reason & 512 <> 0 THEN 'DEL' WHEN reason & 12288 <> 0 THEN 'REN' WHEN reason & 7 <> 0 THEN 'MOD' WHEN reason & 2048 <> 0 THEN 'SEC' WHEN reason & 32768 <> 0 THEN 'ATTR' ELSE 'MOD' END AS code FROM r""")
 def reason_to_event(spark, d):
     e = table(spark, d, "events").withColumn("k", key_of(F.col("props")))
     reason = F.expr("shiftleft(1L, cast(k % 16 as int)) | shiftleft(1L, cast(user_id % 16 as int))")
@@ -529,7 +529,10 @@ def app_name_json(spark, d):
     return table(spark, d, "events").select("event_id", X.activity_app(raw).alias("app"))
 
 
-@query("SELECT o_orderkey, " + X.humanized_sql("n").replace(" div ", " // ").replace("as string", "AS VARCHAR") + " AS shown FROM (SELECT o_orderkey, o_orderkey * o_custkey * 37 AS n FROM orders)")
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey * o_custkey * 37 AS n FROM orders),
+u AS (SELECT *, CASE WHEN n >= 1024 * 1024 * 1024 THEN 3 WHEN n >= 1024 * 1024 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS step FROM v),
+t AS (SELECT *, CAST(round_even(CAST(n * 10 AS DECIMAL(38, 12)) / CAST(pow(1024, step) AS BIGINT), 0) AS BIGINT) AS tenths FROM u)
+SELECT o_orderkey, CASE step WHEN 0 THEN n || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || ' ' || ['KB', 'MB', 'GB'][step] END AS shown FROM t""")
 def humanize_bytes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey * o_custkey * 37").alias("n")).select("o_orderkey", X.humanized("n").alias("shown"))
 
@@ -622,9 +625,10 @@ def _timeline_rows(spark, d) -> DataFrame:
         F.concat(F.lit("C:\\d\\"), "event_type").alias("path"),
         F.col("t").alias("primary_ts"),
         T.ticks_of("t").alias("primary_ticks"),
-        F.lit("FileCreate").alias("event_kind"),
-        F.lit("CREATE").alias("event_code"),
+        F.when(F.col("event_id") % 7 == 0, "LogCheckpoint").otherwise("FileCreate").alias("event_kind"),
+        F.when(F.col("event_id") % 7 == 0, "LogCheckpoint").otherwise("CREATE").alias("event_code"),
         F.struct(*(v.alias(n) for n, v in zip(times, values))).alias("timestamps"),
+        F.struct((T.ticks_of(si) + F.col("event_id") % 10).alias("si_created")).alias("ticks"),
         F.array(source).alias("sources"),
         (F.col("event_id") % 256).cast("int").alias("anomalies"),
         F.struct(F.nullif(F.col("user_id"), F.lit(0)).alias("file_size"), F.when(F.col("event_id") % 4 == 1, F.col("user_id")).alias("mft_entry_number"), (F.col("event_id") % 9).cast("int").alias("mft_sequence"), (F.col("event_id") % 5 == 0).alias("is_directory"), F.lit(None).cast("string").alias("sha256")).alias("metadata"),
@@ -638,7 +642,7 @@ _MS = "'%Y-%m-%d %H:%M:%S.%g'"
 _FLAGS = _labels_sql(anomaly.CSV_LABELS, "|").replace("flags &", "(event_id % 256) &")
 
 
-@query(rf"""SELECT strftime(ts, {_MS}) AS "Timestamp", 'CREATE' AS "Event", 'C:\d\' || event_type AS "Path", CASE WHEN event_id % 2 = 0 THEN 'MFT' ELSE 'EVT:' || event_type END AS "Sources", {_FLAGS} AS "Anomalies",
+@query(rf"""SELECT strftime(ts, {_MS}) AS "Timestamp", CASE WHEN event_id % 7 = 0 THEN 'LogCheckpoint' ELSE 'CREATE' END AS "Event", 'C:\d\' || event_type AS "Path", CASE WHEN event_id % 2 = 0 THEN 'MFT' ELSE 'EVT:' || event_type END AS "Sources", {_FLAGS} AS "Anomalies",
   coalesce(strftime(si, {_MS}), '') AS "SI_Created", coalesce(strftime(si, {_MS}), '') AS "SI_Modified", coalesce(strftime(si - INTERVAL 1 SECOND, {_MS}), '') AS "SI_Accessed", coalesce(strftime(si, {_MS}), '') AS "SI_EntryMod",
   '' AS "FN_Created", '' AS "FN_Modified", strftime(ts, {_MS}) AS "FN_Accessed", '' AS "FN_EntryMod",
   CASE WHEN event_id % 4 = 1 THEN user_id::VARCHAR ELSE '' END AS "MFT_Entry", coalesce(nullif(user_id, 0)::VARCHAR, '') AS "FileSize", CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'false' END AS "IsDir"
@@ -655,9 +659,12 @@ def bodyfile_rows(spark, d):
     return sinks.bodyfile_rows(_timeline_rows(spark, d))
 
 
-@query(r"""SELECT '{"entity_id":{"' || CASE WHEN event_id % 2 = 0 THEN 'MftEntry' ELSE 'Generated' END || '":' || event_id || '},"path":"C:\\d\\' || event_type || '","primary_timestamp":"' || t || '","event_type":"FileCreate","timestamps":{"si_created":' || si || ',"si_modified":' || si || ',"si_accessed":' || sa || ',"si_entry_modified":' || si || ',"fn_created":null,"fn_modified":null,"fn_accessed":"' || t || '","fn_entry_modified":null},"sources":[' ||
+@query(r"""SELECT '{"entity_id":{"' || CASE WHEN event_id % 2 = 0 THEN 'MftEntry' ELSE 'Generated' END || '":' || event_id || '},"path":"C:\\d\\' || event_type || '","primary_timestamp":"' || t || '","event_type":' || CASE WHEN event_id % 7 = 0 THEN '{"Other":"LogCheckpoint"}' ELSE '"FileCreate"' END || ',"timestamps":{"si_created":' || sc || ',"si_modified":' || si || ',"si_accessed":' || sa || ',"si_entry_modified":' || si || ',"fn_created":null,"fn_modified":null,"fn_accessed":"' || t || '","fn_entry_modified":null},"sources":[' ||
   CASE WHEN event_id % 2 = 0 THEN '"Mft"' ELSE '{"Evtx":"' || event_type || '"}' END || '],"anomalies":' || event_id % 256 || ',"metadata":{"file_size":' || coalesce(nullif(user_id, 0)::VARCHAR, 'null') || ',"mft_entry_number":' || CASE WHEN event_id % 4 = 1 THEN user_id::VARCHAR ELSE 'null' END || ',"mft_sequence":' || event_id % 9 || ',"is_directory":' || CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'false' END || ',"sha256":null}}' AS json
-FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS t, CASE WHEN event_id % 3 > 0 THEN '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"' ELSE 'null' END AS si, CASE WHEN event_id % 3 > 0 THEN '"' || strftime(ts - INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S.%fZ') || '"' ELSE 'null' END AS sa FROM events)""")
+FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN '"' || t || '"' ELSE 'null' END AS si, CASE WHEN event_id % 3 > 0 THEN '"' || strftime(ts - INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S') || f || 'Z"' ELSE 'null' END AS sa,
+    CASE WHEN event_id % 3 = 0 THEN 'null' WHEN event_id % 10 = 0 THEN '"' || t || '"' ELSE '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(us * 1000 + event_id % 10 * 100 AS VARCHAR), 9, '0') || 'Z"' END AS sc
+  FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') || f || 'Z' AS t FROM (SELECT *, CASE WHEN us = 0 THEN '' WHEN us % 1000 = 0 THEN '.' || lpad(CAST(us // 1000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(us AS VARCHAR), 6, '0') END AS f
+    FROM (SELECT *, epoch_us(ts) % 1000000 AS us FROM events))))""")
 def json_rows(spark, d):
     return sinks.json_rows(_timeline_rows(spark, d))
 

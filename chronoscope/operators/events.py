@@ -32,6 +32,9 @@ def reason_code(reason: Column) -> Column:
         F.when(any_of("FILE_CREATE"), "CREATE")
         .when(any_of("FILE_DELETE"), "DEL")
         .when(any_of("RENAME_OLD_NAME", "RENAME_NEW_NAME"), "REN")
+        .when(any_of("DATA_OVERWRITE", "DATA_EXTEND", "DATA_TRUNCATION"), "MOD")
+        .when(any_of("SECURITY_CHANGE"), "SEC")
+        .when(any_of("BASIC_INFO_CHANGE"), "ATTR")
         .otherwise("MOD")
     )
 

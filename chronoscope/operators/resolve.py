@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoscope.operators.settled import settled
+
 
 def first_by_key(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """(key, value): of each key the value of its first row in the order; combined before the shuffle."""
@@ -25,21 +27,19 @@ def resolve_parents(rows: DataFrame, paths: DataFrame, key: str = "parent", path
     return rows.join(paths, key, "left").withColumn("path", full_path(F.col(path), F.col(name)))
 
 
-def parent_chain(nodes: DataFrame, node: str = "node", parent: str = "parent", name: str = "name", rounds: int = 16) -> DataFrame:
+def parent_chain(nodes: DataFrame, node: str = "node", parent: str = "parent", name: str = "name") -> DataFrame:
     """(node, path, depth) by pointer doubling: each round doubles the known stretch of every node's path.
 
-    A node whose parent is null, itself or not in the table is a root. After ``rounds``
-    rounds a path has up to 2 ** rounds names; what is then still open is a cycle,
-    and such a node keeps its own name. A round is one join, and the first in which
-    nothing is open is the last."""
+    A node whose parent is null, itself or not in the table is a root. Depths have no
+    gaps, so where a round finishes no node, what is still open leads into a cycle, and such
+    a node keeps its own name. A round is one join of tables that the round before wrote."""
     known = nodes.select(F.col(node).alias("_known"))
     own = nodes.join(known, nodes[parent] == known["_known"], "left").select(F.col(node).alias("node"), F.when(F.col("_known") != F.col(node), F.col("_known")).alias("up"), F.col(name).cast("string").alias("path"), F.col(name).cast("string").alias("own"), F.lit(1).alias("depth"))
-    for _ in range(rounds):
-        if own.where("up is not null").isEmpty():
-            break
+    own, before = settled(own), None
+    while (open_nodes := own.where("up is not null").count()) and open_nodes != before:
         above = own.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"))
         own = own.join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce(F.concat_ws("\\", "head", "path"), "path").alias("path"), "own", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        own = own.checkpoint() if own.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else own
+        own, before = settled(own), open_nodes
     open_ = F.col("up").isNotNull()
     return own.select("node", F.when(open_, F.col("own")).otherwise(F.col("path")).alias("path"), F.when(open_, 1).otherwise(F.col("depth")).alias("depth"))
 

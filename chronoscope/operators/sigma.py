@@ -186,19 +186,140 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: Java has these, the dialect doesn't.
-FOREIGN_REGEX = re.compile(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?}]\+")
+# Regular expressions. Rules are written for a dialect without look-around and back references, in which classes are
+# Unicode's and $ is the very end. They are rewritten for Java; what the dialect refuses never matches.
+
+# Named classes inside brackets (ASCII), and what may follow a backslash besides signs.
+POSIX = {"alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": r"\w", "xdigit": "0-9A-Fa-f"}
+SAME_ESCAPES = set("aftnrAbBdDsSwWz")
+
+
+class _Regex:
+    """Reads a pattern once and writes it for Java; raises RuleError where the dialect has no such pattern."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at, self.lines, self.unicode = pattern, 0, False, False
+
+    def fail(self) -> None:
+        raise RuleError(f"not a pattern of the dialect: {self.text!r}")
+
+    def take(self, pattern: str) -> re.Match | None:
+        found = re.compile(pattern).match(self.text, self.at)
+        self.at = found.end() if found else self.at
+        return found
+
+    def escape(self) -> str:
+        if found := self.take(r"\\x\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})"):
+            code = int(next(g for g in found.groups() if g), 16)
+            if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+                self.fail()
+            return f"\\x{{{code:x}}}"
+        if found := self.take(r"\\([pP])(?:\{(\^?)(\w+)\}|([A-Z]))"):
+            sign, negated, name, short = found.groups()
+            sign = {"p": "P", "P": "p"}[sign] if negated else sign
+            name = short or name
+            return f"\\{sign}{{{name if len(name) <= 2 else 'Is' + name}}}"
+        found = self.take(r"\\(.)")
+        if not found or (sign := found[1]).isdigit():
+            self.fail()
+        if sign == "v":
+            return "\\x{b}"
+        if sign.isalpha():
+            if sign not in SAME_ESCAPES:
+                self.fail()
+            self.unicode |= sign in "bBdDsSwW"
+            return "\\" + sign
+        return "\\" + sign if sign.isascii() else sign
+
+    def bracket(self) -> str:
+        out = "[" + self.take(r"\[(\^?)")[1]
+        if self.take(r"\]"):
+            out += "\\]"
+        while not self.take(r"\]"):
+            if self.at >= len(self.text) or self.text.startswith(("--", "~~"), self.at) and not out.endswith("["):
+                self.fail()
+            if found := self.take(r"\[:(\^?)(\w+):\]"):
+                if found[2] not in POSIX:
+                    self.fail()
+                out += f"[{found[1]}{POSIX[found[2]]}]"
+            elif self.text[self.at] == "[":
+                out += self.bracket()
+            elif self.text[self.at] == "\\":
+                out += self.escape()
+            else:
+                out += self.text[self.at]
+                self.at += 1
+        return out + "]"
+
+    def java(self) -> str:
+        out, opened, atom, repeated = [], [], None, None  # atom: where in out the last thing begins that can be repeated
+        while self.at < len(self.text):
+            sign = self.text[self.at]
+            if sign == "(":
+                if found := self.take(r"\(\?P?<[A-Za-z_]\w*>|\((?!\?)"):
+                    opened.append(len(out))
+                    out.append("(?:")
+                elif found := self.take(r"\(\?([imsux]*)(?:-([imsx]+))?([:)])"):
+                    on, off, end = found.groups()
+                    self.lines |= "m" in on
+                    self.unicode |= "i" in on
+                    flags = on.replace("u", "") + (f"-{off}" if off else "")
+                    if end == ":":
+                        opened.append(len(out))
+                        out.append(f"(?{flags}:")
+                    elif flags:
+                        out.append(f"(?{flags})")
+                else:
+                    self.fail()
+                atom = None
+            elif sign == ")":
+                if not opened:
+                    self.fail()
+                self.at += 1
+                atom = opened.pop()
+                out.append(")")
+            elif found := self.take(r"[*+?]\??|\{\d+(?:,\d*)?\}\??"):
+                if atom is None:
+                    self.fail()
+                sign = found[0][0]
+                if sign != "{" and repeated and repeated[0] == atom and atom == len(out) - 1:  # a repetition of a repetition
+                    inner, first = repeated[1:]
+                    sign = first if first == sign else "*"
+                else:
+                    inner = "".join(out[atom:])
+                out[atom:] = ["(?:" + inner + (found[0] if sign == "{" else sign) + ")"]
+                repeated = (atom, inner, sign) if sign != "{" else None
+            elif sign in "{":
+                self.fail()
+            else:
+                begin = len(out)
+                if sign == "[":
+                    out.append(self.bracket())
+                elif sign == "\\":
+                    out.append(self.escape())
+                else:
+                    self.at += 1
+                    out.append({"}": "\\}", "]": "\\]"}.get(sign, sign))
+                atom = None if sign in "|" else begin
+        if opened:
+            self.fail()
+        whole = "".join(out)
+        if not self.lines:
+            whole = re.sub(r"(\\.|\[(?:\\.|[^\]\\])*\])|\$", lambda m: m[1] or "\\z", whole)
+        return ("(?dU)" if self.unicode else "(?d)") + whole
+
+
+def java_regex(pattern: str) -> str | None:
+    """The pattern for Java, or None where the dialect refuses it (look-around, back references, unknown escapes and classes, stray signs)."""
+    try:
+        return _Regex(pattern).java()
+    except (RuleError, IndexError):
+        return None
 
 
-def usable_regex(pattern: str) -> bool:
-    """Whether a pattern is valid without look-around, back references and possessive quantifiers."""
-    if FOREIGN_REGEX.search(re.sub(r"\\\\", "", pattern)):
-        return False
-    try:
-        re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern))
-    except re.error:
-        return False
-    return True
+def refused_patterns(rules: list[Rule]) -> list[tuple[str, str, str]]:
+    """(rule, field, pattern) of every regular expression that never matches because the dialect refuses it."""
+    return [(r.title, m.name, v) for r in rules for found in r.selections.values() for m in found if "re" in m.modifiers for v in m.values if java_regex(v) is None]
 
 
 def field_sql(name: str, data: str) -> str:
@@ -215,7 +336,8 @@ def match_sql(match: FieldMatch, data: str) -> str:
     for wanted in match.values:
         lower = literal(wanted.lower())
         if kind == "re":
-            tests.append(f"{value} rlike {literal(wanted)}" if usable_regex(wanted) else "false")
+            pattern = java_regex(wanted)
+            tests.append("false" if pattern is None else f"{value} rlike {literal(pattern)}")
         elif kind == "exact":
             tests.append(f"lower({value}) = {lower}")
         else:

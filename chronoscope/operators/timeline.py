@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoscope.operators.settled import settled
 from chronoscope.schema import EVENT_CODES, SOURCE_CODES
 
 #: Ties of time are broken by artifact, file and record, as a stable sort of the sources in turn would.
@@ -46,7 +47,7 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "idx") -> DataFr
     order = order or ORDER
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     spread = spread.withColumn("_nth", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33))
-    spread = spread.persist()  # both uses below must see the same range bounds
+    spread = settled(spread)  # both uses below must see the same range bounds
     sizes = spread.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

@@ -86,7 +86,7 @@ def file_table(raw: DataFrame) -> DataFrame:
 
 
 #: Event kinds of change-journal codes.
-_KIND_OF = {"CREATE": "FileCreate", "DEL": "FileDelete", "REN": "FileRename", "MOD": "FileModify"}
+_KIND_OF = {"CREATE": "FileCreate", "DEL": "FileDelete", "REN": "FileRename", "MOD": "FileModify", "SEC": "SEC", "ATTR": "ATTR"}
 
 
 def change_journal(raw: DataFrame, file_paths: DataFrame | None = None) -> DataFrame:
@@ -163,12 +163,15 @@ BENIGN_CONSUMERS = ("BVTConsumer", "SCM Event Log Consumer")
 
 
 def wmi(raw: DataFrame, as_of: Column) -> DataFrame:
-    """class, name, details: of equal class and name the first row counts."""
+    """class, name, details and, where it is known, context (the text around): of equal class and name the first row counts.
+
+    A binding is benign by any of its context, everything else by its name."""
     order = [c for c in ("file_ord", "rec_ord") if c in raw.columns] or ["details"]
     first = raw.groupBy("class", "name").agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in raw.columns if c not in ("class", "name")))
     names = F.create_map(*(F.lit(x) for pair in WMI_KINDS.items() for x in pair))
     runs = F.col("class").isin("CommandLineEventConsumer", "ActiveScriptEventConsumer")
-    benign = F.coalesce(F.col("name").rlike("|".join(map(re.escape, BENIGN_CONSUMERS))), F.lit(False))
+    seen = F.when(F.col("class") == "__FilterToConsumerBinding", F.coalesce(F.col("context"), F.col("name"))).otherwise(F.col("name")) if "context" in raw.columns else F.col("name")
+    benign = F.coalesce(seen.rlike("|".join(map(re.escape, BENIGN_CONSUMERS))), F.lit(False))
     path = filled("[WMI:{kind}] {name} {details}", kind=F.coalesce(F.element_at(names, F.col("class")), F.col("class")))
     return rows(first, "Wmi", path, _ticks(as_of), F.when(runs, "Execute").otherwise("RegistryModify"), "Wmi", anomalies=anomaly.flag_when(~benign, S.EXECUTION_NO_PREFETCH))
 

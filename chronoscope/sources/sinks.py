@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoscope.functions.times import ticks_of
 from chronoscope.operators.anomaly import csv_labels
-from chronoscope.operators.timeline import ORDER, source_codes
+from chronoscope.operators.timeline import ORDER, numbered, source_codes
+from chronoscope.schema import EVENT_CODES
 
 MILLIS = "yyyy-MM-dd HH:mm:ss.SSS"
 
@@ -60,29 +62,63 @@ def json_enum(kind: Column, detail: Column) -> Column:
     return F.when(detail.isNull(), quoted(kind)).otherwise(F.concat(F.lit("{"), quoted(kind), F.lit(":"), quoted(detail), F.lit("}")))
 
 
-def json_rows(timeline: DataFrame) -> DataFrame:
-    """A column ``json``: an object a row with all fields, nulls kept, enums as a name or an object, flags as a number."""
+def json_time(ts: Column, ticks: Column | None = None) -> Column:
+    """A time as JSON with as many digits (none, 3, 6 or 9) as it needs; ticks (100 ns since 1601) say more than microseconds do. Null is ``null``."""
+    exact = ticks if ticks is not None else ticks_of(ts)
+    exact = F.coalesce(exact, ticks_of(ts))
+    part = exact % 10_000_000
+    digits = F.lpad(part.cast("string"), 7, "0")
+    fraction = F.when(part == 0, "").when(part % 10_000 == 0, F.concat(F.lit("."), F.left(digits, F.lit(3)))).when(part % 10 == 0, F.concat(F.lit("."), F.left(digits, F.lit(6)))).otherwise(F.concat(F.lit("."), digits, F.lit("00")))
+    return F.coalesce(F.concat(F.lit('"'), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit('Z"')), F.lit("null"))
+
+
+def json_times(timeline: DataFrame) -> Column:
+    """The timestamps as a JSON object, nulls kept."""
+    types = dict(timeline.select("timestamps.*").dtypes)
+    fine = set(timeline.select("ticks.*").columns) if "ticks" in timeline.columns else set()
+    parts = []
+    for name, kind in types.items():
+        ts = F.col(f"timestamps.{name}")
+        if kind.startswith("array"):
+            value = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(ts, lambda t: json_time(t)), ","), F.lit("]")), F.lit("[]"))
+        else:
+            value = json_time(ts, F.col(f"ticks.{name}") if name in fine else None)
+        parts.append(F.concat(F.lit(f'"{name}":'), value))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_text(timeline: DataFrame) -> Column:
+    """An object a row with all fields, nulls kept, enums as a name or an object (a kind outside the list is ``Other``), flags as a number."""
     entity = F.concat(F.lit("{"), quoted(F.col("entity_kind")), F.lit(":"), F.col("entity_num").cast("string"), F.lit("}"))
-    kind = F.when(F.col("event_kind").startswith("Other:"), F.concat(F.lit('{"Other":'), quoted(F.substr(F.col("event_kind"), F.lit(7))), F.lit("}"))).otherwise(quoted(F.col("event_kind")))
+    kind = F.when(F.col("event_kind").isin(*EVENT_CODES), quoted(F.col("event_kind"))).otherwise(F.concat(F.lit('{"Other":'), quoted(F.col("event_kind")), F.lit("}")))
     sources = F.concat(F.lit("["), F.array_join(F.transform("sources", lambda s: json_enum(s["kind"], s["detail"])), ","), F.lit("]"))
-    keep = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
     fields = [
         ("entity_id", entity),
         ("path", quoted(F.col("path"))),
-        ("primary_timestamp", quoted(F.date_format("primary_ts", keep["timestampFormat"]))),
+        ("primary_timestamp", json_time(F.col("primary_ts"), F.col("primary_ticks"))),
         ("event_type", kind),
-        ("timestamps", F.to_json("timestamps", keep)),
+        ("timestamps", json_times(timeline)),
         ("sources", sources),
         ("anomalies", F.col("anomalies").cast("string")),
-        ("metadata", F.to_json("metadata", keep)),
+        ("metadata", F.to_json("metadata", {"ignoreNullFields": "false"})),
     ]
     parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null"))) for name, value in fields]
-    return timeline.select(F.concat(F.lit("{"), reduce(lambda a, b: F.concat(a, F.lit(","), b), parts), F.lit("}")).alias("json"))
+    return F.concat(F.lit("{"), reduce(lambda a, b: F.concat(a, F.lit(","), b), parts), F.lit("}"))
 
 
-def write_json(timeline: DataFrame, path: str) -> None:
-    """A JSON object a line, in order."""
-    json_rows(timeline.orderBy(*ORDER)).write.text(path)
+def json_rows(timeline: DataFrame) -> DataFrame:
+    """A column ``json``, as ``json_text`` gives it."""
+    return timeline.select(json_text(timeline).alias("json"))
+
+
+def write_json(timeline: DataFrame, path: str, lines: bool = False) -> None:
+    """An array of objects in order: the part files, one after the other, are one JSON text. With ``lines`` an object a line and no array."""
+    if lines:
+        return json_rows(timeline.orderBy(*ORDER)).write.text(path)
+    placed = numbered(timeline, name="_place")
+    objects = placed.select("_place", F.concat(F.when(F.col("_place") > 0, ",").otherwise(""), json_text(placed)).alias("line"))
+    ends = timeline.sparkSession.createDataFrame([(-1, "["), ((1 << 63) - 1, "]")], "_place long, line string")
+    objects.union(ends).orderBy("_place").select("line").write.text(path)
 
 
 def epoch(ts: Column) -> Column:

@@ -73,7 +73,7 @@ def test_zero_subseconds_need_ticks(spark):
     assert values(spark, anomaly.si_before_fn(F.col("a"), F.col("b")), rows, "a long, b long") == [1, 1, 1, 0]
 
 
-@pytest.mark.parametrize("reason, code", [(0x100 | 0x80000000, "CREATE"), (0x200 | 0x2000, "DEL"), (0x1000, "REN"), (0x1, "MOD"), (0x800, "MOD"), (0x80000000, "MOD")])
+@pytest.mark.parametrize("reason, code", [(0x100 | 0x80000000, "CREATE"), (0x200 | 0x2000, "DEL"), (0x1000, "REN"), (0x1, "MOD"), (0x800, "SEC"), (0x8000, "ATTR"), (0x801, "MOD"), (0x8800 | 0x80000000, "SEC"), (0x4000, "MOD"), (0x80000000, "MOD")])
 def test_reasons(spark, reason, code):
     assert values(spark, events.reason_code(F.col("r")), [(reason,)], "r long") == [code]
 
@@ -132,4 +132,32 @@ def test_sinks(spark, tmp_path):
     assert text[0].startswith("Timestamp,Event,Path") and ',"C:\\a ""b""",' in text[1]
     sinks.write_json(df, f"{tmp_path}/json")
     sinks.write_bodyfile(df, f"{tmp_path}/body")
-    assert json.loads(next((tmp_path / "json").glob("part-*")).read_text()) == found
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*")))) == [found]
+
+
+def test_json_array_kinds_and_times(spark, tmp_path):
+    """Kinds outside the list are objects, times have the digits they need, and many rows are one array over all part files."""
+    base = list(_full_row())
+    rows = []
+    for k, (kind, us, ticks) in enumerate([("FileCreate", 0, 0), ("LogCheckpoint", 5000, 0), ("Sysmon:9", 123456, 0), ("BrowseURL", 123456, 7), ("SEC", 0, 1)]):
+        ts = datetime(2025, 8, 10, 3, 41, 20 + k, us)
+        whole = (int(ts.replace(tzinfo=__import__("datetime").timezone.utc).timestamp()) * 1_000_000 + us) * 10 + 116_444_736_000_000_000 + ticks
+        rows.append((*base[:3], ts, whole, kind, kind, dict.fromkeys(S.TIMESTAMPS.names) | {"si_created": ts, "prefetch_last_run": [ts]}, dict.fromkeys(S.TICKS.names) | {"si_created": whole}, *base[9:]))
+    df = spark.createDataFrame(rows, S.TIMELINE)
+    sinks.write_json(df.repartition(4), f"{tmp_path}/json")
+    found = json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*"))))
+    assert [r["event_type"] for r in found] == ["FileCreate", {"Other": "LogCheckpoint"}, {"Other": "Sysmon:9"}, {"Other": "BrowseURL"}, {"Other": "SEC"}]
+    shown = ["2025-08-10T03:41:20Z", "2025-08-10T03:41:21.005Z", "2025-08-10T03:41:22.123456Z", "2025-08-10T03:41:23.123456700Z", "2025-08-10T03:41:24.000000100Z"]
+    assert [r["primary_timestamp"] for r in found] == shown == [r["timestamps"]["si_created"] for r in found]
+    assert found[1]["timestamps"]["prefetch_last_run"] == [shown[1]] and found[1]["timestamps"]["fn_created"] is None
+    sinks.write_json(df.limit(0), f"{tmp_path}/none")
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == []
+    sinks.write_json(df, f"{tmp_path}/lines", lines=True)
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "lines").glob("part-*")) == 5
+
+
+def test_very_deep_chains_and_large_cycles(spark):
+    """A chain of any depth is no cycle, and a cycle ends the rounds as soon as nothing else is open."""
+    rows = [(i, i - 1, "d") for i in range(1, 3000)] + [(10_000 + i, 10_000 + (i + 1) % 700, f"c{i}") for i in range(700)] + [(20_000, 10_000, "tail")]
+    found = {r.node: (r.path, r.depth) for r in resolve.parent_chain(spark.createDataFrame(rows, "node long, parent long, name string")).collect()}
+    assert found[2999][1] == 2999 and found[10_005] == ("c5", 1) and found[20_000] == ("tail", 1)
