@@ -252,7 +252,7 @@ class _Regex:
         return out + "]"
 
     def java(self) -> str:
-        out, opened, atom, repeated = [], [], None, None  # atom: where in out the last thing begins that can be repeated
+        out, opened, atom, repeated, closed = [], [], None, None, -1  # atom: where in out the last thing begins that can be repeated
         while self.at < len(self.text):
             sign = self.text[self.at]
             if sign == "(":
@@ -282,13 +282,15 @@ class _Regex:
                 if atom is None:
                     self.fail()
                 sign = found[0][0]
+                if sign == "+" and closed == len(out):  # possessive elsewhere
+                    self.fail()
                 if sign != "{" and repeated and repeated[0] == atom and atom == len(out) - 1:  # a repetition of a repetition
                     inner, first = repeated[1:]
                     sign = first if first == sign else "*"
                 else:
                     inner = "".join(out[atom:])
                 out[atom:] = ["(?:" + inner + (found[0] if sign == "{" else sign) + ")"]
-                repeated = (atom, inner, sign) if sign != "{" else None
+                repeated, closed = (atom, inner, sign) if sign != "{" else None, len(out)
             elif sign in "{":
                 self.fail()
             else:
