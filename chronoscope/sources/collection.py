@@ -127,8 +127,8 @@ def zip_listing(spark: SparkSession, archive: str) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal long, original_path string, size long")
 
 
-def zip_bytes(files: DataFrame, archive: str, most: int = 1 << 30) -> DataFrame:
-    """files with their content, read by the tasks from a path that all of them see; null for what is too large or damaged."""
+def zip_bytes(files: DataFrame, archive: str, most: int = (1 << 31) - 1) -> DataFrame:
+    """files with their content, read by the tasks from a path that all of them see; null for what is damaged or larger than ``most``, by default what a value of a row can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with zipfile.ZipFile(archive) as z:
@@ -178,7 +178,7 @@ def zip_decoded(files: DataFrame, archive: str, decode, schema) -> DataFrame:
     return files.mapInArrow(run, out)
 
 
-def folder_bytes(spark: SparkSession, folder: str, most: int = 1 << 30) -> DataFrame:
+def folder_bytes(spark: SparkSession, folder: str, most: int = (1 << 31) - 1) -> DataFrame:
     """(original_path, size, content) of a folder's files; the content of a larger one is null and isn't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     large = found.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))

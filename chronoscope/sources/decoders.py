@@ -130,17 +130,17 @@ LOG_PAGES = "page_no long, kind string, lsn long"
 
 
 def log_pages(data: bytes) -> Iterator[tuple]:
-    """A row for each page: its kind (RSTR, RCRD, zero, other) and the LSN of a restart area."""
+    """A row for each page: its kind by its first four bytes (RSTR, RCRD, zero, other) and the LSN of a restart area, which the first two pages have."""
     return log_stream(io.BytesIO(data), len(data))
 
 
 def log_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
     """The rows of log_pages from an open file of any size."""
-    for number in range(size // PAGE):
+    for number in range((size + PAGE - 4) // PAGE):  # the last page may be cut short
         page = file.read(PAGE)
-        kind = page[:4].decode("latin-1") if page[:4] in (b"RSTR", b"RCRD") else "other" if any(page) else "zero"
+        kind = page[:4].decode("latin-1") if page[:4] in (b"RSTR", b"RCRD") else "other" if any(page[:4]) else "zero"
         lsn = None
-        if kind == "RSTR":
+        if kind == "RSTR" and number < 2:
             at = int.from_bytes(page[24:26], "little")
             lsn = positive(int.from_bytes(page[at : at + 8], "little")) if at + 8 <= PAGE else None
         yield number, kind, lsn
@@ -151,7 +151,7 @@ def page_gaps(pages: DataFrame, file: str = "file") -> DataFrame:
     order = Window.partitionBy(file).orderBy("page_no")
     seen = F.count_if(F.col("kind") == "RCRD").over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.coalesce(F.lead("kind").over(order) == "RCRD", F.lit(False))
-    odd = ~F.col("kind").isin("RCRD", "zero", "RSTR")
+    odd = ~F.col("kind").isin("RCRD", "zero")
     marked = pages.select(file, (odd | ((F.col("kind") == "zero") & (seen > 0) & after)).alias("gap"))
     return marked.groupBy(file).agg(F.bool_or("gap").alias("gap"))
 
