@@ -8,7 +8,8 @@ email, ip, card and phone keep every confirmed span. The added kinds ``iban`` an
 
 The expressions carry possessive quantifiers and starts that a match can't have
 missed, so a text of one very long word costs time in proportion to its length;
-what they match is the same as without.
+what they match is the same as without. Offsets are added up in runs and contexts
+cut from blocks of the text, so many spans in a long text cost no square of them.
 
 Defined results: a null or empty text has no spans, count 0 and the digest of an
 empty string; rows with the same id are treated each for itself; offsets count
@@ -17,6 +18,8 @@ code points of the original text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,36 @@ CONTEXT = {
     "ssn": (r"\b(?:ssn|social security|tax id)\b", 0.3, 0.8),
 }
 WINDOW, LEAST_SCORE = 40, 0.5
+#: Spans whose offsets are added up together; code points of the blocks that contexts are cut from.
+RUN, BLOCK = 256, 2048
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often and in whatever lambda it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """array<kind>: what ``step`` of a running offset and each item puts out (nothing, where null); it gives the next offset and an output.
+
+    The output is built in runs of RUN items, so its time doesn't grow with the square of the items."""
+    state, runs = f"struct<at:int,out:array<{kind}>>", f"struct<at:int,out:array<array<{kind}>>>"
+
+    def add(s: Column, x: Column) -> Column:
+        at, out = step(s["at"], x)
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array_compact(F.array(out))).alias("out")).cast(state)
+
+    def of(items: Column) -> Column:
+        def run(s: Column, first: Column) -> Column:
+            begun = F.struct(s["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")).cast(state)
+            done = F.aggregate(F.slice(items, first, F.lit(RUN)), begun, add)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["out"], F.array(d["out"])).alias("out")).cast(runs))
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")).cast(runs)
+        out = F.aggregate(F.sequence(F.lit(1), F.size(items), F.lit(RUN)), none, run, lambda s: F.flatten(s["out"]))
+        return F.when(F.size(items) > 0, out).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(items, of)
 
 
 def matches(text: Column, needed: str, pattern: str) -> Column:
@@ -50,16 +83,25 @@ def matches(text: Column, needed: str, pattern: str) -> Column:
     The texts between matches (split) and the matches themselves alternate, so their lengths add up to the offsets."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.filter(F.zip_with(gaps, found, lambda gap, x: F.struct(F.length(gap).alias("gap"), x.alias("found"))), lambda x: x["found"].isNotNull())
-    kind = "struct<at:int,out:array<struct<start:int,end:int,found:string>>>"
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
+    def span(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out")).cast(kind)
+        return end, F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
+
+    kind = "struct<start:int,end:int,found:string>"
+    return F.when(text.rlike(needed), scan(steps, kind, span)).otherwise(F.array().cast(f"array<{kind}>"))
+
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")).cast(kind), add, lambda x: x["out"])
-    return F.when(text.rlike(needed), spans).otherwise(none)
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, the last one shorter."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def piece(parts: Column, start: Column, end: Column) -> Column:
+    """The text of ``blocks`` between two offsets; only the blocks in between are walked through."""
+    first = F.floor(start / BLOCK).cast("int")
+    return F.substr(F.array_join(F.slice(parts, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), ""), start - first * BLOCK + 1, end - start)
 
 
 def digits(found: Column) -> Column:
@@ -106,14 +148,15 @@ def spans(text: Column, rank: int) -> Column:
     kind, needed, pattern = KINDS[rank]
     words, without, near = CONTEXT[kind]
 
-    def scored(x: Column) -> Column:
-        before = F.greatest(x["start"] - WINDOW, F.lit(0))
-        around = F.concat_ws("|", F.substr(text, before + 1, x["start"] - before), F.substr(text, x["end"] + 1, F.lit(WINDOW)))
+    def scored(parts: Column, x: Column) -> Column:
+        around = F.concat_ws("|", piece(parts, F.greatest(x["start"] - WINDOW, F.lit(0)), x["start"]), piece(parts, x["end"], x["end"] + WINDOW))
         score = F.when(F.lower(around).rlike(words), near).otherwise(without)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     confirmed = F.filter(matches(text, needed, pattern), lambda x: valid(kind, x["found"]))
-    return F.filter(F.transform(confirmed, scored), lambda x: F.lit(kind in BASE) | (x["score"] >= LEAST_SCORE))
+    parts = lambda found: F.when(F.size(found) > 0, blocks(text))
+    all_scored = let(confirmed, lambda found: let(parts(found), lambda p: F.transform(found, lambda x: scored(p, x))))
+    return F.filter(all_scored, lambda x: F.lit(kind in BASE) | (x["score"] >= LEAST_SCORE))
 
 
 def personal_data(df: DataFrame, text_column: str = "text") -> DataFrame:
@@ -127,13 +170,16 @@ def redacted(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``personal_data`` with each span in the text replaced by its kind in angle brackets; of overlapping spans the first counts."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
 
-    def add(state: Column, x: Column) -> Column:
-        taken = F.struct(x["end"].alias("at"), F.concat(state["out"], F.substr(text, state["at"] + 1, x["start"] - state["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"))
-        return F.when(x["start"] >= state["at"], taken).otherwise(state)
+    def cut(at: Column, x: Column) -> tuple[Column, Column]:
+        taken = x["start"] >= at
+        return F.when(taken, x["end"]).otherwise(at), F.when(taken, F.struct(at.alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+    def clean(cuts: Column, parts: Column) -> Column:
+        shown = F.transform(cuts, lambda c: F.concat(piece(parts, c["at"], c["start"]), F.lit("<"), c["kind"], F.lit(">")))
+        return F.concat(F.array_join(shown, ""), piece(parts, F.coalesce(F.try_element_at(cuts, F.lit(-1))["end"], F.lit(0)), F.length(text)))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("pii", first, add, lambda x: F.concat(x["out"], F.substr(text, x["at"] + 1)))
-    return personal_data(df, text_column).withColumn(text_column, clean)
+    cuts = scan(F.col("pii"), "struct<at:int,start:int,end:int,kind:string>", cut)
+    return personal_data(df, text_column).withColumn(text_column, let(cuts, lambda c: let(blocks(text), lambda p: clean(c, p))))
 
 
 def joined(found: Column) -> Column:

@@ -83,6 +83,25 @@ def test_time_grows_with_the_length_of_a_word(spark):
     assert time.time() - began < 60
 
 
+def test_time_grows_with_the_number_of_spans(spark):
+    """Offsets, contexts and redaction of a text of many blocks and runs, with characters outside the basic plane."""
+    text = "".join(f"é😀 call +1 555 {i:07d} or 10.0.{i % 256}.7, a{i}@b.de; " for i in range(16_667))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    began = time.time()
+    rows = pii.pii_digest(docs).collect()
+    assert time.time() - began < 150
+    check(rows, [(0, text)])
+    assert rows[0].scores.count(",") == 50_000
+    assert {s for s, k in zip(rows[0].scores.split(","), rows[0].spans.split(",")) if k.startswith("phone")} == {"1.0"}
+
+
+def test_redaction_of_a_long_text(spark):
+    head, tail = "x" * (2 * pii.BLOCK), "é" * (pii.BLOCK - 1)
+    text = head + " a@b.de " + tail + "".join(f" {i}@c.de" for i in range(2 * pii.RUN))
+    docs = spark.createDataFrame([(0, text), (1, "a@b.de"), (2, ""), (3, "a" * pii.BLOCK)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redacted(docs).collect()} == {0: head + " <email> " + tail + " <email>" * (2 * pii.RUN), 1: "<email>", 2: "", 3: "a" * pii.BLOCK}
+
+
 def test_context_raises_the_score_and_redaction(spark):
     docs = spark.createDataFrame([(1, "pay by card 4111111111111111 now"), (2, "number 4111111111111111"), (3, None)], "doc_id long, text string").withColumn("pii", F.lit(1))
     found = {r.doc_id: r for r in pii.redacted(docs).collect()}
