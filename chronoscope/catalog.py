@@ -4,40 +4,18 @@ The star-schema tables stand for decoded artifacts (see ``plans.fixtures``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoscope import artifact_queries  # noqa: F401 (its queries)
 from chronoscope.functions import text as X
 from chronoscope.functions import times as T
 from chronoscope.operators import anomaly, events, resolve, sigma, timeline
+from chronoscope.plans import normalize
 from chronoscope.plans.fixtures import EVENT_LOG_SQL, FILE_ROWS_SQL, event_log, file_rows, key_of, table
+from chronoscope.registered import oracle_sql, queries, query  # noqa: F401
 from chronoscope.sources import collection, sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
@@ -178,6 +156,12 @@ def describe_event(spark, d):
     return event_log(spark, d).select("record_id", events.description().alias("description"))
 
 
+@query(f"WITH {EVENT_LOG_SQL} SELECT * FROM (SELECT record_id AS rec_ord, {DESCRIBE_SQL} AS path, {CODE_SQL} AS event_code, epoch_us(ts) AS us FROM log) WHERE event_code NOT LIKE 'EID:%'")
+def event_log_rows(spark, d):
+    raw = event_log(spark, d).withColumn("rec_ord", F.col("record_id")).withColumn("time", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return normalize.event_log(raw).select("rec_ord", "path", "event_code", F.unix_micros("primary_ts").alias("us"))
+
+
 # Joins
 
 
@@ -366,7 +350,7 @@ def detections_by_level(spark, d):
 
 @query("SELECT p_type, p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS nth FROM part) WHERE nth = 1")
 def dedup_type_name(spark, d):
-    return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    return resolve.first_rows(table(spark, d, "part").select("p_type", "p_brand", "p_partkey"), ["p_type", "p_brand"], "p_partkey")
 
 
 @query("""WITH p AS (SELECT user_id, event_id, event_type = 'error' AS zero, event_type IN ('click', 'view') AS page FROM events),
@@ -574,9 +558,8 @@ def counted_runs(events: DataFrame) -> DataFrame:
 @query("""WITH p AS (SELECT o_custkey, min(epoch_us(o_orderdate)) AS a, nullif(max(epoch_us(o_orderdate)), min(epoch_us(o_orderdate))) AS b FROM orders GROUP BY 1)
 SELECT o_custkey, 'FirstConnect' AS what, a AS us FROM p UNION ALL SELECT o_custkey, 'LastConnect', b FROM p WHERE b IS NOT NULL""")
 def first_last_events(spark, d):
-    p = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.nullif(F.max("o_orderdate"), F.min("o_orderdate")).alias("b"))
-    pairs = F.array(F.struct(F.lit("FirstConnect").alias("what"), micros("a").alias("us")), F.struct(F.lit("LastConnect").alias("what"), micros("b").alias("us")))
-    return p.select("o_custkey", F.inline(F.filter(pairs, lambda x: x["us"].isNotNull())))
+    ends = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.nullif(F.max("o_orderdate"), F.min("o_orderdate")).alias("last"))
+    return normalize.connections(ends).select("o_custkey", "what", micros("ts").alias("us"))
 
 
 @query("""WITH o AS (SELECT user_id, list(k ORDER BY event_id) AS mru FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_id % 3 = 0 GROUP BY 1)
@@ -602,10 +585,8 @@ def mru_positions(e: DataFrame, stretch: int = 1 << 16) -> DataFrame:
 @query("""WITH s AS (SELECT p_partkey, p_size, p_size % 7 AS start, p_partkey % 3 AS control_set, p_partkey % 11 AS host FROM part WHERE coalesce(nullif(p_size % 7, 6), 3) <= 2)
 SELECT p_partkey, CAST(start AS INTEGER) AS start FROM (SELECT *, rank() OVER (PARTITION BY host ORDER BY control_set) AS r FROM s) WHERE r = 1""")
 def services_autostart(spark, d):
-    s = table(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size") % 7, F.lit(6)).alias("raw"), (F.col("p_partkey") % 3).alias("control_set"), (F.col("p_partkey") % 11).alias("host"))
-    s = s.withColumn("start", F.coalesce("raw", F.lit(3))).where("start <= 2")
-    first = s.groupBy("host").agg(F.min("control_set").alias("control_set"))
-    return s.join(first, ["host", "control_set"]).select("p_partkey", F.col("start").cast("int").alias("start"))
+    s = table(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size") % 7, F.lit(6)).alias("start"), F.col("p_name").alias("image_path"), (F.col("p_partkey") % 3).alias("control_set"), (F.col("p_partkey") % 11).alias("host"))
+    return normalize.started_services(s, "host").select("p_partkey", F.col("start").cast("int").alias("start"))
 
 
 # Sinks

@@ -17,6 +17,11 @@ def last_by_key(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+def first_rows(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Of equal keys the first row by ``order``; an aggregate, so it combines before the shuffle."""
+    return rows.groupBy(*keys).agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in rows.columns if c not in keys))
+
+
 def full_path(parent: Column, name: Column) -> Column:
     """Parent and name; the name alone where the parent isn't known."""
     return F.coalesce(F.concat(parent, F.lit("\\"), name), name)

@@ -17,7 +17,7 @@ from chronoscope import schema as S
 from chronoscope.functions import text as X
 from chronoscope.functions import times as T
 from chronoscope.operators import anomaly, events, timeline
-from chronoscope.operators.resolve import full_path
+from chronoscope.operators.resolve import first_rows, full_path
 
 
 def filled(template: str, **columns: Column) -> Column:
@@ -133,13 +133,18 @@ def bam(raw: DataFrame) -> DataFrame:
     return rows(kept, "Bam", X.device_path(F.col("value_name")), F.col("ticks"), "Execute", "Bam")
 
 
+def started_services(raw: DataFrame, host: str) -> DataFrame:
+    """The services that start by themselves (a null start is 3) and have a program, of each host's first control set with such rows."""
+    kept = raw.withColumn("start", F.coalesce("start", F.lit(3))).where("start <= 2 and image_path <> ''")
+    first = kept.groupBy(host).agg(F.min("control_set").alias("control_set"))
+    return kept.join(first, [host, "control_set"])
+
+
 def services(raw: DataFrame, host: str = "file_ord") -> DataFrame:
     """name, start (null: 3), image_path, ticks, control_set: of each file the first control set with kept rows."""
     if host not in raw.columns:
         raw = raw.withColumn(host, F.lit(0))
-    kept = raw.withColumn("start", F.coalesce("start", F.lit(3))).where("start <= 2 and image_path <> ''")
-    first = kept.groupBy(host).agg(F.min("control_set").alias("control_set"))
-    return rows(kept.join(first, [host, "control_set"]), "Services", filled("[Service:{name}] {start} -> {image_path}", start=X.start_type(F.col("start"))), F.col("ticks"), "ServiceInstall", "Registry", F.lit("SYSTEM"))
+    return rows(started_services(raw, host), "Services", filled("[Service:{name}] {start} -> {image_path}", start=X.start_type(F.col("start"))), F.col("ticks"), "ServiceInstall", "Registry", F.lit("SYSTEM"))
 
 
 def resource_usage(raw: DataFrame) -> DataFrame:
@@ -167,7 +172,7 @@ def wmi(raw: DataFrame, as_of: Column) -> DataFrame:
 
     A binding is benign by any of its context, everything else by its name."""
     order = [c for c in ("file_ord", "rec_ord") if c in raw.columns] or ["details"]
-    first = raw.groupBy("class", "name").agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in raw.columns if c not in ("class", "name")))
+    first = first_rows(raw, ["class", "name"], *order)
     names = F.create_map(*(F.lit(x) for pair in WMI_KINDS.items() for x in pair))
     runs = F.col("class").isin("CommandLineEventConsumer", "ActiveScriptEventConsumer")
     seen = F.when(F.col("class") == "__FilterToConsumerBinding", F.coalesce(F.col("context"), F.col("name"))).otherwise(F.col("name")) if "context" in raw.columns else F.col("name")
@@ -176,10 +181,15 @@ def wmi(raw: DataFrame, as_of: Column) -> DataFrame:
     return rows(first, "Wmi", path, _ticks(as_of), F.when(runs, "Execute").otherwise("RegistryModify"), "Wmi", anomalies=anomaly.flag_when(~benign, S.EXECUTION_NO_PREFETCH))
 
 
+def connections(raw: DataFrame) -> DataFrame:
+    """raw with what (FirstConnect or LastConnect), ts and nth: a row for each of first and last that is known."""
+    pairs = F.array(F.struct(F.lit("FirstConnect").alias("what"), F.col("first").alias("ts"), F.lit(0).alias("nth")), F.struct(F.lit("LastConnect").alias("what"), F.col("last").alias("ts"), F.lit(1).alias("nth")))
+    return raw.select("*", F.inline(F.filter(pairs, lambda x: x["ts"].isNotNull())))
+
+
 def network_profiles(raw: DataFrame) -> DataFrame:
     """profile, type, dns, first and last (timestamps): up to two rows a profile."""
-    pairs = F.array(F.struct(F.lit("FirstConnect").alias("what"), F.col("first").alias("ts"), F.lit(0).alias("nth")), F.struct(F.lit("LastConnect").alias("what"), F.col("last").alias("ts"), F.lit(1).alias("nth")))
-    both = raw.where("profile <> ''").select("*", F.inline(F.filter(pairs, lambda x: x["ts"].isNotNull())))
+    both = connections(raw.where("profile <> ''"))
     if "rec_ord" in raw.columns:
         both = both.withColumn("rec_ord", F.col("rec_ord") * 2 + F.col("nth"))
     return rows(both, "Network", filled("[NetProfile:{what}] {profile} ({type}, DNS: {dns})", type=X.network_type(F.col("type"))), _ticks("ts"), "NetworkConnection", "Registry", F.lit("SOFTWARE"))
