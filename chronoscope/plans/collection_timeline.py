@@ -74,7 +74,7 @@ class Collection:
 
         log = self.streamed("logfile", decoders.log_stream, decoders.LOG_PAGES)
         summary = decoders.log_summary(good(log), "file_ord")
-        areas = good(log).where("lsn is not null").select("file_ord", (F.col("page_no") * decoders.PAGE).alias("offset"), "lsn", F.lit(None).cast("int").alias("clients"), F.col("page_no").alias("rec_ord"))
+        areas = good(log).where("lsn is not null").select("file_ord", (F.col("page_no") * decoders.PAGE).alias("offset"), "lsn", "clients", F.col("page_no").alias("rec_ord"))
         areas = areas.join(summary.select("file_ord", F.col("record_pages").alias("pages"), "gap"), "file_ord")
         lines = decoders.text_lines(self.texts("powershell"), "text", "file_ord", "username").withColumn("rec_ord", F.col("line_no").cast("long"))
         tasks = decoders.scheduled_task(self.texts("scheduled_task"), "text").where("action is not null and date is not null")
@@ -82,7 +82,10 @@ class Collection:
         firefox = good(firefox).withColumn("ts", T.firefox_time("visit"))
         chromium = good(chromium).where("title is not null").withColumn("ts", T.chrome_time("visit"))
         caches = decoders.rdp_cache(self.contents("rdp_cache")).withColumn("file", basename(F.col("windows_path"))).withColumn("username", username(F.col("windows_path"), "Unknown"))
+        listed = good(self.decoded("jumplist_custom", decoders.custom_links, decoders.CUSTOM_LINKS))
+        place = F.concat("windows_path", F.lit(":offset_0x"), F.lower(F.hex("offset")))
         return {
+            "JumpList": N.jump_lists(listed.withColumn("target", F.coalesce("target", place))),
             "LogFile": N.log_file(areas, self.as_of),
             "UsnJrnl": N.change_journal(good(self.streamed("usnjrnl_j", decoders.usn_stream, decoders.USN)), file_paths),
             "Lnk": N.shortcuts(good(self.decoded("lnk", decoders.link, decoders.LNK)).withColumnRenamed("windows_path", "lnk_path")),

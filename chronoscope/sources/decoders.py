@@ -126,11 +126,11 @@ def usn_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
 # Log file
 
 PAGE = 4096
-LOG_PAGES = "page_no long, kind string, lsn long"
+LOG_PAGES = "page_no long, kind string, lsn long, clients int"
 
 
 def log_pages(data: bytes) -> Iterator[tuple]:
-    """A row for each page: its kind by its first four bytes (RSTR, RCRD, zero, other) and the LSN of a restart area, which the first two pages have."""
+    """A row for each page: its kind by its first four bytes (RSTR, RCRD, zero, other) and the LSN and number of clients of a restart area, which the first two pages have."""
     return log_stream(io.BytesIO(data), len(data))
 
 
@@ -139,11 +139,12 @@ def log_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
     for number in range((size + PAGE - 4) // PAGE):  # the last page may be cut short
         page = file.read(PAGE)
         kind = page[:4].decode("latin-1") if page[:4] in (b"RSTR", b"RCRD") else "other" if any(page[:4]) else "zero"
-        lsn = None
-        if kind == "RSTR" and number < 2:
+        lsn = clients = None
+        if kind == "RSTR" and number < 2 and len(page) == PAGE:
             at = int.from_bytes(page[24:26], "little")
-            lsn = positive(int.from_bytes(page[at : at + 8], "little")) if at + 8 <= PAGE else None
-        yield number, kind, lsn
+            if at + 10 <= PAGE:
+                lsn, clients = positive(int.from_bytes(page[at : at + 8], "little")), int.from_bytes(page[at + 8 : at + 10], "little")
+        yield number, kind, lsn, clients
 
 
 def page_gaps(pages: DataFrame, file: str = "file") -> DataFrame:
@@ -170,6 +171,7 @@ LINK_HEAD = bytes.fromhex("4c0000000114020000000000c000000000000046")
 
 def link(data: bytes) -> Iterator[tuple]:
     """One row: the target's times and size, its path, and the tracker block's machine and MAC address."""
+    data = memoryview(data)
     if data[:20] != LINK_HEAD or len(data) < 76:
         raise ValueError("not a shortcut")
     flags = int.from_bytes(data[20:24], "little")
@@ -180,14 +182,14 @@ def link(data: bytes) -> Iterator[tuple]:
     if flags & 2:
         length, head, kind, _, base = struct.unpack_from("<IIIII", data, at)
         if kind & 1 and base < length:
-            target = data[at + base : at + length].split(b"\0", 1)[0].decode("latin-1")
+            target = bytes(data[at + base : at + length]).split(b"\0", 1)[0].decode("latin-1")
         at += length
     for bit in (4, 8, 16, 32, 64):  # name, relative path, folder, arguments, icon
         if flags & bit:
             wide = 2 if flags & 128 else 1
             end = at + 2 + wide * int.from_bytes(data[at : at + 2], "little")
             if bit == 8:
-                relative = data[at + 2 : end].decode("utf-16-le" if wide == 2 else "latin-1", "replace")
+                relative = bytes(data[at + 2 : end]).decode("utf-16-le" if wide == 2 else "latin-1", "replace")
             at = end
     machine = mac = None
     while at + 8 <= len(data):
@@ -195,12 +197,26 @@ def link(data: bytes) -> Iterator[tuple]:
         if length < 8:
             break
         if signature == 0xA0000003 and length >= 96:
-            machine = data[at + 16 : at + 32].split(b"\0", 1)[0].decode("latin-1")
+            machine = bytes(data[at + 16 : at + 32]).split(b"\0", 1)[0].decode("latin-1")
             mac = ":".join(f"{x:02x}" for x in data[at + 90 : at + 96])
         at += length
     yield positive(created), positive(accessed), positive(written), size, target or relative, machine, mac
 
 
+CUSTOM_LINKS = f"offset long, {LNK}"
+
+
+def custom_links(data: bytes) -> Iterator[tuple]:
+    """The place and row of every shortcut within a custom jump list; what looks like one and isn't is passed over."""
+    whole, at = memoryview(data), data.find(LINK_HEAD)
+    while at >= 0:
+        try:
+            yield from ((at, *row) for row in link(whole[at:]))
+        except DAMAGE:
+            pass
+        at = data.find(LINK_HEAD, at + 76)
+
+
 RECYCLED = "version long, size long, ticks long, path string"
 
 
@@ -248,6 +264,31 @@ def scheduled_task(files: DataFrame, xml: str = "xml") -> DataFrame:
     return files.withColumns({"author": at("/Task/RegistrationInfo/Author"), "uri": at("/Task/RegistrationInfo/URI"), "date": date, "action": action}).drop(xml)
 
 
+EVENT_XML = "System struct<Provider struct<_Name string>, EventID struct<_VALUE string>, TimeCreated struct<_SystemTime string>, Channel string, Computer string>, EventData struct<Data array<struct<_Name string, _VALUE string>>>, UserData struct<Data array<struct<_Name string, _VALUE string>>>"
+
+
+def event_records(files: DataFrame, xml: str = "xml") -> DataFrame:
+    """event_id, channel, provider, computer, event_data and time (text) of event-log records as XML, as ``normalize.event_log`` takes them.
+
+    Names count without their namespace; of fields of one name the last has its value; records without id or time, and broken ones, are left out."""
+    record = F.from_xml(xml, EVENT_XML, {"ignoreNamespace": "true"})
+    empty = F.array().cast("array<struct<_Name string, _VALUE string>>".replace(" string", ":string"))
+    found = files.withColumn("_record", record)
+    items = F.filter(F.concat(*(F.coalesce(F.col(f"_record.{part}.Data"), empty) for part in ("EventData", "UserData"))), lambda x: (x["_Name"] != "") & x["_VALUE"].isNotNull())
+    found = found.withColumn("_items", items)
+    last = F.filter("_items", lambda x, i: ~F.exists(F.slice("_items", i + 2, F.size("_items")), lambda y: y["_Name"] == x["_Name"]))
+    system = "_record.System"
+    fields = {
+        "event_id": F.trim(F.col(f"{system}.EventID._VALUE")).try_cast("long"),
+        "channel": F.coalesce(F.col(f"{system}.Channel"), F.lit("")),
+        "provider": F.coalesce(F.col(f"{system}.Provider._Name"), F.lit("")),
+        "computer": F.coalesce(F.col(f"{system}.Computer"), F.lit("")),
+        "event_data": F.map_from_entries(last),
+        "time": F.col(f"{system}.TimeCreated._SystemTime"),
+    }
+    return found.withColumns(fields).where("event_id is not null and time is not null").drop("_record", "_items", xml)
+
+
 # SQLite histories. A database is opened from a copy in the task's own temporary folder.
 
 HISTORY = "url string, title string, visit_count long, visit long"

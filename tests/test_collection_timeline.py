@@ -14,7 +14,7 @@ def archive(folder) -> str:
     with sqlite3.connect(db) as c:
         c.executescript("create table urls(id integer primary key, url text, title text, visit_count int); create table visits(id integer primary key, url int, visit_time int); insert into urls values (1, 'http://a', 'A', 4); insert into visits values (1, 1, 13222310400000000)")
     restart = bytearray(4096)
-    restart[:4], restart[24:26], restart[48:56] = b"RSTR", (48).to_bytes(2, "little"), (77).to_bytes(8, "little")
+    restart[:4], restart[24:26], restart[48:58] = b"RSTR", (48).to_bytes(2, "little"), (77).to_bytes(8, "little") + (2).to_bytes(2, "little")
     task = '<?xml version="1.0" encoding="UTF-16"?><Task><RegistrationInfo><Date>2024-05-06T07:08:09</Date><Author>al</Author><URI>\\t</URI></RegistrationInfo><Actions><Exec><Command>c.exe</Command></Exec></Actions></Task>'
     files = {
         "uploads/ntfs/%5C%5C.%5CC%3A/$Extend/$UsnJrnl%3A$J": usn("a.txt", 0x100) + usn("b.txt", 0x200),
@@ -39,8 +39,8 @@ def test_end_to_end(spark, tmp_path):
     assert {r.artifact_class: r.n for r in found.counts().collect()} == dict.fromkeys(["usnjrnl_j", "logfile", "lnk", "recycle_bin", "powershell", "browser", "scheduled_task", "rdp_cache"], 1)
     rows = found.timeline().orderBy("stage", "file_ord", "rec_ord").collect()
     assert [(r.event_code, r.path) for r in rows] == [
-        ("LogCheckpoint", "$LogFile restart area at offset 0x0: LSN=77, clients=, pages=1"),
-        ("LogCheckpoint", "$LogFile restart area at offset 0x1000: LSN=77, clients=, pages=1"),
+        ("LogCheckpoint", "$LogFile restart area at offset 0x0: LSN=77, clients=2, pages=1"),
+        ("LogCheckpoint", "$LogFile restart area at offset 0x1000: LSN=77, clients=2, pages=1"),
         ("CREATE", "a.txt"),
         ("DEL", "b.txt"),
         ("DEL", "C:\\y"),
