@@ -87,6 +87,7 @@ class Collection:
         return {
             "JumpList": N.jump_lists(listed.withColumn("target", F.coalesce("target", place))),
             "LogFile": N.log_file(areas, self.as_of),
+            "Wmi": N.wmi(decoders.wmi_entries(good(self.streamed("wmi", decoders.wmi_stream, decoders.WMI))), self.as_of),
             "UsnJrnl": N.change_journal(good(self.streamed("usnjrnl_j", decoders.usn_stream, decoders.USN)), file_paths),
             "Lnk": N.shortcuts(good(self.decoded("lnk", decoders.link, decoders.LNK)).withColumnRenamed("windows_path", "lnk_path")),
             "RecycleBin": N.recycle_bin(good(self.decoded("recycle_bin", decoders.recycled, decoders.RECYCLED))),

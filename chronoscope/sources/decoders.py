@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from typing import IO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -234,6 +234,55 @@ def recycled(data: bytes) -> Iterator[tuple]:
     yield version, positive(size), positive(ticks), path
 
 
+# Management repository
+
+WMI = "offset long, class string, context string"
+# Names that mark persistence, and the bytes before and after one that are looked at.
+WMI_MARKS = {b"CommandLineEventConsumer": "CommandLineEventConsumer", b"ActiveScriptEventConsumer": "ActiveScriptEventConsumer", b"__EventFilter": "__EventFilter", b"_FilterToConsumerBinding": "__FilterToConsumerBinding"}
+WMI_BEFORE, WMI_AFTER = 256, 512
+WMI_MARK = re.compile(rb"CommandLineEventConsumer|ActiveScriptEventConsumer|(?<!_)__EventFilter|_FilterToConsumerBinding")
+UNPRINTABLE = bytes(x if 32 <= x < 127 else 46 for x in range(256))
+
+
+def wmi_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
+    """A row for each mark of persistence in a repository of any size, with the text around it; dots stand for bytes that aren't printable."""
+    longest, data, base, at, more = max(map(len, WMI_MARKS)), b"", 0, 0, True  # data begins at base; marks before at are done
+    while more:
+        more = file.read(CHUNK)
+        data += more
+        end = len(data) - (WMI_AFTER if more else 0)
+        for mark in WMI_MARK.finditer(data, at - base):
+            if mark.start() > end:
+                break
+            around = data[max(0, mark.start() - WMI_BEFORE) : mark.start() + WMI_AFTER]
+            yield base + mark.start(), WMI_MARKS[mark[0]], around.translate(UNPRINTABLE).decode("ascii")
+            at = base + mark.end()
+        at = max(at, base + end - longest) if more else at
+        cut = max(0, at - base - WMI_BEFORE - 1)
+        data, base = data[cut:], base + cut
+
+
+def wmi_entries(marks: DataFrame) -> DataFrame:
+    """marks (class, context) with name and details, read from the text around."""
+    def after(head: str, stop: str, most: int) -> Column:
+        """The trimmed text behind a head up to a stop, or so many characters where none follows."""
+        pattern = rf"{head}(?:([^{stop}]*+)[{stop}]|([^{stop}]{{0,{most}}}))"
+        return F.trim(F.concat(*(F.regexp_extract("context", pattern, i) for i in (1, 2))))
+
+    def value(keyword: str) -> Column:
+        text = after(rf'{keyword}[=" .]*', '"', 256)
+        return F.when(text != "", F.concat(F.lit(f"{keyword}: "), text))
+
+    name, details = F, F
+    for mark, kind in WMI_MARKS.items():
+        name = name.when(F.col("class") == kind, after(rf'{mark.decode()}.*?Name[=" .]*', '".', 128))
+    details = details.when(F.col("class") == "CommandLineEventConsumer", F.coalesce(value("CommandLineTemplate"), value("ExecutablePath")))
+    details = details.when(F.col("class") == "ActiveScriptEventConsumer", F.coalesce(value("ScriptText"), value("ScriptingEngine"), value("ScriptFileName")))
+    details = details.when(F.col("class") == "__EventFilter", after("(?=SELECT)", '"', 256))
+    details = details.otherwise(F.concat_ws(" -> ", *(F.nullif(after(f"(?={keyword})", '".', 128), F.lit("")) for keyword in ("Consumer", "Filter"))))
+    return marks.withColumns({"name": F.when(name != "", name).otherwise("Unknown"), "details": F.coalesce(details, F.lit(""))})
+
+
 # Texts and column-only artifacts
 
 

@@ -63,3 +63,27 @@ def test_custom_jump_lists(spark):
     rows = decoders.decoded(files, decoders.custom_links, decoders.CUSTOM_LINKS).orderBy("windows_path", "rec_ord").collect()
     assert [(r.target, r.written) for r in rows if r.windows_path == "x" and r.target in ("C:\\a", "C:\\b")] == [("C:\\a", BASE + 2), ("C:\\b", BASE + 2)]
     assert rows[0].offset == 4 and [r.windows_path for r in rows if r.error] == ["z"]
+
+
+def test_wmi_repository(spark, monkeypatch):
+    import io
+
+    data = bytes(300) + b'CommandLineEventConsumer\0\0Name="Bad One"\0CommandLineTemplate="cmd.exe /c x"\xff' + bytes(900)
+    data += b'__EventFilter.Name="F".\0SELECT * FROM __Tick WHERE a' + b'"' + bytes(900)
+    data += b'___EventFilter' + bytes(900) + b'__FilterToConsumerBinding\0Consumer="A"\0Filter="B" BVTConsumer' + bytes(900)
+    data += b'ActiveScriptEventConsumer ScriptText = y"' + bytes(900) + b"CommandLineEventConsumer"
+    whole = list(decoders.wmi_stream(io.BytesIO(data), len(data)))
+    for chunk in (1, 7, 256, 1000):  # the same rows, however the file is cut
+        monkeypatch.setattr(decoders, "CHUNK", chunk)
+        assert list(decoders.wmi_stream(io.BytesIO(data), len(data))) == whole
+    assert [(data[at : at + 8], len(context)) for at, _, context in whole][0] == (b"CommandL", 768) and len(whole) == 5
+    found = decoders.wmi_entries(spark.createDataFrame([(*row, i) for i, row in enumerate(whole)], decoders.WMI + ", rec_ord long"))
+    assert [(r["class"], r.name, r.details) for r in found.orderBy("offset").collect()] == [
+        ("CommandLineEventConsumer", "Bad One", "CommandLineTemplate: cmd.exe /c x"),
+        ("__EventFilter", "F", "SELECT * FROM __Tick WHERE a"),
+        ("__FilterToConsumerBinding", "Unknown", "ConsumerBinding -> FilterToConsumerBinding"),
+        ("ActiveScriptEventConsumer", "Unknown", "ScriptText: y"),
+        ("CommandLineEventConsumer", "Unknown", ""),
+    ]
+    rows = N.wmi(found, F.lit("2025-08-10").cast("timestamp")).collect()
+    assert {r.path.split("] ")[0]: r.anomalies for r in rows if "Unknown" not in r.path or "Binding" in r.path} == {"[WMI:CmdConsumer": 0x40, "[WMI:Filter": 0x40, "[WMI:Binding": 0}
