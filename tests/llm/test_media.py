@@ -86,17 +86,25 @@ def test_sniff_corrects_and_carves(spark):
     assert [s.offset for s in found[6].embedded] == [png + 2] and found[4].embedded == []
 
 
+def plain_numbers(payload):
+    """Sum, sum of squares and crossings of the middle, sample by sample."""
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+    return f"{sum(payload)};{sum(x * x for x in payload)};{crossings}"
+
+
 def check(rows, texts):
-    want = []
+    want, numbers = [], {}
     for i, t in texts:
         data = (t or "").encode()
         payload = data + bytes(-len(data) % 64 or (0 if data else 64))
         stored = media.as_wave(payload)
+        numbers[hashlib.sha256(payload).hexdigest()] = plain_numbers(payload)
         want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
     assert sorted((tuple(r)[:7] for r in rows), key=str) == sorted(want, key=str)
     features = {}
     for r in rows:
         assert features.setdefault(r.payload_sha256, r.feature) == r.feature and r.feature.startswith("audio/wav;")
+        assert r.feature.split(";", 2)[2] == numbers[r.payload_sha256]
 
 
 def test_odd_documents(spark, tmp_path):
@@ -104,6 +112,22 @@ def test_odd_documents(spark, tmp_path):
     assert media.stored_text_media(odd.empty(spark, tmp_path)).collect() == []
 
 
+def test_features_name_what_is_embedded(spark):
+    """A text with whole files that are text themselves: the stored form's head has 44 bytes, so all offsets are moved by it."""
+    pdf = SAMPLES["application/pdf"].decode()
+    texts = [(1, "é " + pdf + " and " + pdf), (2, pdf), (3, "%PDF-1.4 without an end"), (4, "x"), (5, None)]
+    rows = media.stored_text_media(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check(rows, texts)
+    spans = {r.doc_id: r.feature.split(";")[1] for r in rows}
+    n = len(pdf)
+    assert spans == {1: f"application/pdf@47+{n},application/pdf@{47 + n + 5}+{n}", 2: f"application/pdf@44+{n}", 3: "", 4: "", 5: ""}
+
+
+def test_very_long_and_repeated_texts(spark):
+    docs = spark.range(4).selectExpr("id div 2 as doc_id", "repeat('GIF89a RIFF PK \U0001f600', if(id < 2, 150000, 0)) as text", "1 as media", "2 as embedded", "'t' as t")
+    check(media.stored_text_media(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_query(spark, small):
     from chronoscope.llm.registry import op6_media_columns
 
