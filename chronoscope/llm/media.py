@@ -8,7 +8,11 @@ further on are carved. Candidates inside a carved span are not tried again.
 ``as_wave`` is the other direction: bytes as 8-bit mono samples in a WAVE file.
 
 Defined results: a null value has a null type and no spans; an empty or unknown
-value has the type ``application/octet-stream``; a damaged file is not reported.
+value has the type ``application/octet-stream``; a damaged file is not reported;
+of signatures at the same place the first format of FORMATS that fits counts; a value
+of any length is looked through to its end; equal values have equal results, repeated
+rows each its own; an empty table gives an empty result; further columns pass, and
+those named as the result's are replaced (the digests read only their own).
 """
 
 from __future__ import annotations

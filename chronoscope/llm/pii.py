@@ -13,7 +13,9 @@ cut from blocks of the text, so many spans in a long text cost no square of them
 
 Defined results: a null or empty text has no spans, count 0 and the digest of an
 empty string; rows with the same id are treated each for itself; offsets count
-code points of the original text.
+code points of the original text; spans of one start are listed by kind; a text of any
+length is searched to its end; an empty table gives an empty result; further columns
+are not read, so their names don't matter.
 """
 
 from __future__ import annotations

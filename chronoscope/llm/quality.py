@@ -9,7 +9,9 @@ the rest are compiled to one SQL expression. The forest isn't used for scoring.
 Defined results: a null or empty text has statistics of 0 and gets a score like
 any other; without learnable labels of both kinds the score is the smoothed share
 of label 1; rows with the same id are scored each for itself, and a label counts
-for each; null labels aren't learned; a document without id is never held out.
+for each; null labels aren't learned; a document without id is never held out; a
+text of any length counts as a whole; equal texts have equal scores; an empty table
+gives an empty result; further columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
