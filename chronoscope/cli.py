@@ -10,13 +10,13 @@ import sys
 
 def archive_host(path: str) -> str:
     """The host that a collection's file name says, or ``unknown``."""
-    found = re.match(r"Collection-(.+?)-202", os.path.basename(path))
+    found = re.match(r"Collection-(.+?)-202", os.path.basename(os.path.normpath(path)))
     return found[1] if found else "unknown"
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="chronoscope", description="Builds a collection's timeline; the first export asked for (CSV, JSON, bodyfile) is written.")
-    parser.add_argument("archive", help="a ZIP archive that all tasks can read")
+    parser.add_argument("archive", help="a ZIP archive or an unpacked folder that all tasks can read")
     parser.add_argument("--export-csv", metavar="DIR")
     parser.add_argument("--export-json", metavar="DIR")
     parser.add_argument("--export-bodyfile", metavar="DIR")

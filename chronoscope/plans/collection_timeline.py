@@ -18,13 +18,13 @@ MOST_BYTES = {"lnk": 2 << 20, "recycle_bin": 1 << 20, "rdp_cache": 1 << 30}
 
 
 class Collection:
-    """A ZIP archive at a path that the driver and all tasks see."""
+    """A ZIP archive, or a folder as it was unpacked, at a path that the driver and all tasks see."""
 
     def __init__(self, spark: SparkSession, archive: str, as_of: str | None = None):
         """``as_of`` (a time as text) stands where an artifact has no time of its own; now, if left out."""
         self.spark, self.archive = spark, archive
         self.as_of: Column = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
-        self.listing = collection.zip_listing(spark, archive)
+        self.listing = collection.listing(spark, archive)
         self.files = collection.manifest(self.listing).join(self.listing.select("ordinal", "size"), "ordinal")
 
     def counts(self) -> DataFrame:
@@ -39,16 +39,16 @@ class Collection:
 
     def contents(self, artifact_class: str) -> DataFrame:
         """The files of a class that is decoded as a whole; the content of a too large one is null."""
-        return collection.zip_bytes(self.chosen(artifact_class), self.archive, MOST_BYTES.get(artifact_class, 1 << 30))
+        return collection.entry_bytes(self.chosen(artifact_class), self.archive, MOST_BYTES.get(artifact_class, 1 << 30))
 
     def streamed(self, artifact_class: str, decode, schema) -> DataFrame:
         """The rows of files of any size."""
-        return collection.zip_decoded(self.chosen(artifact_class).drop("size"), self.archive, decode, schema)
+        return collection.entry_rows(self.chosen(artifact_class).drop("size"), self.archive, decode, schema)
 
     def histories(self) -> tuple[DataFrame, DataFrame]:
         """Firefox's and the others'."""
         files = self.chosen("browser").withColumn("browser", browser(F.col("windows_path")))
-        return tuple(collection.zip_decoded(files.where(test), self.archive, decoders.sqlite_stream(sql), decoders.HISTORY) for test, sql in (("browser = 'Firefox'", decoders.FIREFOX_SQL), ("browser <> 'Firefox'", decoders.CHROMIUM_SQL)))
+        return tuple(collection.entry_rows(files.where(test), self.archive, decoders.sqlite_stream(sql), decoders.HISTORY) for test, sql in (("browser = 'Firefox'", decoders.FIREFOX_SQL), ("browser <> 'Firefox'", decoders.CHROMIUM_SQL)))
 
     def decoded(self, artifact_class: str, decode, schema) -> DataFrame:
         return decoders.decoded(self.contents(artifact_class).drop("size"), decode, schema)

@@ -1,13 +1,17 @@
 """A collection: its paths, what they are, and their bytes.
 
 Paths become a manifest DataFrame (one row a file) by column expressions; bytes are
-read by tasks, from a folder with Spark's binaryFile source or from a ZIP archive."""
+read by tasks, from a ZIP archive or a folder that all of them see, or with Spark's
+binaryFile source from any other store."""
 
 from __future__ import annotations
 
+import os
 import zipfile
 import zlib
 from collections.abc import Iterator
+from types import SimpleNamespace
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,18 +124,55 @@ def singles(files: DataFrame) -> DataFrame:
     return files.where(F.col("artifact_class").isin(*SINGLE)).groupBy("artifact_class").agg(F.max_by("windows_path", "ordinal").alias("windows_path"))
 
 
-def zip_listing(spark: SparkSession, archive: str) -> DataFrame:
-    """(ordinal, original_path, size) of a ZIP archive's files; only its directory is read."""
-    with zipfile.ZipFile(archive) as z:
+class Folder:
+    """An unpacked collection, asked in the same words as an archive.
+
+    Files go by name; links aren't followed, since what they point to isn't the collection's."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def __enter__(self) -> Folder:
+        return self
+
+    def __exit__(self, *_) -> None:
+        pass
+
+    def _place(self, name: str) -> str:
+        return os.path.join(self.root, *name.split("/"))
+
+    def getinfo(self, name: str) -> SimpleNamespace:
+        return SimpleNamespace(filename=name, file_size=os.path.getsize(self._place(name)), is_dir=lambda: False)
+
+    def infolist(self) -> list[SimpleNamespace]:
+        places = (os.path.join(folder, file) for folder, _, files in os.walk(self.root) for file in files)
+        names = sorted(os.path.relpath(x, self.root).replace(os.sep, "/") for x in places if not os.path.islink(x))
+        return [self.getinfo(x) for x in names if x == x.encode("utf-8", "replace").decode()]
+
+    def open(self, info: SimpleNamespace) -> BinaryIO:
+        return open(self._place(info.filename), "rb")
+
+    def read(self, info: SimpleNamespace) -> bytes:
+        with self.open(info) as file:
+            return file.read()
+
+
+def opened(collected: str) -> zipfile.ZipFile | Folder:
+    return Folder(collected) if os.path.isdir(collected) else zipfile.ZipFile(collected)
+
+
+def listing(spark: SparkSession, archive: str) -> DataFrame:
+    """(ordinal, original_path, size) of the files of a ZIP archive, of which only the directory is read, or of a folder."""
+    with opened(archive) as z:
         rows = [(i, x.filename, x.file_size) for i, x in enumerate(z.infolist()) if not x.is_dir()]
     return spark.createDataFrame(rows, "ordinal long, original_path string, size long")
 
 
-def zip_bytes(files: DataFrame, archive: str, most: int = (1 << 31) - 1) -> DataFrame:
+def entry_bytes(files: DataFrame, archive: str, most: int = (1 << 31) - 1) -> DataFrame:
     """files with their content, read by the tasks from a path that all of them see; null for what is damaged or larger than ``most``, by default what a value of a row can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with zipfile.ZipFile(archive) as z:
+        with opened(archive) as z:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1)
@@ -147,11 +188,12 @@ def zip_bytes(files: DataFrame, archive: str, most: int = (1 << 31) - 1) -> Data
     return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
-def zip_decoded(files: DataFrame, archive: str, decode, schema) -> DataFrame:
+def entry_rows(files: DataFrame, archive: str, decode, schema) -> DataFrame:
     """files with rec_ord, the columns of a stream decoder and ``error``, as ``decoders.decoded`` gives them, for entries of any size.
 
     An entry is one compressed stream, so one task reads it, in chunks: first for its
-    checksum (a damaged entry has one row, with its error), then for its rows."""
+    checksum (a damaged entry has one row, with its error), then for its rows. A folder's
+    files have no checksum and are read once."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     from chronoscope.sources import decoders
@@ -163,14 +205,15 @@ def zip_decoded(files: DataFrame, archive: str, decode, schema) -> DataFrame:
 
     def rows_of(z: zipfile.ZipFile, path: str) -> Iterator[tuple]:
         info = z.getinfo(path)
-        with z.open(info) as file:
-            while file.read(decoders.CHUNK):
-                pass
+        if isinstance(z, zipfile.ZipFile):
+            with z.open(info) as file:
+                while file.read(decoders.CHUNK):
+                    pass
         with z.open(info) as file:
             yield from decode(file, info.file_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with zipfile.ZipFile(archive) as z:
+        with opened(archive) as z:
             for batch in batches:
                 for head in batch.select(own).to_pylist():
                     yield from decoders.batches_of(rows_of(z, head["original_path"]), head, names, arrow, damage)

@@ -59,6 +59,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert sum(len(p.read_text().splitlines()) - 1 for p in (tmp_path / "out").glob("part-*.csv")) == 10
 
 
+def test_a_folder_gives_what_its_archive_gives(spark, tmp_path):
+    packed, folder = archive(tmp_path), f"{tmp_path}/Collection-h-2025"
+    with zipfile.ZipFile(packed) as z:
+        z.extractall(folder)
+    (tmp_path / "outside.lnk").write_bytes(b"not the collection's")
+    (tmp_path / "Collection-h-2025" / HIDDEN / "link.lnk").symlink_to(tmp_path / "outside.lnk")
+    one, other = (Collection(spark, x, "2025-01-01 00:00:00") for x in (packed, folder))
+    assert sorted(map(tuple, one.counts().collect())) == sorted(map(tuple, other.counts().collect()))
+    a, b = (sorted((r.event_code, r.path, str(r.primary_ts)) for r in x.timeline().collect()) for x in (one, other))
+    assert a == b and len(a) == 10
+    assert [(r.artifact_class, r.error) for r in other.errors().collect()] == [("lnk", "ValueError: not a shortcut")]
+    assert cli.archive_host(folder + "/") == "h"
+
+
 def test_no_size_hides_a_file(spark, tmp_path):
     """A journal over 1 GiB (sparse, as they are) gives all its rows; what is too large to be read as a whole is an error row."""
     path = f"{tmp_path}/Collection-h-2025.zip"

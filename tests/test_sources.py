@@ -36,9 +36,9 @@ def test_manifest_and_zip(spark, tmp_path):
     with zipfile.ZipFile(archive, "w") as z:
         for i, (p, *_) in enumerate(PATHS):
             z.writestr(p, f"content {i}")
-    files = collection.manifest(collection.zip_listing(spark, archive))
+    files = collection.manifest(collection.listing(spark, archive))
     assert files.count() == sum(p[1] is not None for p in PATHS)
-    found = {r.ordinal: r.content for r in collection.zip_bytes(files, archive).collect()}
+    found = {r.ordinal: r.content for r in collection.entry_bytes(files, archive).collect()}
     assert all(bytes(c) == f"content {i}".encode() for i, c in found.items())
     assert {r.artifact_class for r in collection.singles(files).collect()} == {"mft", "usnjrnl_j"}
 
