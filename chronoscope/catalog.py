@@ -632,6 +632,19 @@ def csv_export_rows(spark, d):
     return sinks.csv_rows(_timeline_rows(spark, d))
 
 
+_SECONDS = "'%Y-%m-%d %H:%M:%S'"
+
+
+@query(rf"""SELECT event_id AS entity_num, 'C:\d\' || event_type AS path,
+  CASE WHEN event_id % 4 = 1 THEN 'Entry ' || user_id || ' Seq ' || (event_id % 9) || CASE WHEN user_id = 0 THEN '' WHEN user_id < 1024 THEN '  Size: ' || user_id || ' B' ELSE '  Size: ' || (tenths // 10) || '.' || (tenths % 10) || ' KB' END || CASE WHEN event_id % 5 = 0 THEN ' [DIR]' ELSE '' END END AS file,
+  'C:' || si || ' M:' || si || ' A:' || earlier || ' E:' || si AS si, 'C:- M:- A:' || strftime(ts, {_SECONDS}) || ' E:-' AS fn,
+  CASE WHEN event_id % 256 <> 0 THEN {_labels_sql(anomaly.DETAIL_LABELS, " | ").replace("flags &", "(event_id % 256) &")} END AS flags
+FROM (SELECT *, CAST(round_even(user_id * 10 / 1024, 0) AS BIGINT) AS tenths,
+  CASE WHEN event_id % 3 > 0 THEN strftime(ts, {_SECONDS}) ELSE '-' END AS si, CASE WHEN event_id % 3 > 0 THEN strftime(ts - INTERVAL 1 SECOND, {_SECONDS}) ELSE '-' END AS earlier FROM events)""")
+def detail_lines(spark, d):
+    return timeline.details(_timeline_rows(spark, d), "entity_num")
+
+
 @query(r"""SELECT '0|C:\d\' || event_type || ' (' || CASE WHEN event_id % 2 = 0 THEN 'MFT' ELSE 'EVT:' || event_type END || ')|' ||
   CASE WHEN event_id % 2 = 0 THEN event_id || '-' || event_id % 9 WHEN event_id % 4 = 1 THEN user_id || '-' || event_id % 9 ELSE '0' END || '||0|0|' || user_id || '|' ||
   CASE WHEN si THEN s - 1 ELSE -1 END || '|' || s || '|' || CASE WHEN si THEN s ELSE -1 END || '|' || CASE WHEN si THEN s ELSE -1 END AS line

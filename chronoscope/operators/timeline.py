@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoscope.functions.text import humanized
+from chronoscope.operators.anomaly import detail_labels
 from chronoscope.operators.settled import settled
 from chronoscope.schema import EVENT_CODES, SOURCE_CODES
 
@@ -81,11 +83,32 @@ def step(cursor: Column, matches: Column, by: int) -> Column:
     return F.when(matches > 0, F.pmod(cursor + by, matches))
 
 
+def _times_line(prefix: str) -> Column:
+    shown = [(letter, F.coalesce(F.date_format(f"timestamps.{prefix}_{name}", "yyyy-MM-dd HH:mm:ss"), F.lit("-"))) for letter, name in (("C", "created"), ("M", "modified"), ("A", "accessed"), ("E", "entry_modified"))]
+    return F.concat_ws(" ", *(F.concat(F.lit(f"{letter}:"), value) for letter, value in shown))
+
+
+def details(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and what is shown of one row: path, file (null without an entry number), si and fn times, flags (null where none is set)."""
+    m = F.col("metadata")
+    size = F.when(m["file_size"].isNotNull(), F.concat(F.lit("  Size: "), humanized("metadata.file_size")))
+    file = F.concat(F.lit("Entry "), m["mft_entry_number"].cast("string"), F.lit(" Seq "), F.coalesce(m["mft_sequence"], F.lit(0)).cast("string"), F.coalesce(size, F.lit("")), F.when(m["is_directory"], " [DIR]").otherwise(""))
+    return rows.select(*keep, "path", file.alias("file"), _times_line("si").alias("si"), _times_line("fn").alias("fn"), F.when(F.col("anomalies") != 0, detail_labels(F.col("anomalies"))).alias("flags"))
+
+
 class View:
     """Where a reader of the timeline stands; pure arithmetic on row numbers."""
 
     def __init__(self, rows: int, visible: int):
         self.rows, self.visible, self.selected, self.first = rows, max(1, visible), 0, 0
+        self._before = (0, 0)
+
+    def begin_search(self) -> None:
+        """Keeps the place for ``cancel_search``; a search that is confirmed just goes on from its match."""
+        self._before = (self.selected, self.first)
+
+    def cancel_search(self) -> None:
+        self.selected, self.first = self._before
 
     def to(self, row: int) -> None:
         """Selects a row, kept inside the timeline, and scrolls as little as shows it."""

@@ -36,6 +36,25 @@ def test_search_and_view(spark):
     view.half_page(-1), view.top(), view.move(-1)
     assert (view.selected, view.first) == (0, 0)
     timeline.View(0, 5).bottom()
+    view.to(50), view.begin_search(), view.to(7), view.cancel_search()
+    assert (view.selected, view.first) == (50, 41)
+    view.begin_search(), view.to(7)
+    assert (view.selected, view.first) == (7, 7)
+
+
+def test_details(spark):
+    at = "timestamp'2024-01-02 03:04:05.678'"
+    times = ", ".join(f"'{p}_{n}', {at if (p, n) == ('si', 'accessed') else 'cast(null as timestamp)'}" for p in ("si", "fn") for n in ("created", "modified", "accessed", "entry_modified"))
+    rows = spark.sql(f"""select 'p' as path, named_struct({times}) as timestamps, f as anomalies,
+      named_struct('mft_entry_number', n, 'mft_sequence', cast(null as int), 'file_size', s, 'is_directory', d) as metadata
+      from values (3, 7L, 1536L, true), (0, 8L, cast(null as bigint), cast(null as boolean)), (0, cast(null as bigint), 5L, false) as v(f, n, s, d)""")
+    found = [tuple(r) for r in timeline.details(rows).collect()]
+    shown = ("C:- M:- A:2024-01-02 03:04:05 E:-", "C:- M:- A:- E:-")
+    assert found == [
+        ("p", "Entry 7 Seq 0  Size: 1.5 KB [DIR]", *shown, "SI_CREATED < FN_CREATED (timestomping) | SI has zero nanoseconds (tool artifact)"),
+        ("p", "Entry 8 Seq 0", *shown, None),
+        ("p", None, *shown, None),
+    ]
 
 
 def test_codes(spark):
