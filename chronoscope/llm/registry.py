@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoscope.llm.shared import documents
 
-#: Name of the tokenizer file that the queries use.
+#: Names of the tokenizer files that the queries use: of packing and token files, of byte-level BPE, and the two that are aligned.
 TOKENIZER_FILE = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+ALIGNED_FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def tokenizer_path() -> str:
@@ -79,8 +81,30 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(documents(spark, sf_dir))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chronoscope.llm.bytebpe import digests, encoded
+
+    return digests(encoded(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decode=True))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chronoscope.llm.alignment import aligned
+
+    return aligned(documents(spark, sf_dir), *map(public_tokenizers.path, ALIGNED_FILES))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoscope.llm.audit import filter_audit
+
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 #: Queries in the order of the operators' numbers.
-QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing, op10_lm_scoring]
+QUERIES = [op1_packing, op2_exact_dedup, op3_ngram_jaccard_join, op4_quality_classifier, op5_token_files, op6_media_columns, op7_pii, op8_language_id, op9_source_mixing, op10_lm_scoring, op11_byte_bpe, op12_tokenizer_alignment, op13_filter_audit]
 
 
 def queries() -> dict:
@@ -88,6 +112,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronoscope.llm import dedup, mixing, pii
+    from chronoscope.llm import audit, dedup, mixing, pii
 
-    return {"op2_exact_dedup": dedup.ORACLE_SQL, "op7_pii": pii.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
+    return {"op13_filter_audit": audit.ORACLE_SQL, "op2_exact_dedup": dedup.ORACLE_SQL, "op7_pii": pii.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
