@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over a corpus: where their tokens end together, and how often two ids do.
 
 A is a byte-level BPE (``tokenizers``), B a sentencepiece BPE that puts a space first.
-A task cuts texts at plain white space, which no token of either joins to what is
-before it (the vocabularies are checked for that), so ids and groups of a chunk are
+A task cuts texts at plain white space, and at punctuation after letters, where no token of
+either joins what is before and after (the vocabularies are checked for that), so ids and groups of a chunk are
 found once and a document's are those of its chunks.
 
 A link joins the two tokens that end at one byte. Links are counted in dense
@@ -27,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ from chronoscope.llm.shared import plain, slices, tidy, written
 
 #: Stripes of B ids; links that one task scores; sums that a task holds before it adds equal ones up.
 STRIPES, LINKS_A_PART, HELD_SUMS = 128, 16 << 20, 4 << 20
+#: Letters that a vocabulary may keep apart from punctuation after them, which makes chunks fewer; bytes of chunks and what is known of them in a task.
+LETTERS, CHUNK_BYTES = "A-Za-zÀ-ÖØ-öø-ÿ", 192 << 20
 #: Bits of an A id and of a document's number in its slice, in a link's code.
 A_BITS, DOC_BITS = 20, 22
 
@@ -94,6 +98,8 @@ class PairCoder:
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         if joined := [p for p in pieces if re.search(r"[^\s▁][▁ \t\n]", p) or "\n" in p]:
             raise ValueError(f"pieces join signs to white space after them: {joined[:3]}")
+        apart = [c for c in string.punctuation if c != "'" and not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in pieces)]
+        cut = re.compile(rf"[ \t\n]*[{LETTERS}]+(?=[{re.escape(''.join(apart))}])|{CHUNK.pattern}" if apart else CHUNK.pattern)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.stripes = Stripes(len(self.a_bytes), len(pieces), stripes)
         if self.stripes.a_ids >= 1 << A_BITS or self.stripes.rows * stripes << A_BITS + DOC_BITS >= 1 << 63:
@@ -102,7 +108,7 @@ class PairCoder:
         #: An id in the text of groups, with what comes after it: another of the same side, the other side, the next group.
         self.shown = [f"{i}{end}" for end in ",|;" for i in range(max(len(self.a_bytes), len(pieces)))]
         self.before_b = len(self.b.encode("\n"))
-        self.table = ChunkTable(CHUNK.findall, self._learn, lambda value: len(value[3]) + len(value[4]) + 160 if value[0] else 160)
+        self.table = ChunkTable(cut.findall, self._learn, lambda value: len(value[3]) + len(value[4]) + 160 if value[0] else 160, CHUNK_BYTES)
 
     def _learn(self, chunks: list[str]) -> list[tuple]:
         """(A tokens, B tokens, groups, text of the groups, codes of the links) of each chunk; zeros and a null text where bytes differ.
@@ -110,7 +116,8 @@ class PairCoder:
         B's tokens of a chunk are those after a line's end, which nothing joins to what follows, less that line's own."""
         a_lists = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b_lists = [ids[self.before_b :] for ids in self.b.encode(["\n" + c for c in chunks], num_threads=1)]
-        good = [b"".join(map(self.a_bytes.__getitem__, a)) == c.encode() == b"".join(map(self.b_bytes.__getitem__, b)) for c, a, b in zip(chunks, a_lists, b_lists)]
+        a_raw, b_raw = (list(map(b"".join, map(partial(map, known.__getitem__), lists))) for known, lists in ((self.a_bytes, a_lists), (self.b_bytes, b_lists)))
+        good = [x == y == c.encode() for x, y, c in zip(a_raw, b_raw, chunks)]
         chosen = list(itertools.compress(zip(a_lists, b_lists), good))
         found = iter(self._aligned([a for a, _ in chosen], [b for _, b in chosen]))
         return [next(found) if ok else (0, 0, 0, None, b"") for ok in good]
