@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoscope.operators.settled import shared_folder
+
 #: Text bytes that a Python task works on at a time: what it holds meanwhile is some 60 times that.
 SLICE_BYTES = 2 << 20
 
@@ -21,20 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs on one machine (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if java_dir.isEmpty():
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoscope-"))
-            java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = java_dir.get()
-    return found.rstrip("/")
-
-
 _scratch: list[str] = []
 
 
@@ -80,13 +67,20 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether df is columns and rows of a table of files, without a join, union, aggregate or random value."""
+    """Whether df is columns of whole Parquet files, so that a row's place in its file tells how many rows are before it."""
     plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
         if not plan.deterministic():
             return False
         plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation"
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return hasattr(relation, "fileFormat") and relation.getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in relation.fileFormat().toString()
+
+
+#: Input files of which a row each is sent to all tasks; with more, Spark chooses how to join them.
+MOST_SENT_FILES = 100_000
 
 
 def in_file_order(docs: DataFrame, name: str) -> DataFrame:
@@ -94,8 +88,8 @@ def in_file_order(docs: DataFrame, name: str) -> DataFrame:
 
     The numbers follow from the files alone, so every use of the result gives a row the
     same one, however the files are cut into tasks and whichever executors are lost.
-    What isn't a scan of files is written first. Only rows of each file are counted; nothing
-    is sorted but the files' names, of which the driver's own listing has one each."""
+    What isn't whole Parquet files (a filter, another format, a join) is written first. Only rows of each
+    file are counted; nothing is sorted but the files' names, of which the driver's own listing has one each."""
     if not is_scan(docs):
         docs = written(docs, "numbered")
     meta = docs.metadataColumn("_metadata")
@@ -103,7 +97,8 @@ def in_file_order(docs: DataFrame, name: str) -> DataFrame:
     at = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
     earlier = Window.orderBy(F.length(path), path).rowsBetween(Window.unboundedPreceding, -1)  # a part's number may have more digits
     files = at.groupBy(path).agg(F.count("*").alias("n")).select(path, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return at.join(F.broadcast(files), path).select(*(F.col(quoted(c)) for c in docs.columns), (F.col("base") + F.col(place)).alias(name))
+    files = F.broadcast(files) if len(docs.inputFiles()) <= MOST_SENT_FILES else files
+    return at.join(files, path).select(*(F.col(quoted(c)) for c in docs.columns), (F.col("base") + F.col(place)).alias(name))
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

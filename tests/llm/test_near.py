@@ -183,6 +183,24 @@ def test_components(spark):
     assert found == {v: root(v) for v in found} and all(v in found for a, b in edges if a != b for v in (a, b))
 
 
+@pytest.mark.parametrize("order", ["random", "ascending", "descending", "zigzag"])
+def test_rounds_of_components(spark, monkeypatch, order):
+    """A chain of 2,000 vertices, whatever its labels: about 3 log2 n tables at most."""
+    n = 2000
+    labels = list(range(n))
+    if order == "random":
+        random.Random(4).shuffle(labels)
+    elif order == "descending":
+        labels.reverse()
+    elif order == "zigzag":
+        labels = [x for pair in zip(range(n // 2), range(n // 2, n)) for x in pair]
+    made, real = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: made.append(name) or real(df, name))
+    found = components.components(spark.createDataFrame(list(zip(labels, labels[1:])), "a long, b long"))
+    assert found.where("comp = 0").count() == n == found.count()
+    assert len(made) <= 35, made
+
+
 def test_empty_table(spark, tmp_path):
     assert near.near_duplicates(odd.empty(spark, tmp_path)).collect() == []
     assert near.without_near_duplicates(odd.empty(spark, tmp_path)).collect() == []
