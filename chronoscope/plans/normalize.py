@@ -49,7 +49,7 @@ def rows(
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(0).cast("long"))
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    number = F.lit(S.id_base(artifact)).cast("long") + F.shiftleft(F.col("file_ord").cast("long"), 32) + F.col("rec_ord") if entity is None else entity
+    number = F.lit(S.id_base(artifact)).cast("long") + F.shiftleft(F.pmod(F.col("file_ord").cast("long"), F.lit(1 << 16)), 32) + F.col("rec_ord") if entity is None else entity
     metadata = {"is_directory": F.lit(False), "has_ads": F.lit(False)} | dict(metadata or {})
     out = raw.select(
         F.lit("Generated" if entity is None else "MftEntry").alias("entity_kind"),
@@ -65,7 +65,7 @@ def rows(
         (F.lit(0) if anomalies is None else anomalies).cast("int").alias("anomalies"),
         _struct(S.METADATA, metadata).alias("metadata"),
         F.lit(S.STAGE[artifact]).alias("stage"),
-        F.col("file_ord").cast("int").alias("file_ord"),
+        F.col("file_ord").cast("long").alias("file_ord"),
         F.col("rec_ord").cast("long").alias("rec_ord"),
     )
     return out.where(F.col("primary_ts").isNotNull())

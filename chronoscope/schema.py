@@ -90,7 +90,7 @@ TIMELINE = T.StructType(
         T.StructField("anomalies", T.IntegerType()),
         T.StructField("metadata", METADATA),
         T.StructField("stage", T.IntegerType()),
-        T.StructField("file_ord", T.IntegerType()),
+        T.StructField("file_ord", T.LongType()),
         T.StructField("rec_ord", T.LongType()),
     ]
 )

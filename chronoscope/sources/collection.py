@@ -7,11 +7,13 @@ binaryFile source from any other store."""
 from __future__ import annotations
 
 import os
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 from types import SimpleNamespace
 from typing import BinaryIO
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,6 +121,44 @@ def manifest(paths: DataFrame, original: str = "original_path", ordinal: str = "
     return found.where(path.isNotNull()).select("*", accessor(F.col("original_path")).alias("accessor"), artifact_class(path).alias("artifact_class"), hive_type(path).alias("hive_type"), username(path).alias("username"))
 
 
+def path_of(original: str) -> str | None:
+    """``windows_path`` of one path, for planning which files to open."""
+    try:
+        decoded = unquote_to_bytes(original).decode()
+    except UnicodeDecodeError:
+        return None
+    if decoded.startswith("uploads/ntfs/\\\\.\\C:/"):
+        return "C:\\" + decoded[len("uploads/ntfs/\\\\.\\C:/") :].replace("/", "\\")
+    inside = decoded.removeprefix("uploads/auto/")
+    return inside.replace("/", "\\") if inside and inside != decoded else None
+
+
+def class_of(path: str) -> tuple[str | None, str | None]:
+    """``artifact_class`` and ``hive_type`` of one Windows path, for planning which files to open."""
+    lower = path.lower()
+    for name, hive, ends, parts, some in CLASSES:
+        if (not ends or lower.endswith(tuple(ends))) and all(p in lower for p in parts) and (not some or any(p in lower for p in some)):
+            return name, hive
+    return None, None
+
+
+def user_of(path: str) -> str:
+    """``username`` of one Windows path."""
+    found = re.search(r"(?i)(?:^|\\)users\\([^\\]+)", path)
+    return found[1] if found else "unknown"
+
+
+def collection_name(path: str) -> tuple[str, str]:
+    """(host, time of collection) from ``Collection-<host>-<time from 202.>``; the time is empty where the name has none, and other names are the host's."""
+    name = os.path.basename(path.rstrip("/\\"))
+    stem = name if os.path.isdir(path) else os.path.splitext(name)[0]
+    if not stem.startswith("Collection-"):
+        return stem, ""
+    rest = stem.removeprefix("Collection-")
+    host, found, time = rest.partition("-202")
+    return (host, "202" + time) if found else (rest, "")
+
+
 def singles(files: DataFrame) -> DataFrame:
     """Of each class that a collection has once, the last file."""
     return files.where(F.col("artifact_class").isin(*SINGLE)).groupBy("artifact_class").agg(F.max_by("windows_path", "ordinal").alias("windows_path"))
@@ -168,18 +208,49 @@ def listing(spark: SparkSession, archive: str) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal long, original_path string, size long")
 
 
-def entry_bytes(files: DataFrame, archive: str, most: int = (1 << 31) - 1) -> DataFrame:
-    """files with their content, read by the tasks from a path that all of them see; null for what is damaged or larger than ``most``, by default what a value of a row can hold."""
+#: Bits of a file's number for its place in its archive; the archive's place in the list of archives is above them.
+FILE_BITS = 32
+LISTED = "archive string, host string, collected string, ordinal long, original_path string, size long, whole boolean"
+
+
+def listings(spark: SparkSession, archives: list[str]) -> DataFrame:
+    """The files of many archives and folders, each listed by a task: LISTED, with files numbered in the order of the archives.
+
+    ``whole`` says that a file can only be read from its beginning, as a compressed entry can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, archive in zip(batch.column("n").to_pylist(), batch.column("archive").to_pylist()):
+                host, collected = collection_name(archive)
+                with opened(archive) as z:
+                    files = [(i, x.filename, x.file_size) for i, x in enumerate(z.infolist()) if not x.is_dir()]
+                    whole = isinstance(z, zipfile.ZipFile)
+                for at in range(0, len(files), 8192):
+                    part = files[at : at + 8192]
+                    columns = [[archive] * len(part), [host] * len(part), [collected] * len(part), [number << FILE_BITS | i for i, *_ in part], [x[1] for x in part], [x[2] for x in part], [whole] * len(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    names = [part.split()[0] for part in LISTED.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    named = spark.createDataFrame(list(enumerate(archives)), "n long, archive string")
+    return named.repartition(max(1, len(archives)), "n").mapInArrow(run, LISTED)
+
+
+def entry_bytes(files: DataFrame, archive: str | None = None, most: int = (1 << 31) - 1) -> DataFrame:
+    """files with their content, read by the tasks from a path that all of them see; null for what is damaged or larger than ``most``, by default what a value of a row can hold.
+
+    The archive is that of the column ``archive`` where none is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with opened(archive) as z:
+        with Opened() as open_archives:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1)
                     try:
+                        z = open_archives[archive or row.column("archive")[0].as_py()]
                         info = z.getinfo(row.column("original_path")[0].as_py())
                         content = z.read(info) if info.file_size <= most else None
-                    except (KeyError, zipfile.BadZipFile, OSError):
+                    except (KeyError, zipfile.BadZipFile, zlib.error, OSError, EOFError):
                         content = None
                     yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*row.schema.names, "content"])
 
@@ -188,12 +259,38 @@ def entry_bytes(files: DataFrame, archive: str, most: int = (1 << 31) - 1) -> Da
     return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
-def entry_rows(files: DataFrame, archive: str, decode, schema) -> DataFrame:
+class Opened:
+    """The archive that a task reads from, kept open until another is asked for."""
+
+    def __init__(self):
+        self.name, self.archive = None, None
+
+    def __enter__(self) -> Opened:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.archive is not None:
+            self.archive.__exit__(None, None, None)
+        self.name = self.archive = None
+
+    def __getitem__(self, name: str) -> zipfile.ZipFile | Folder:
+        if name != self.name:
+            self.__exit__()
+            self.archive, self.name = opened(name), name
+        return self.archive
+
+
+#: What reading an archive's entry raises besides what a decoder does; the first two say that bytes are damaged.
+DAMAGED = (zipfile.BadZipFile, zlib.error)
+UNREADABLE = (*DAMAGED, KeyError, OSError, EOFError, RuntimeError)
+
+
+def entry_rows(files: DataFrame, archive: str | None, decode, schema) -> DataFrame:
     """files with rec_ord, the columns of a stream decoder and ``error``, as ``decoders.decoded`` gives them, for entries of any size.
 
-    An entry is one compressed stream, so one task reads it, in chunks: first for its
-    checksum (a damaged entry has one row, with its error), then for its rows. A folder's
-    files have no checksum and are read once."""
+    An entry is read once, by one task, in chunks. What an archive says of an entry's
+    checksum is known at its end, so a damaged entry has an error row after rows that
+    ``sound`` takes away. Where files have ``offset`` and ``stop``, the decoder is given both."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     from chronoscope.sources import decoders
@@ -201,26 +298,40 @@ def entry_rows(files: DataFrame, archive: str, decode, schema) -> DataFrame:
     own = files.schema.names
     out, names = decoders.decoded_schema(files.schema.fields, schema)
     arrow = to_arrow_schema(out)
-    damage = (*decoders.DAMAGE, KeyError, zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError)
-
-    def rows_of(z: zipfile.ZipFile, path: str) -> Iterator[tuple]:
-        info = z.getinfo(path)
-        if isinstance(z, zipfile.ZipFile):
-            with z.open(info) as file:
-                while file.read(decoders.CHUNK):
-                    pass
+
+    def rows_of(z: zipfile.ZipFile | Folder, head: dict) -> Iterator[tuple]:
+        info = z.getinfo(head["original_path"])
         with z.open(info) as file:
-            yield from decode(file, info.file_size)
+            yield from decode(file, info.file_size, head["offset"], head["stop"]) if "stop" in head else decode(file, info.file_size)
+            while isinstance(z, zipfile.ZipFile) and file.read(decoders.CHUNK):
+                pass  # to the end, where the checksum is compared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with opened(archive) as z:
+        with Opened() as open_archives:
             for batch in batches:
                 for head in batch.select(own).to_pylist():
-                    yield from decoders.batches_of(rows_of(z, head["original_path"]), head, names, arrow, damage)
+                    try:
+                        z = open_archives[archive or head["archive"]]
+                    except UNREADABLE as error:
+                        yield from decoders.batches_of(_failing(error), head, names, arrow, UNREADABLE)
+                        continue
+                    yield from decoders.batches_of(rows_of(z, head), head, names, arrow, (*decoders.DAMAGE, *UNREADABLE))
 
     return files.mapInArrow(run, out)
 
 
+def _failing(error: Exception) -> Iterator[tuple]:
+    raise error
+    yield
+
+
+def sound(rows: DataFrame, file: str = "file_ord") -> DataFrame:
+    """Decoded rows without those of entries that turned out to be damaged; their error rows stay."""
+    kinds = [f"{kind.__name__ if kind.__module__ != 'zlib' else 'error'}:" for kind in DAMAGED]
+    damaged = rows.where(F.substring_index("error", " ", 1).isin(*kinds)).select(file).distinct()
+    return rows.where("error is null").join(damaged, file, "left_anti").unionByName(rows.where("error is not null"))
+
+
 def folder_bytes(spark: SparkSession, folder: str, most: int = (1 << 31) - 1) -> DataFrame:
     """(original_path, size, content) of a folder's files; the content of a larger one is null and isn't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

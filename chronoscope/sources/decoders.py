@@ -9,6 +9,7 @@ open file in chunks (``..._stream``), and rows leave a task in batches."""
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import shutil
@@ -96,31 +97,48 @@ def usn_records(data: bytes) -> Iterator[tuple]:
 
 def usn_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
     """The rows of usn_records from an open file of any size."""
-    place, data, base = 0, b"", 0  # data begins at base
-    while place + 60 <= size:
-        if min(size, place + RECORD_BYTES) > base + len(data):
-            skip = place - base - len(data)
-            data = data[place - base :] if skip <= 0 else b""
-            while skip > 0:
-                if not (passed := len(file.read(min(skip, CHUNK)))):
-                    raise ValueError("shorter than its size")
-                skip -= passed
-            data, base = data + file.read(CHUNK), place
-        at = place - base
-        length, major = struct.unpack_from("<IH", data, at)
-        if not 60 <= length <= size - place or major not in (2, 3):
-            found = NOT_ZERO.search(data, at)
-            place += max(8, ((found.start() if found else len(data)) - at) // 8 * 8)
-            continue
-        wide = 16 if major == 3 else 0
-        if length >= 60 + wide:
-            entry = int.from_bytes(data[at + 8 : at + 16], "little")
-            parent = int.from_bytes(data[at + 16 + wide // 2 : at + 24 + wide // 2], "little")
-            usn, ticks, reason, _, _, attributes, name_size, start = struct.unpack_from("<qQIIIIHH", data, at + 24 + wide)
-            if reason != CLOSE and start + name_size <= length:
-                low = (1 << 48) - 1
-                yield entry & low, entry >> 48, parent & low, parent >> 48, usn, positive(ticks), reason, attributes, data[at + start : at + start + name_size].decode("utf-16-le", "replace")
-        place += -(-length // 8) * 8
+    return (row[1:] for row in JournalWalk(file, size))
+
+
+class JournalWalk:
+    """A walk over a journal's records from a place up to another: (place, *row of USN) of each.
+
+    It visits every record that begins before ``stop``; ``place`` is then the first byte that it hasn't visited."""
+
+    def __init__(self, file: IO[bytes], size: int, start: int = 0, stop: int | None = None):
+        self.file, self.size, self.place, self.stop = file, size, start, size if stop is None else stop
+
+    def __iter__(self) -> Iterator[tuple]:
+        file, size = self.file, self.size
+        place, data, base = self.place, b"", self.place  # data begins at base
+        if place:
+            file.seek(place)
+        while place + 60 <= size and place < self.stop:
+            if min(size, place + RECORD_BYTES) > base + len(data):
+                skip = place - base - len(data)
+                data = data[place - base :] if skip <= 0 else b""
+                while skip > 0:
+                    if not (passed := len(file.read(min(skip, CHUNK)))):
+                        raise ValueError("shorter than its size")
+                    skip -= passed
+                data, base = data + file.read(CHUNK), place
+            at = place - base
+            length, major = struct.unpack_from("<IH", data, at)
+            if not 60 <= length <= size - place or major not in (2, 3):
+                found = NOT_ZERO.search(data, at)
+                place += max(8, ((found.start() if found else len(data)) - at) // 8 * 8)
+                self.place = place
+                continue
+            wide = 16 if major == 3 else 0
+            if length >= 60 + wide:
+                entry = int.from_bytes(data[at + 8 : at + 16], "little")
+                parent = int.from_bytes(data[at + 16 + wide // 2 : at + 24 + wide // 2], "little")
+                usn, ticks, reason, _, _, attributes, name_size, start = struct.unpack_from("<qQIIIIHH", data, at + 24 + wide)
+                if reason != CLOSE and start + name_size <= length:
+                    low = (1 << 48) - 1
+                    yield place, entry & low, entry >> 48, parent & low, parent >> 48, usn, positive(ticks), reason, attributes, data[at + start : at + start + name_size].decode("utf-16-le", "replace")
+            place += -(-length // 8) * 8
+            self.place = place
 
 
 # Log file
@@ -136,7 +154,14 @@ def log_pages(data: bytes) -> Iterator[tuple]:
 
 def log_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
     """The rows of log_pages from an open file of any size."""
-    for number in range((size + PAGE - 4) // PAGE):  # the last page may be cut short
+    return log_range(file, size, 0, size)
+
+
+def log_range(file: IO[bytes], size: int, start: int, stop: int) -> Iterator[tuple]:
+    """The rows of log_pages for the pages that begin from ``start``, which is a page's place, up to ``stop``."""
+    if start:
+        file.seek(start)
+    for number in range(start // PAGE, -(-stop // PAGE) if stop < size else (size + PAGE - 4) // PAGE):  # the last page may be cut short
         page = file.read(PAGE)
         kind = page[:4].decode("latin-1") if page[:4] in (b"RSTR", b"RCRD") else "other" if any(page[:4]) else "zero"
         lsn = clients = None
@@ -147,20 +172,51 @@ def log_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
         yield number, kind, lsn, clients
 
 
-def page_gaps(pages: DataFrame, file: str = "file") -> DataFrame:
-    """(file, gap): whether a file has a page that is neither record nor zero, or a zero page between record pages."""
-    order = Window.partitionBy(file).orderBy("page_no")
-    seen = F.count_if(F.col("kind") == "RCRD").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.coalesce(F.lead("kind").over(order) == "RCRD", F.lit(False))
-    odd = ~F.col("kind").isin("RCRD", "zero")
-    marked = pages.select(file, (odd | ((F.col("kind") == "zero") & (seen > 0) & after)).alias("gap"))
-    return marked.groupBy(file).agg(F.bool_or("gap").alias("gap"))
+#: Pages of a segment of a log, which one task summarises.
+SEGMENT_PAGES = 1 << 14
+
+
+def page_segments(pages: DataFrame, file: str = "file", segment_pages: int = SEGMENT_PAGES) -> DataFrame:
+    """(file, segment, summary) of stretches of pages: what a stretch says of gaps, whatever stretches are before and after it.
+
+    A summary has the kinds of its first and last page, whether it has a record page, an odd page, and a zero page
+    that lies between record pages (``gap``), and whether, were there a record page before, one of its zero pages would (``gap_after``)."""
+    order = Window.partitionBy(file, "segment").orderBy("page_no")
+    zero, record = F.col("kind") == "zero", F.col("kind") == "RCRD"
+    cut = pages.select(file, F.floor(F.col("page_no") / segment_pages).alias("segment"), "page_no", "kind")
+    marked = cut.select(
+        file, "segment", "page_no", "kind", (zero & F.coalesce(F.lead("kind").over(order) == "RCRD", F.lit(False))).alias("turn"), (F.count_if(record).over(order.rowsBetween(Window.unboundedPreceding, 0)) > 0).alias("seen")
+    )
+    summary = F.struct(
+        F.min_by("kind", "page_no").alias("first"), F.max_by("kind", "page_no").alias("last"), F.bool_or(record).alias("record"),
+        F.bool_or(~F.col("kind").isin("RCRD", "zero")).alias("odd"), F.bool_or(F.col("turn") & F.col("seen")).alias("gap"), F.bool_or("turn").alias("gap_after"),
+    )
+    return marked.groupBy(file, "segment").agg(summary.alias("summary"))
+
+
+def joined_summaries(a: Column, b: Column) -> Column:
+    """The summary of a stretch and the one that follows it. Joining is associative, so stretches may be joined in any grouping."""
+    border = (a["last"] == "zero") & (b["first"] == "RCRD")
+    return F.struct(
+        a["first"].alias("first"), b["last"].alias("last"), (a["record"] | b["record"]).alias("record"), (a["odd"] | b["odd"]).alias("odd"),
+        (a["gap"] | b["gap"] | a["record"] & (b["gap_after"] | border)).alias("gap"), (a["gap_after"] | b["gap_after"] | border).alias("gap_after"),
+    )
+
+
+def page_gaps(pages: DataFrame, file: str = "file", segment_pages: int = SEGMENT_PAGES) -> DataFrame:
+    """(file, gap): whether a file has a page that is neither record nor zero, or a zero page between record pages.
+
+    Segments of a file are summarised by tasks of their own; a file's summaries, a row for 64 MiB of it, are joined in order."""
+    segments = F.array_sort(F.collect_list(F.struct("segment", "summary")))
+    found = page_segments(pages, file, segment_pages).groupBy(file).agg(segments.alias("parts"))
+    whole = F.reduce(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.element_at("parts", 1)["summary"], lambda a, x: joined_summaries(a, x["summary"]))
+    return found.select(file, whole.alias("whole")).select(file, (F.col("whole.odd") | F.col("whole.gap")).alias("gap"))
 
 
-def log_summary(pages: DataFrame, file: str = "file") -> DataFrame:
+def log_summary(pages: DataFrame, file: str = "file", segment_pages: int = SEGMENT_PAGES) -> DataFrame:
     """(file, record_pages, max_lsn, gap); record pages and gaps count from page 2."""
     counts = pages.groupBy(file).agg(F.count_if((F.col("kind") == "RCRD") & (F.col("page_no") >= 2)).alias("record_pages"), F.max("lsn").alias("max_lsn"))
-    return counts.join(page_gaps(pages.where("page_no >= 2"), file), file, "left").withColumn("gap", F.coalesce("gap", F.lit(False)))
+    return counts.join(page_gaps(pages.where("page_no >= 2"), file, segment_pages), file, "left").withColumn("gap", F.coalesce("gap", F.lit(False)))
 
 
 # Shortcuts, recycle bin
@@ -297,20 +353,114 @@ def rdp_cache(files: DataFrame, content: str = "content") -> DataFrame:
     """kind and tiles of bitmap cache files of at least 16 bytes."""
     head = F.decode(F.substring(content, 1, 4), "ISO-8859-1")
     size = F.octet_length(content)
+    return files.where(size >= 16).withColumns(bitmap_columns(head, size)).drop(content)
+
+
+def bitmap_columns(head: Column, size: Column) -> dict[str, Column]:
+    """kind and tiles of a bitmap cache by its first four signs and its size."""
     kind = F.when(head == "RDP8", "RDP8").when(head == "RDP6", "RDP6").otherwise("Unknown")
-    return files.where(size >= 16).withColumns({"kind": kind, "tiles": F.greatest(F.lit(1), F.floor(size / 16384)).cast("long")}).drop(content)
+    return {"kind": kind, "tiles": F.greatest(F.lit(1), F.floor(size / 16384)).cast("long")}
 
 
-def scheduled_task(files: DataFrame, xml: str = "xml") -> DataFrame:
-    """author, uri, date and action of task definitions; the first command or, as ``COM:<id>``, the first handler."""
-    def at(path: str):
-        return F.xpath_string(bare, F.lit(path))
+BITMAP_HEAD = "head string"
+
+
+def bitmap_head(file: IO[bytes], size: int) -> Iterator[tuple]:
+    """The first four bytes of a bitmap cache of any size; none for one of fewer than 16 bytes."""
+    if len(start := file.read(16)) == 16:
+        yield (start[:4].decode("latin-1"),)
+
+
+#: What counts as white space around a command: Unicode's, and nothing else.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LINES = "line_no int, line string"
+
+
+def encoding_of(head: bytes) -> str:
+    """The encoding that a text's first bytes name, UTF-8 where they name none."""
+    return {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(head[:2], "utf-8")
 
-    bare = F.regexp_replace(F.regexp_replace(xml, r"^﻿?\s*<\?xml[^>]*\?>", ""), r'\sxmlns="[^"]*"', "")
-    command, arguments, handler = at("/Task/Actions/Exec[1]/Command"), at("/Task/Actions/Exec[1]/Arguments"), at("/Task/Actions/ComHandler[1]/ClassId")
-    action = F.when(command != "", F.when(arguments != "", F.concat_ws(" ", command, arguments)).otherwise(command)).when(handler != "", F.concat(F.lit("COM:"), handler))
-    date = F.try_to_timestamp(F.substring(at("/Task/RegistrationInfo/Date"), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    return files.withColumns({"author": at("/Task/RegistrationInfo/Author"), "uri": at("/Task/RegistrationInfo/URI"), "date": date, "action": action}).drop(xml)
+
+def lines_stream(file: IO[bytes], size: int) -> Iterator[tuple]:
+    """Non-blank lines of a text of any size, trimmed, numbered from 1; bytes that its encoding doesn't have become U+FFFD."""
+    buffered = io.BufferedReader(file) if not isinstance(file, io.BufferedIOBase) else file
+    head = buffered.read(2)
+    encoding = encoding_of(head)
+    decoder = codecs.getincrementaldecoder(encoding)("replace")
+    number, rest = 0, decoder.decode(b"" if encoding != "utf-8" else head)
+    while True:
+        more = buffered.read(CHUNK)
+        lines = (rest + decoder.decode(more, not more)).split("\n")
+        rest = lines.pop() if more else ""
+        for line in lines:
+            number += 1
+            if line := line.strip(WHITE):
+                yield number, line
+        if not more:
+            return
+
+
+def text_of(data: bytes) -> str:
+    """A text by its byte order mark, or as UTF-8; bytes that its encoding doesn't have become U+FFFD."""
+    encoding = encoding_of(data)
+    return data[2:].decode(encoding, "replace") if encoding != "utf-8" else data.decode("utf-8", "replace").removeprefix("\ufeff")
+
+
+TASK = "author string, uri string, date_text string, command string, arguments string"
+
+
+def task(data: bytes) -> Iterator[tuple]:
+    """The one row of a task definition with an action: its registration, and the first command or, as ``COM:<id>``, the first handler.
+
+    Names count without their namespace. A definition that ends early gives what it has; one whose XML is broken fails."""
+    from xml.parsers import expat
+
+    path: list[str] = []
+    texts: dict[str, str] = {}
+    actions: list[dict[str, str]] = []
+
+    def start(name: str, _: dict) -> None:
+        path.append(name.rpartition(":")[2])
+        if path[-1] in ("Exec", "ComHandler") and "Actions" in path:
+            actions.append({})
+
+    def end(_: str) -> None:
+        path.pop()
+
+    def characters(text: str) -> None:
+        name = path[-1] if path else ""
+        if name in ("Date", "Author", "URI") and "RegistrationInfo" in path:
+            texts[name] = texts.get(name, "") + text
+        elif (name in ("Command", "Arguments") and "Exec" in path or name == "ClassId" and "ComHandler" in path) and actions:
+            actions[-1][name] = actions[-1].get(name, "") + text
+
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    try:
+        parser.Parse(re.sub(r"^\s*<\?xml[^>]*\?>", "", text_of(data)).encode("utf-8", "replace"), True)
+    except expat.ExpatError as error:
+        if error.code != expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS]:
+            raise ValueError(f"broken XML: {error}") from error
+    for action in actions:
+        found = {k: v.strip(WHITE) for k, v in action.items()}
+        command = found.get("Command") or (f"COM:{found['ClassId']}" if found.get("ClassId") else None)
+        if command:
+            yield tuple(texts.get(x, "").strip(WHITE) for x in ("Author", "URI", "Date")) + (command, found.get("Arguments"))
+            return
+
+
+def task_columns() -> dict[str, Column]:
+    """date and action from the columns of TASK."""
+    return {
+        "date": F.try_to_timestamp(F.substring("date_text", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")),
+        "action": F.when(F.col("arguments") != "", F.concat_ws(" ", "command", "arguments")).otherwise(F.col("command")),
+    }
+
+
+def scheduled_task(files: DataFrame, xml: str = "xml") -> DataFrame:
+    """author, uri, date and action of task definitions that have an action, and ``error`` (null but for broken ones)."""
+    found = decoded(files.withColumn(xml, F.col(xml).cast("binary")), task, TASK, content=xml)
+    return found.withColumns(task_columns()).drop("rec_ord", "date_text", "command", "arguments")
 
 
 EVENT_XML = "System struct<Provider struct<_Name string>, EventID struct<_VALUE string>, TimeCreated struct<_SystemTime string>, Channel string, Computer string>, EventData struct<Data array<struct<_Name string, _VALUE string>>>, UserData struct<Data array<struct<_Name string, _VALUE string>>>"
@@ -350,13 +500,13 @@ ACTIVITY_SQL = "select AppId, ActivityType, StartTime, EndTime from Activity ord
 MOST_ROWS = 10_000
 
 
-def sqlite_rows(sql: str, most: int = MOST_ROWS) -> Callable[[bytes], Iterator[tuple]]:
+def sqlite_rows(sql: str, most: int | None = MOST_ROWS) -> Callable[[bytes], Iterator[tuple]]:
     """A decoder of a SQLite file's bytes by one query with a row limit."""
     return lambda data: sqlite_stream(sql, most)(io.BytesIO(data), len(data))
 
 
-def sqlite_stream(sql: str, most: int = MOST_ROWS) -> Callable[[IO[bytes], int], Iterator[tuple]]:
-    """sqlite_rows from an open file of any size."""
+def sqlite_stream(sql: str, most: int | None = MOST_ROWS) -> Callable[[IO[bytes], int], Iterator[tuple]]:
+    """sqlite_rows from an open file of any size; all rows with ``most`` None. Rows leave as the database gives them."""
 
     def decode(source: IO[bytes], size: int) -> Iterator[tuple]:
         import sqlite3
@@ -368,7 +518,7 @@ def sqlite_stream(sql: str, most: int = MOST_ROWS) -> Callable[[IO[bytes], int],
             try:
                 with sqlite3.connect(f"file:{file.name}?mode=ro", uri=True) as db:
                     db.text_factory = lambda b: b.decode("utf-8", "replace")
-                    yield from db.execute(sql, (most,)).fetchall()
+                    yield from db.execute(sql, (-1 if most is None else most,))  # -1: no limit
             except sqlite3.Error as error:
                 raise ValueError(str(error)) from error
 
