@@ -12,7 +12,7 @@ from chronoscope.functions import text as X
 from chronoscope.functions import times as T
 from chronoscope.operators import anomaly, events, resolve, sigma, timeline
 from chronoscope.plans import normalize
-from chronoscope.plans.fixtures import EVENT_LOG_SQL, FILE_ROWS_SQL, event_log, file_rows, key_of, table
+from chronoscope.plans.fixtures import EVENT_LOG_SQL, FILE_ROWS_SQL, IDS, event_log, file_rows, key_of, table
 from chronoscope.registered import oracle_sql, queries, query  # noqa: F401
 from chronoscope.sources import collection, sinks
 
@@ -340,6 +340,43 @@ def sigma_batch(spark, d):
     return sigma.detect(event_log(spark, d), _batch()).select("record_id", "rule_ord", "rule_title", "rule_level")
 
 
+#: As many rules as a large published set has for one platform.
+RULE_SET_SIZE = 2847
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def rule_set(n: int = RULE_SET_SIZE) -> list[sigma.Rule]:
+    """Rules by a formula: by event id, by texts alone, by channel with an exception, and with two ways to fit."""
+    rules = []
+    for i in range(n):
+        kind, word = TYPES[i // 4 % 5], "%s" % TYPES[i // 4 % 5].capitalize()
+        user = i // 4
+        body = (
+            (f"sel: {{EventID: {IDS[i // 4 % len(IDS)]}, CommandLine|contains: '/C {kind}', Computer: HOST{i % 7}}}", "sel"),
+            (f"sel: {{Image|endswith: '\\{kind}.EXE', TargetUserName: User{user}}}", "sel"),
+            (f"sel: {{Channel: {word}, TargetUserName|endswith: r{user}}}\n  flt: {{LogonType: [{i % 11}, {(i + 3) % 11}]}}", "sel and not flt"),
+            (f"a: {{CommandLine|contains|all: [cmd, {kind}], TargetUserName|startswith: user{user % 97}}}\n  b: {{EventID: [4624, {IDS[i // 4 % len(IDS)]}], Provider: microsoft-windows-sysmon, LogonType: {i % 11}, TargetUserName|contains: r{user % 50}}}", "a or b"),
+        )[i % 4]
+        rules.append(sigma.parse_rule(f"title: generated {i}\nlevel: {('low', 'medium', 'high')[i % 3]}\ndetection:\n  {body[0]}\n  condition: {body[1]}\n"))
+    return rules
+
+
+# Each rule's test again, from its number.
+RULE_SET_SQL = f"""{EVENT_LOG_SQL}, numbers AS (
+  SELECT i::INTEGER AS i, i // 4 AS u, {list(TYPES)}[i // 4 % 5 + 1] AS kind, {IDS}[i // 4 % {len(IDS)} + 1] AS id FROM range({RULE_SET_SIZE}) AS r(i)),
+detected AS (SELECT record_id, i AS rule_ord, 'generated ' || i AS rule_title, ['low', 'medium', 'high'][i % 3 + 1] AS rule_level FROM log, numbers WHERE CASE i % 4
+  WHEN 0 THEN event_id = id AND coalesce(contains(f_cmd, '/c ' || kind), false) AND computer = 'host' || i % 7
+  WHEN 1 THEN f_image LIKE '%\\' || kind || '.exe' AND f_user = 'user' || u
+  WHEN 2 THEN lower(channel) = kind AND ends_with(f_user, 'r' || u) AND NOT f_logon IN ((i % 11)::VARCHAR, ((i + 3) % 11)::VARCHAR)
+  ELSE (coalesce(contains(f_cmd, 'cmd') AND contains(f_cmd, kind), false) AND starts_with(f_user, 'user' || u % 97))
+    OR (event_id IN (4624, id) AND lower(provider) = 'microsoft-windows-sysmon' AND f_logon = (i % 11)::VARCHAR AND contains(f_user, 'r' || u % 50)) END)"""
+
+
+@query(f"WITH {RULE_SET_SQL} SELECT record_id, rule_ord, rule_title, rule_level FROM detected")
+def sigma_rule_set(spark, d):
+    return sigma.detect(event_log(spark, d), rule_set()).select("record_id", "rule_ord", "rule_title", "rule_level")
+
+
 @query(f"WITH {BATCH_SQL} SELECT rule_level, count(*) AS n FROM detected GROUP BY 1")
 def detections_by_level(spark, d):
     return sigma.count_by_level(sigma.detect(event_log(spark, d), _batch()))

@@ -2,7 +2,7 @@
 
 A rule's YAML is read once on the driver, its condition parsed to a tree and the
 whole compiled to one boolean SQL text, so an event is tested against every rule in
-generated code. Many rules are cut into chunks: a projection each, one union.
+generated code. Many rules are kept behind an index (``rule_index``), and all are tested in one scan.
 
 The dialect is the plain one: and, or, not, parentheses and names of selections; a
 missing field never matches; an unknown name is false; what follows a complete
@@ -15,14 +15,13 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("informational", "low", "medium", "high", "critical")
-#: Rules of one projection; more make the generated code slow.
+#: Rules of one array of tests; more make the generated code slow.
 CHUNK = 250
 #: Fields that an event has besides its data; they win over data of the same name.
 EVENT_FIELDS = {"EventID": "cast(event_id as string)", "Channel": "channel", "Computer": "computer", "Provider": "provider"}
@@ -330,9 +329,10 @@ def field_sql(name: str, data: str) -> str:
     return f"{data}[{literal(name)}]"
 
 
-def match_sql(match: FieldMatch, data: str) -> str:
-    """One field's test; null never gets out of it."""
+def match_sql(match: FieldMatch, data: str, columns: dict[str, tuple[str, str]] | None = None) -> str:
+    """One field's test; null never gets out of it. ``columns`` names columns that hold fields, and their lower case."""
     value = field_sql(match.name, data)
+    value, low = (columns or {}).get(match.name, (value, f"lower({value})"))
     kind = next((m for m in ("re", "contains", "startswith", "endswith") if m in match.modifiers), "exact")
     tests = []
     for wanted in match.values:
@@ -341,21 +341,21 @@ def match_sql(match: FieldMatch, data: str) -> str:
             pattern = java_regex(wanted)
             tests.append("false" if pattern is None else f"{value} rlike {literal(pattern)}")
         elif kind == "exact":
-            tests.append(f"lower({value}) = {lower}")
+            tests.append(f"{low} = {lower}")
         else:
-            tests.append(f"{kind}(lower({value}), {lower})")
+            tests.append(f"{kind}({low}, {lower})")
     joined = (" and " if "all" in match.modifiers else " or ").join(tests) or ("true" if "all" in match.modifiers else "false")
     return f"({value} is not null and coalesce({joined}, false))"
 
 
-def rule_sql(rule: Rule, data: str = "event_data", extended: bool = False) -> str:
+def rule_sql(rule: Rule, data: str = "event_data", extended: bool = False, columns: dict[str, tuple[str, str]] | None = None) -> str:
     """The rule as a boolean SQL text that is never null."""
 
     def sql(node: Node) -> str:
         if node.kind == "false":
             return "false"
         if node.kind == "name":
-            return "(" + (" and ".join(match_sql(m, data) for m in rule.selections[node.text]) or "true") + ")"
+            return "(" + (" and ".join(match_sql(m, data, columns) for m in rule.selections[node.text]) or "true") + ")"
         if node.kind == "not":
             return f"(not {sql(node.parts[0])})"
         return "(" + f" {node.kind} ".join(sql(p) for p in node.parts) + ")"
@@ -364,15 +364,34 @@ def rule_sql(rule: Rule, data: str = "event_data", extended: bool = False) -> st
 
 
 def detect(events: DataFrame, rules: list[Rule], data: str = "event_data", extended: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """A row for each event and rule that fits: the event's columns, rule_ord, rule_title, rule_id and rule_level."""
+    """A row for each event and rule that fits: the event's columns, rule_ord, rule_title, rule_id and rule_level.
+
+    The events are read once. Rules are kept behind gates (``rule_index``), so an event is
+    tested against those that it may fit; the numbers of those that it does fit become rows,
+    and titles are looked up afterwards. ``chunk`` is how many rules are in one array."""
     if not rules:
         return events.withColumns({"rule_ord": F.lit(0), "rule_title": F.lit(""), "rule_id": F.lit(""), "rule_level": F.lit("")}).limit(0)
-
-    def part(first: int) -> DataFrame:
-        tests = [f"if({rule_sql(r, data, extended)}, named_struct('rule_ord', {i}, 'rule_title', {literal(r.title)}, 'rule_id', {literal(r.id) if r.id is not None else 'cast(null as string)'}, 'rule_level', '{r.level}'), null)" for i, r in enumerate(rules[first : first + chunk], first)]
-        return events.selectExpr("*", f"explode(array_compact(array({', '.join(tests)}))) as _hit").selectExpr("* except (_hit)", "_hit.*")
-
-    return reduce(DataFrame.unionByName, (part(i) for i in range(0, len(rules), chunk)))
+    from chronoscope.operators.rule_index import gates
+
+    fields = sorted({m.name for r in rules for found in r.selections.values() for m in found})
+    columns = {name: (f"_field{i}", f"_lower{i}") for i, name in enumerate(fields)}
+    once = [text for name, (value, low) in columns.items() for text in (f"{field_sql(name, data)} as {value}", f"lower({field_sql(name, data)}) as {low}")]
+    hits = []
+    for gate in gates(rules, columns, extended):
+        for at in range(0, len(gate.rules), chunk):
+            found = f"array({', '.join(f'if({rule_sql(rules[i], data, extended, columns)}, {i}, -1)' for i in gate.rules[at : at + chunk])})"
+            hits.append(f"if({gate.test}, {found}, cast(array() as array<int>))" if gate.test else found)
+    # The tests' code is to be cut into small methods, which run compiled; in whole-stage code it would be one method that is too large.
+    # A lambda keeps its projection out of whole-stage code; this one gives -1, which stands for a rule that doesn't fit.
+    none = "least(size(filter(array(event_id), x -> x is null)), 0) - 1"
+    numbers = f"array_remove(flatten(array({', '.join(hits)})), {none})" if hits else "cast(array() as array<int>)"
+    tested = events.selectExpr("*", *once).selectExpr(*(f"`{c.replace('`', '``')}`" for c in events.columns), f"{numbers} as _hits")
+    # An inner explode would have its array tested for emptiness first, at the scan: all tests twice, each with its fields inlined.
+    found = tested.selectExpr("*", "explode_outer(_hits) as rule_ord").where("rule_ord is not null").drop("_hits")
+    titles, ids, levels = (f"array({', '.join(map(literal, texts))})" for texts in ([r.title for r in rules], [r.id or "" for r in rules], [r.level for r in rules]))
+    unnamed = [i for i, r in enumerate(rules) if r.id is None]
+    without = f"rule_ord in ({', '.join(map(str, unnamed))})" if unnamed else "false"
+    return found.selectExpr("*", f"element_at({titles}, rule_ord + 1) as rule_title", f"if({without}, null, element_at({ids}, rule_ord + 1)) as rule_id", f"element_at({levels}, rule_ord + 1) as rule_level")
 
 
 def count_by_level(detections: DataFrame) -> DataFrame:

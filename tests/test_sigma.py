@@ -1,5 +1,6 @@
 """Compiled rules against a plain evaluator."""
 
+import random
 import re
 
 import pytest
@@ -161,3 +162,65 @@ def test_regular_expressions_of_the_dialect(spark):
     for i, (p, t, want) in enumerate(cases):
         assert ((i, t) in hits) == bool(want), (p, t)
     assert [p for _, _, p in sigma.refused_patterns(rules)] == [p for p, _, want in cases if want is None]
+
+
+def random_rules(n: int, seed: int) -> list[sigma.Rule]:
+    rng = random.Random(seed)
+    fields = ["EventID", "Channel", "Provider", "User", "Cmd"]
+    values = ["1", "2", "12", "007", "Bob", "security", "Sysmon", "abc", "abcd", "xabcy", "", "a.c", "net user", "NET"]
+
+    def match():
+        modifiers = rng.choice([(), (), ("contains",), ("startswith",), ("endswith",), ("re",), ("contains", "all"), ("all",), ("base64",)])
+        return sigma.FieldMatch(rng.choice(fields), modifiers, tuple(rng.choices(values, k=rng.randint(0, 3))))
+
+    def condition(depth=0):
+        if depth > 2 or rng.random() < 0.4:
+            return rng.choice(["s0", "s1", "s2", "not s0", "missing"])
+        return f"({condition(depth + 1)} {rng.choice(['and', 'or'])} {condition(depth + 1)})"
+
+    return [sigma.Rule(f"r'{i}", condition(), rng.choice([None, f"id{i}"]), selections={f"s{k}": [match() for _ in range(rng.randint(0, 2))] for k in range(3)}) for i in range(n)]
+
+
+def test_index_changes_no_result(spark):
+    """Rules of every kind behind gates of two rules: the same hits as each rule tested by itself on every event."""
+    from chronoscope.operators import rule_index
+
+    rng = random.Random(8)
+    texts = [None, "", "Bob", "xABCDy", "a.c", "net user /add", "security", "1", "007"]
+    rows = [(i, rng.choice([1, 2, 7, 12, None]), rng.choice(["Security", "sysmon", None]), "h", rng.choice(["Sysmon", "x", None]), {k: v for k in ("User", "Cmd") if (v := rng.choice(texts)) is not None}) for i in range(120)]
+    events = spark.createDataFrame(rows, "i long, event_id long, channel string, computer string, provider string, event_data map<string,string>")
+    rules = random_rules(300, 9)
+    want = set()
+    for at in range(0, len(rules), 50):
+        tests = events.selectExpr("i", *(f"{sigma.rule_sql(r)} as t{k}" for k, r in enumerate(rules[at : at + 50])))
+        want |= {(row.i, at + k) for row in tests.collect() for k in range(len(rules[at : at + 50])) if row[f"t{k}"]}
+    found = sigma.detect(events, rules, chunk=2).select("i", "rule_ord", "rule_title", "rule_id").collect()
+    assert {(r.i, r.rule_ord) for r in found} == want and len(found) == len(want) > 500
+    assert all(r.rule_title == rules[r.rule_ord].title and r.rule_id == rules[r.rule_ord].id for r in found)
+    kinds = {(g.test or "").split(" ")[0] for g in rule_index.gates(rules, {f: (f, f) for f in ("EventID", "Channel", "Provider", "User", "Cmd")})}
+    assert kinds >= {"event_id", "Channel", "Provider", "User", "Cmd", ""}
+
+
+def test_needs():
+    from chronoscope.operators.rule_index import pattern_of, rule_needs
+
+    rule = yaml_rule("a: {EventID: [1, 2], Cmd|contains: [abc, de]}\nb: {EventID: 3}\nc: {Cmd|contains|all: [abc, longer]}\ncondition: a or b")
+    assert rule_needs(rule) == {("is", "EventID"): {"1", "2", "3"}}
+    rule.condition = "c and not b"
+    assert rule_needs(rule) == {("has", "Cmd"): {"longer"}}
+    rule.condition = "c and b"
+    assert rule_needs(rule) == {("has", "Cmd"): {"longer"}, ("is", "EventID"): {"3"}}
+    for condition, want in (("not a", {}), ("nothing", None), ("a and nothing", None), ("b or nothing", {("is", "EventID"): {"3"}})):
+        rule.condition = condition
+        assert rule_needs(rule) == want
+    texts = ["abc", "abd", "xa.*", "ab", "q(", "\\w", "é漢", "x" * 5000]
+    assert all(re.search(pattern_of(texts), f"--{t}--") for t in texts)
+    assert not re.search(pattern_of(["abc", "abd", "xa.*"]), "abe xaab")
+
+
+def test_many_rules_are_one_scan(spark, small):
+    from chronoscope import catalog
+    from chronoscope.plans.fixtures import event_log
+
+    plan = sigma.detect(event_log(spark, small), catalog.rule_set())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
