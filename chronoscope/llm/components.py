@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoscope.llm.shared import written
+from chronoscope.llm.shared import dropped, written
 
 
 def rooted(parents: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def rooted(parents: DataFrame) -> DataFrame:
         hop = parents.select(F.col("v").alias("p"), F.col("p").alias("next"))
         far = parents.join(hop, "p").select("v", F.col("p").alias("old"), F.col("next").alias("p"))
         far = written(far.join(hop, "p").select("v", "old", F.col("next").alias("p")), "parents")
+        dropped(parents)
         parents = far.select("v", "p")
         if far.where("p <> old").isEmpty():
             return parents
@@ -37,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(rooted(parents))
         a, b = (rounds[-1].select(F.col("v").alias(c), F.col("p").alias(f"root_{c}")) for c in "ab")
         joined = both.where("a < b").join(a, "a").join(b, "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        both = written(joined.union(joined.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        before, both = both, written(joined.union(joined.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        dropped(before)
 
     def passed_down(later: DataFrame, earlier: DataFrame) -> DataFrame:
         return earlier.join(later.select(F.col("v").alias("p"), "comp"), "p", "left").select("v", F.coalesce("comp", "p").alias("comp"))

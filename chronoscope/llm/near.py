@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoscope.llm.components import components
-from chronoscope.llm.shared import in_file_order, plain, quoted, slices, tidy, unused, written
+from chronoscope.llm.shared import dropped, in_file_order, plain, quoted, slices, tidy, unused, written
 from chronoscope.llm.shingles import shingle_sets
 
 #: Defaults: words of a shingle and the least similarity in hundredths.
@@ -221,7 +221,9 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     sets = written(whole_sets(rows_of_classes(rows, classes, wanted), width), "sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"))
-    return written(sized.where(f"common * 100 >= {percent} * (n + m - common)").select("a", "b"), "links")
+    links = written(sized.where(f"common * 100 >= {percent} * (n + m - common)").select("a", "b"), "links")
+    dropped(pairs, sets)
+    return links
 
 
 def rows_of_classes(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:

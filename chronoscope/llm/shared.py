@@ -54,6 +54,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more: what came of them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        for path in [x for x in _scratch if any(f"/{x.rpartition('/')[2]}/" in file for file in table.inputFiles()[:1])]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+            _scratch.remove(path)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
