@@ -89,6 +89,36 @@ def next_prev(spark, d):
     return c.select(timeline.step(F.col("cursor"), F.col("matches"), 1).alias("next"), timeline.step(F.col("cursor"), F.col("matches"), -1).alias("prev"))
 
 
+def _kept(spark, d):
+    from chronoscope.operators.kept_timeline import KeptTimeline
+
+    return KeptTimeline(_event_rows(spark, d), "us", "event_id", rows_a_part=4096)
+
+
+@query(f"WITH {NUMBERED_SQL} SELECT idx, event_id, us, code, path FROM numbered WHERE idx BETWEEN 300 AND 399")
+def kept_page(spark, d):
+    return _kept(spark, d).page(300, 100).select("idx", "event_id", "us", "code", "path")
+
+
+@query(f"WITH {NUMBERED_SQL} SELECT idx, path FROM numbered WHERE contains(lower(path), 'u1\\pur')")
+def kept_search(spark, d):
+    return _kept(spark, d).search("U1\\PUR").select("idx", "path")
+
+
+@query(f"WITH {CURSOR_SQL} SELECT * FROM c")
+def kept_cursor(spark, d):
+    return _kept(spark, d).cursor("ERROR", 300)
+
+
+# Counts by day, hour and kind, each alone and together, in one pass.
+@query("""SELECT CAST(dayofmonth(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour, event_type, count(*) AS n,
+  CAST(GROUPING(dayofmonth(ts), hour(ts), event_type) AS BIGINT) AS level
+FROM events GROUP BY GROUPING SETS ((dayofmonth(ts), hour(ts)), (dayofmonth(ts)), (event_type), (dayofmonth(ts), event_type), ())""")
+def timeline_histogram(spark, d):
+    e = table(spark, d, "events").select(F.dayofmonth("ts").alias("day"), F.hour("ts").alias("hour"), "event_type")
+    return timeline.histogram(e, [("day", "hour"), ("day",), ("event_type",), ("day", "event_type"), ()])
+
+
 @query("SELECT event_type, CAST(dayofmonth(ts) AS INTEGER) AS day, count(*) AS n FROM events GROUP BY ALL")
 def timeline_summary(spark, d):
     return timeline.summary(table(spark, d, "events").withColumn("day", F.dayofmonth("ts")), "event_type", "day")

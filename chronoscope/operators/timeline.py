@@ -136,3 +136,10 @@ class View:
 
 def summary(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def histogram(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """Counts of rows by several sets of columns in one pass: all columns (null where a set hasn't one), n, and level, the bits of the columns that a row's set lacks, the first column highest."""
+    columns = list(dict.fromkeys(c for found in sets for c in found))
+    grouped = rows.groupingSets([[F.col(c) for c in found] for found in sets], *columns)
+    return grouped.agg(F.count("*").alias("n"), F.grouping_id(*columns).cast("long").alias("level"))
