@@ -237,3 +237,26 @@ def network_rows(spark, d):
     ends = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.nullif(F.max("o_orderdate"), F.min("o_orderdate")).alias("last"))
     raw = ends.select(F.col("o_custkey").alias("rec_ord"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("profile"), kind.alias("type"), F.lit("d").alias("dns"), "first", "last")
     return shown(N.network_profiles(raw))
+
+
+# Blobs of an id map: every third customer an identifier, every fourth of the others a text that says nothing; a later order's row wins.
+ID_MAP_SQL = r"""names AS (SELECT o_custkey AS id, o_orderkey AS n, CASE WHEN o_custkey % 3 = 0 THEN 'S-1-5-21-' || o_custkey || '-' || (o_orderkey % 65536)
+    WHEN o_orderkey % 4 <> 0 THEN '\Device\é' || o_orderkey END AS name FROM orders),
+last AS (SELECT id, arg_max(name, n) AS name FROM names WHERE name IS NOT NULL GROUP BY id)"""
+
+
+@query(f"WITH {ID_MAP_SQL} SELECT event_id, coalesce(name, 'ID:' || user_id) AS name FROM events LEFT JOIN last ON id = user_id")
+def srum_id_names(spark, d):
+    from chronoscope.operators import resolve
+
+    def word(value):
+        pairs = F.lpad(F.hex(value % 65536), 4, "0")
+        return F.concat(F.right(pairs, F.lit(2)), F.left(pairs, F.lit(2)), F.lit("0000"))
+
+    identifier = F.unhex(F.concat(F.lit("0103000000000005"), F.lit("15000000"), word(F.col("o_custkey")), word(F.col("o_orderkey"))))
+    text = F.encode(F.concat(F.lit("\\Device\\é"), F.col("o_orderkey").cast("string"), F.lit("\0")), "UTF-16LE")
+    nothing = F.unhex(F.lit("0100"))
+    blob = F.when(F.col("o_custkey") % 3 == 0, identifier).when(F.col("o_orderkey") % 4 != 0, text).otherwise(nothing)
+    blobs = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", blob.alias("blob"))
+    names = resolve.id_map(blobs, "user_id", "blob", "o_orderkey")
+    return resolve.resolve_ids(table(spark, d, "events").select("event_id", "user_id"), names, "user_id", "value").select("event_id", "name")

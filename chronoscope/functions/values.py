@@ -42,3 +42,36 @@ def recent_order(data: Column) -> Column:
     items = F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), lambda i: number(data, i * 4, 4))).otherwise(F.array().cast("array<long>"))
     end = F.array_position(items, F.lit(0xFFFFFFFF).cast("long")).cast("int")
     return F.when(end > 0, F.slice(items, F.lit(1), end - 1)).otherwise(items)
+
+
+def wide_text(data: Column) -> Column:
+    """Little-endian UTF-16 without the NULs at its end; a lone surrogate becomes U+FFFD, an odd last byte doesn't count."""
+    many = F.floor(F.octet_length(data) / 2).cast("int")
+    pairs = F.hex(data)
+    units = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substr(pairs, i * 4 + 1, F.lit(4)))
+
+    def surrogate(unit: Column, kinds: str) -> Column:
+        return F.coalesce(F.substr(unit, F.lit(3), F.lit(2)).rlike(f"^D[{kinds}]"), F.lit(False))
+
+    def mended(unit: Column, i: Column) -> Column:
+        before, after = (F.get(units, i + k) for k in (-1, 1))
+        lone = surrogate(unit, "89AB") & ~surrogate(after, "CDEF") | surrogate(unit, "CDEF") & ~surrogate(before, "89AB")
+        return F.when(lone, "FDFF").otherwise(unit)
+
+    text = F.decode(F.unhex(F.array_join(F.transform(units, mended), "")), "UTF-16LE")
+    return F.when(data.isNotNull() & (many > 0), F.regexp_replace(text, "\\x00+$", "")).when(data.isNotNull(), "")
+
+
+def sid(data: Column) -> Column:
+    """``S-1-...`` of a binary security identifier; null for bytes of any other form."""
+    many = number(data, 1, 1).cast("int")
+    fits = (number(data, 0, 1) == 1) & many.between(1, 15) & (F.octet_length(data) == 8 + 4 * many)
+    authority = F.conv(F.substr(F.hex(data), F.lit(5), F.lit(12)), 16, 10)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1), lambda i: number(data, 8 + i * 4, 4).cast("string"))
+    return F.when(fits, F.concat_ws("-", F.lit("S-1"), authority, F.array_join(parts, "-")))
+
+
+def id_name(data: Column) -> Column:
+    """What a blob of an id map says: a security identifier, or a text of which no sign is a control; else null."""
+    text = wide_text(data)
+    return F.coalesce(sid(data), F.when((text != "") & ~text.rlike("[\\x00-\\x1f\\x7f-\\x9f]"), text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoscope.functions.values import id_name
 from chronoscope.operators.settled import settled
 
 
@@ -55,6 +56,12 @@ def resolve_ids(rows: DataFrame, names: DataFrame, key: str, value: str, as_name
     return joined.withColumn(as_name, F.coalesce(F.col(value), F.concat(F.lit("ID:"), F.col(key).cast("string")), F.lit("?")))
 
 
+def id_map(blobs: DataFrame, key: str, blob: str, *order: str, name: str = "value") -> DataFrame:
+    """(key, name) from a table of ids and binary names: of each id its last blob, by ``order``, that says a name (``values.id_name``)."""
+    named = blobs.where(F.col(key).isNotNull()).withColumn(name, id_name(F.col(blob))).where(F.col(name).isNotNull())
+    return last_by_key(named, key, name, *order)
+
+
 def visits(urls: DataFrame, seen: DataFrame, url_key: str, visit_key: str, by: str, order: list[Column], most: int) -> DataFrame:
     """Visits with their pages, of each ``by`` only the first ``most`` in the order (a top-k report for each history file)."""
     from pyspark.sql import Window

@@ -87,3 +87,19 @@ def test_wmi_repository(spark, monkeypatch):
     ]
     rows = N.wmi(found, F.lit("2025-08-10").cast("timestamp")).collect()
     assert {r.path.split("] ")[0]: r.anomalies for r in rows if "Unknown" not in r.path or "Binding" in r.path} == {"[WMI:CmdConsumer": 0x40, "[WMI:Filter": 0x40, "[WMI:Binding": 0}
+
+
+def test_names_of_an_id_map(spark):
+    """Identifiers, texts with lone surrogates, odd lengths and controls; the last blob that says a name counts."""
+    from chronoscope.functions import values
+    from chronoscope.operators import resolve
+
+    user = bytes.fromhex("0105000000000005" "15000000" "01000000" "ffffffff" "03000000" "f4010000")
+    texts = {b"": "", "C:\\é\U0001f600\0\0".encode("utf-16-le"): "C:\\é\U0001f600", b"a\0\x00\xd8b\0": "a\ufffdb", b"\x00\xdc\x00\xd8": "\ufffd\ufffd", b"a\0b": "a", b"a": ""}
+    rows = spark.createDataFrame([(bytearray(x),) for x in [*texts, user]], "x binary").select("x", values.wide_text(F.col("x")).alias("t"), values.sid(F.col("x")).alias("s")).collect()
+    assert {bytes(r.x): r.t for r in rows if bytes(r.x) != user} == texts
+    assert [r.s for r in rows] == [None] * len(texts) + ["S-1-5-21-1-4294967295-3-500"]
+    assert spark.range(1).select(values.wide_text(F.lit(None).cast("binary")).alias("t"), values.id_name(F.lit(None).cast("binary")).alias("n")).first() == (None, None)
+    blobs = [(1, 1, user), (1, 2, "last".encode("utf-16-le")), (2, 1, "first".encode("utf-16-le")), (2, 2, b"\x01\0\x02\0"), (3, 1, user[:-1]), (None, 1, user), (4, 1, None)]
+    found = resolve.id_map(spark.createDataFrame([(i, n, None if b is None else bytearray(b)) for i, n, b in blobs], "id int, n int, b binary"), "id", "b", "n")
+    assert sorted(map(tuple, found.collect())) == [(1, "last"), (2, "first")]
