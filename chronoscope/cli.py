@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_bodyfile(rows, args.export_bodyfile)
     else:
         timeline.ordered(rows).select("primary_ts", "event_code", "path").show(50, truncate=120)
+    found.remove()
     return 0
 
 
