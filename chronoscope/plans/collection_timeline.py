@@ -117,7 +117,9 @@ class Collection:
         return self._kept.remove()
 
     def parts(self, file_paths: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Timeline rows by artifact; file_paths (entry, path) resolves the journal's parents."""
+        """Timeline rows by artifact; file_paths (entry, path, and archive where there are several) resolves the journals' parents."""
+        if file_paths is not None and len(self.archives) > 1 and "archive" not in file_paths.columns:
+            raise ValueError("file_paths of several collections need the column archive")
         log = self.rows("logfile")
         summary = decoders.log_summary(log, "file_ord")
         areas = log.where("lsn is not null").select("file_ord", (F.col("page_no") * decoders.PAGE).alias("offset"), "lsn", "clients", F.col("page_no").alias("rec_ord"))

@@ -90,11 +90,12 @@ _KIND_OF = {"CREATE": "FileCreate", "DEL": "FileDelete", "REN": "FileRename", "M
 
 
 def change_journal(raw: DataFrame, file_paths: DataFrame | None = None) -> DataFrame:
-    """entry, sequence, parent, ticks, reason, name; file_paths (entry, path, one row each) resolves parents."""
+    """entry, sequence, parent, ticks, reason, name; file_paths (entry, path, one row each; of each ``archive``, where both have that column) resolves parents."""
     kinds = F.create_map(*(F.lit(x) for pair in _KIND_OF.items() for x in pair))
     path: Column = F.col("name")
     if file_paths is not None:
-        raw = raw.join(file_paths.select(F.col("entry").alias("parent"), F.col("path").alias("_parent_path")), "parent", "left")
+        own = ["archive"] if "archive" in raw.columns and "archive" in file_paths.columns else []
+        raw = raw.join(file_paths.select(*own, F.col("entry").alias("parent"), F.col("path").alias("_parent_path")), ["parent", *own], "left")
         path = full_path(F.col("_parent_path"), F.col("name"))
     metadata = {"mft_entry_number": F.col("entry"), "mft_sequence": F.col("sequence")}
     return rows(raw, "UsnJrnl", path, F.col("ticks"), F.element_at(kinds, events.reason_code(F.col("reason"))), "UsnJrnl", entity=F.col("entry"), timestamps={"usn_timestamp": T.filetime("ticks")}, metadata=metadata)
@@ -168,11 +169,11 @@ BENIGN_CONSUMERS = ("BVTConsumer", "SCM Event Log Consumer")
 
 
 def wmi(raw: DataFrame, as_of: Column) -> DataFrame:
-    """class, name, details and, where it is known, context (the text around): of equal class and name the first row counts.
+    """class, name, details and, where it is known, context (the text around): of equal class and name (of one ``archive``, where that is a column) the first row counts.
 
     A binding is benign by any of its context, everything else by its name."""
     order = [c for c in ("file_ord", "rec_ord") if c in raw.columns] or ["details"]
-    first = first_rows(raw, ["class", "name"], *order)
+    first = first_rows(raw, [*(["archive"] if "archive" in raw.columns else []), "class", "name"], *order)
     names = F.create_map(*(F.lit(x) for pair in WMI_KINDS.items() for x in pair))
     runs = F.col("class").isin("CommandLineEventConsumer", "ActiveScriptEventConsumer")
     seen = F.when(F.col("class") == "__FilterToConsumerBinding", F.coalesce(F.col("context"), F.col("name"))).otherwise(F.col("name")) if "context" in raw.columns else F.col("name")

@@ -231,6 +231,21 @@ def test_many_collections_at_once(spark, tmp_path):
     assert len(with_host) == 12
 
 
+def test_collections_do_not_mix(spark, tmp_path):
+    """The same persistent name on two hosts is two rows; a journal's parents are those of its own collection."""
+    import pytest
+
+    wmi = HIDDEN + "Windows/System32/wbem/Repository/OBJECTS.DATA"
+    places = [folder_of(tmp_path / f"Collection-h{i}-2025", {JOURNAL: usn("c.txt", 0x100), wmi: b'x__EventFilter Name="same"'}) for i in (1, 2)]
+    both = Collection(spark, places, "2025-01-01 00:00:00")
+    paths = spark.createDataFrame([(7, "C:\\one", places[0]), (7, "C:\\two", places[1])], "entry long, path string, archive string")
+    parts = both.parts(paths)
+    assert sorted(r.path for r in parts["UsnJrnl"].collect()) == ["C:\\one\\c.txt", "C:\\two\\c.txt"]
+    assert parts["Wmi"].count() == 2
+    with pytest.raises(ValueError, match="archive"):
+        both.parts(paths.drop("archive"))
+
+
 def test_ranges_give_the_rows_of_the_whole(spark, tmp_path):
     """Journals cut at any place: records over borders, zero stretches over ranges, bytes that look like records, and records that break the walk."""
     import io
