@@ -250,10 +250,10 @@ def srum_id_names(spark, d):
     from chronoscope.operators import resolve
 
     def word(value):
-        pairs = F.lpad(F.hex(value % 65536), 4, "0")
-        return F.concat(F.right(pairs, F.lit(2)), F.left(pairs, F.lit(2)), F.lit("0000"))
+        pairs = F.lpad(F.hex(value), 8, "0")  # all 32 bits of a part of an identifier
+        return F.concat(*(F.substring(pairs, at, 2) for at in (7, 5, 3, 1)))
 
-    identifier = F.unhex(F.concat(F.lit("0103000000000005"), F.lit("15000000"), word(F.col("o_custkey")), word(F.col("o_orderkey"))))
+    identifier = F.unhex(F.concat(F.lit("0103000000000005"), F.lit("15000000"), word(F.col("o_custkey")), word(F.col("o_orderkey") % 65536)))
     text = F.encode(F.concat(F.lit("\\Device\\é"), F.col("o_orderkey").cast("string"), F.lit("\0")), "UTF-16LE")
     nothing = F.unhex(F.lit("0100"))
     blob = F.when(F.col("o_custkey") % 3 == 0, identifier).when(F.col("o_orderkey") % 4 != 0, text).otherwise(nothing)

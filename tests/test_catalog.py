@@ -73,3 +73,13 @@ def test_no_user_is_gathered_in_one_array(spark):
     assert sorted(map(tuple, counted.collect()), key=str) == sorted(((u, t, len(r)) for u, r in runs.items() for t in r), key=str)
     for df in (found, counted):
         assert "collect_list" not in df._jdf.queryExecution().toString().lower() and "array" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_id_names_of_large_keys(spark, tmp_path):
+    """Identifiers whose parts need more than 16 bits: key 65,538 of a customer isn't 2."""
+    con = duckdb.connect()
+    for name, sql in {"orders": "SELECT i + 65530 AS o_orderkey, 65532 + i * 1234567 AS o_custkey FROM range(40) t(i)", "events": "SELECT i AS event_id, 65532 + i * 1234567 AS user_id FROM range(50) t(i)"}.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(catalog.oracle_sql()["srum_id_names"]).fetchall()
+    assert sorted(map(tuple, catalog.queries()["srum_id_names"](spark, str(tmp_path)).collect())) == sorted(want)
