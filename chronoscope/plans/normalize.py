@@ -75,6 +75,14 @@ def _ticks(ts: Column | str) -> Column:
     return T.ticks_of(ts)
 
 
+def once(raw: DataFrame, name: str, value: Column) -> DataFrame:
+    """raw with a costly column that is computed once a row.
+
+    A filter on a plain column's outcome is moved below it with a copy of the expression for each use, until
+    the generated code is too long to be compiled; a filter on what is exploded, here one value, stays above."""
+    return raw.select(*(c for c in raw.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def file_table(raw: DataFrame) -> DataFrame:
     """entry, sequence, path, eight ``si_``/``fn_`` tick columns, size, is_directory, has_ads."""
     names = S.TICKS.names
@@ -118,9 +126,9 @@ def prefetch(raw: DataFrame) -> DataFrame:
 
 def amcache(raw: DataFrame) -> DataFrame:
     """path, file_id (with its zeros), link_date (text) or key_ticks, size."""
-    ticks = F.coalesce(_ticks(T.one_of_formats("link_date", *T.INVENTORY_FORMATS)), F.col("key_ticks"))
+    raw = once(raw, "ticks", F.coalesce(_ticks(T.one_of_formats("link_date", *T.INVENTORY_FORMATS)), F.col("key_ticks")))
     metadata = {"file_size": F.col("size"), "sha1": F.regexp_replace("file_id", "^(?:0000)+", "")}
-    return rows(raw, "Amcache", F.col("path"), ticks, "Execute", "Amcache", timestamps={"amcache_timestamp": T.filetime(ticks)}, metadata=metadata)
+    return rows(raw, "Amcache", F.col("path"), F.col("ticks"), "Execute", "Amcache", timestamps={"amcache_timestamp": T.filetime("ticks")}, metadata=metadata)
 
 
 def shimcache(raw: DataFrame) -> DataFrame:
