@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,31 @@ def remove_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     return sum(bool(path.getFileSystem(conf).delete(path, True)) for path in paths)
 
 
+#: Spark's setting that a statement's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a statement shuffled is deleted at its end. The session's own setting comes back afterwards."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, readable by every executor, lineage cut."""
+    """df as a Parquet table in the shared folder: computed once, readable by every executor, lineage cut.
+
+    Nothing reads its shuffle files again, so they go at once."""
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

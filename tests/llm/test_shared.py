@@ -72,3 +72,19 @@ def test_only_whole_parquet_files_are_numbered_in_place(spark, tmp_path):
     assert shared.is_scan(table) and shared.is_scan(table.selectExpr("id + 1 as x")) and shared.is_scan(table.alias("t"))
     for other in (table.where("id > 3"), table.limit(3), table.union(table), table.selectExpr("rand() as x"), spark.read.orc(f"{tmp_path}/o"), table.distinct()):
         assert not shared.is_scan(other)
+
+
+def test_shuffle_files_end_with_the_write(spark):
+    """What a table's write shuffled is gone when it is written, and the session's setting is as before."""
+    from chronoscope.llm import shared
+
+    def shuffled():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(shared.CLEAN_UP, None)
+    rows = shared.written(spark.range(20_000).selectExpr("id % 5000 AS k", "id AS v").groupBy("k").sum("v"), "sums")
+    assert not shuffled() - before
+    assert spark.conf.get(shared.CLEAN_UP, None) == setting
+    assert rows.count() == 5000
